@@ -285,7 +285,7 @@ def test_chat(spark):
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 7]) for i in range(300)]
-    rows += [(400, None), (401, [1.0, None, 0, 0, 0, 0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (None, [1.0] * 6), (420, [1.0, 2.0]), (440, []), (460, rows[3][1])]
+    rows += [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (None, [1.0] * 6), (420, [1.0, 2.0]), (440, []), (460, rows[3][1])]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, score int, rank int")
     got = topk.top_k(df, "vec_id % 20 = 0", query_tile=7, shard=32).collect()
     want, q = {}, {i: np.floor(64 * np.array(v)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
