@@ -8,6 +8,7 @@ close together into one read, and parse the records from it.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ LEAST_SHARED = 1000
 #: ranges with at most so many bytes between them are read at once, up to so many bytes a read
 GAP, READ = 64 << 10, 8 << 20
 REGION = 32 << 20
+#: each record is a gzip member of its own, so that any one can be read alone
+LEVEL = 1
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "page_id long, url string, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
 
@@ -58,7 +61,7 @@ def _record(page: int | None, url: str | None, body: bytes, kind: str, refers: i
 def _writer(folder: str):
     def run(batches):
         store, path = fs.FileSystem.from_uri(folder)
-        name, out, at = f"{uuid.uuid4().hex}.warc", None, 0
+        name, out, at = f"{uuid.uuid4().hex}.warc.gz", None, 0
         try:
             for batch in batches:
                 rows = []
@@ -67,6 +70,7 @@ def _writer(folder: str):
                         store.create_dir(path, recursive=True)
                         out = store.open_output_stream(f"{path}/{name}")
                     data, digest = _record(r["page_id"], r["url"], r["html"].encode(), r["record_type"], r["refers_to"])
+                    data = gzip.compress(data, LEVEL, mtime=0)
                     out.write(data)
                     rows.append({"page_id": r["page_id"], "url": r["url"], "payload_digest": digest, "record_type": r["record_type"], "refers_to": r["refers_to"], "file": f"{folder}/{name}", "offset": at, "length": len(data)})
                     at += len(data)
@@ -91,8 +95,8 @@ def write(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
 
 
 def parse(data: bytes) -> dict:
-    """One record's fields; the payload is what follows its HTTP headers."""
-    head, _, rest = data.partition(b"\r\n\r\n")
+    """One compressed record's fields; the payload is what follows its HTTP headers."""
+    head, _, rest = gzip.decompress(data).partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     payload = block.partition(b"\r\n\r\n")[2]
