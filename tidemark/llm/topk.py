@@ -46,7 +46,8 @@ def _best(k: int):
         for batch in batches:
             for r in batch.to_pylist():
                 q, c = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                a, b = (np.frombuffer(r[x], np.float64).reshape(-1, r["dim"]) for x in ("q_matrix", "matrix"))
+                a = np.frombuffer(r["q_matrix"], np.float64).reshape(len(q), r["dim"])
+                b = np.frombuffer(r["matrix"], np.float64).reshape(len(c), r["dim"])
                 order = np.argsort(c, kind="stable")
                 c, b = c[order], b[order]
                 bound = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, r["dim"])

@@ -68,7 +68,7 @@ def _writer(folder: str):
                 for r in batch.to_pylist():
                     if out is None:
                         store.create_dir(path, recursive=True)
-                        out = store.open_output_stream(f"{path}/{name}")
+                        out = store.open_output_stream(f"{path}/{name}", compression=None)  # not by the name
                     data, digest = _record(r["page_id"], r["url"], r["html"].encode(), r["record_type"], r["refers_to"])
                     data = gzip.compress(data, LEVEL, mtime=0)
                     out.write(data)
