@@ -12,6 +12,7 @@ pieces find their places by rank within their length, in parallel.
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -39,6 +40,45 @@ def _tokenizer(path: str):
 
 
 _KNOWN: dict[str, dict[str, bytes]] = {}
+_END = re.compile("[!-/:-@\\[-`{-~]+$")
+
+
+@lru_cache(maxsize=4)
+def _word_ends(path: str) -> np.ndarray:
+    """Whether an id ends a word, by the vocabulary's suffix."""
+    vocab = _tokenizer(path).get_vocab()
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+    return ends
+
+
+def _stem(chunk: str) -> tuple[str, str]:
+    """A chunk's word in lower case and the punctuation after it, if it is made like that; else all of it.
+
+    Only ASCII is lower-cased here: for it, case and the vocabulary's normalisation commute.
+    """
+    m = _END.search(chunk)
+    word, tail = (chunk[: m.start()], m[0]) if m else (chunk, "")
+    if not (word.isalpha() and word.lower().isalpha()):
+        return chunk, ""
+    return (word.lower() if word.isascii() else word), tail
+
+
+def _encode_new(path: str, texts: list[str]) -> dict[str, bytes]:
+    """Ids of distinct texts. Plain words are encoded many at once and told apart by their last ids."""
+    tk, ends, out = _tokenizer(path), _word_ends(path), {}
+    plain = [t for t in texts if t.isalpha()]
+    for lo in range(0, len(plain), 500):
+        part = plain[lo : lo + 500]
+        ids = np.array(tk.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        cuts = np.flatnonzero(ends[ids]) + 1
+        if len(cuts) == len(part):
+            b = ids.tobytes()
+            out |= {p: b[4 * x : 4 * y] for p, x, y in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)}
+    for t in texts:
+        if t not in out:
+            out[t] = np.array(tk.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    return out
 
 
 def _word_ids(path: str, texts: list[str]) -> list[bytes]:
@@ -51,15 +91,15 @@ def _word_ids(path: str, texts: list[str]) -> list[bytes]:
     if len(known) > CACHE_CHUNKS:
         known.clear()
     split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = list({p for s in split for p in s if p not in known})
-    long = {}
-    for lo in range(0, len(new), 5000):
-        part = new[lo : lo + 5000]
-        for p, e in zip(part, _tokenizer(path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-            (known if len(p) <= LONGEST_CACHED else long)[p] = np.array(e.ids, "<u4").tobytes()
-    if long:
-        return [b"".join([known[p] if p in known else long[p] for p in s]) for s in split]
-    return [b"".join([known[p] for p in s]) for s in split]
+    new = {p: _stem(p) for s in split for p in s if p not in known}
+    if not new:
+        return [b"".join([known[p] for p in s]) for s in split]
+    parts = {x for pair in new.values() for x in pair}
+    ids = _encode_new(path, [x for x in parts if x not in known]) | {x: known[x] for x in parts if x in known}
+    fresh = {p: ids[a] + ids[b] for p, (a, b) in new.items()}
+    known.update({p: b for p, b in fresh.items() if len(p) <= LONGEST_CACHED})
+    known.update({p: b for p, b in ids.items() if len(p) <= LONGEST_CACHED})
+    return [b"".join([known[p] if p in known else fresh[p] for p in s]) for s in split]
 
 
 def _pieces(path: str, size: int):
