@@ -12,6 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 LOCAL_SCRATCH = "/tmp/checkpoints"
 
@@ -77,3 +78,12 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(root))
     sc.addPyFile(archive)
     sc._tidemark_shipped = True
+
+
+#: ids that may be broadcast (8 MB); beyond it both sides are shuffled
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
+    """Semi- or anti-join on an id column; the ids are broadcast only if a count proves them few."""
+    return df.join(broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)

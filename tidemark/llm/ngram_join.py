@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_slices
+from .common import by_ids, materialize, text_slices
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -197,7 +197,7 @@ def ngram_jaccard_groups(
         near = pairs.distinct().join(named("a"), "a").join(named("b"), "b")
         near = materialize(near.select("a", "b", "hist_a", "hist_b").mapInArrow(_bounded(num, den), "a long, b long"), "near")
         ends = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        texts = rows.join(ends, "id", "left_semi")
+        texts = by_ids(rows, materialize(ends, "ends"), "id", "left_semi")
         full = materialize(texts.mapInArrow(_full_sets(width), "id long, full binary"), "sets").dropDuplicates(["id"])
         side = lambda x: full.select(F.col("id").alias(x), F.col("full").alias(f"full_{x}"))
         both = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "full_a", "full_b")
