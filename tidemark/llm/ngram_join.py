@@ -33,7 +33,7 @@ SLICE_BYTES = 1 << 20
 SKETCH_BITS = 22
 SKETCH_BLOCKS = 128
 BINS = 64
-HUB_ROUNDS = 6
+HUB_ROUNDS = 3
 CROWDED = 8
 
 
