@@ -31,7 +31,10 @@ IN_DEGREE = [(20, 40), (10, 30), (5, 20), (2, 12), (1, 6)]
 TIERS = [(75, "A"), (55, "B"), (35, "C")]
 RISK_LEVELS = [(75, "critical"), (50, "high"), (25, "medium")]
 RESCAN_DAYS = [(80, 1), (60, 3), (40, 7)]
-ACTIVITY_24H, ACTIVITY_7D, ACTIVITY_30D = [(5, 40), (2, 30), (1, 20)], [(20, 35), (7, 25), (1, 15)], [(60, 25), (20, 15), (1, 10)]
+RELATIONS = [(4, 15), (2, 10), (1, 5)]
+SOURCES = [(3, 10), (2, 6), (1, 2)]
+CONFIDENCE_POSTS, CONFIDENCE_HITS = [(10, 25), (3, 15)], [(3, 25), (1, 15)]
+ACTIVITY_7D, ACTIVITY_30D = [(20, 30), (5, 15), (1, 10)], [(50, 20), (10, 10), (1, 5)]
 
 
 def growth_score(first: Column, last: Column, days: Column) -> Column:
@@ -44,10 +47,17 @@ def growth_score(first: Column, last: Column, days: Column) -> Column:
     )
 
 
+def activity_score(day: Column, week: Column, month: Column) -> Column:
+    """SC7: three additive ladders, at least 5 and at most 100."""
+    first = F.when(day >= 5, 50).when(day >= 1, 30).when(week >= 7, 20).otherwise(0)
+    return clamp(first + ladder(week, ACTIVITY_7D) + ladder(month, ACTIVITY_30D), 5)
+
+
 def smoothed_log_odds(df_pos: Column, n_pos: Column, df_neg: Column, n_neg: Column) -> Column:
-    """MA2: log2 odds of a feature, each count smoothed by a half, 3 places."""
-    p, q = (df_pos + 0.5) / (n_pos + 1.0), (df_neg + 0.5) / (n_neg + 1.0)
-    return F.round(F.log2(p / (1 - p)) - F.log2(q / (1 - q)), 3)
+    """MA2: log2 odds ratio with half a document added everywhere, 3 places; 0 without positives."""
+    n_neg = F.greatest(F.lit(1), n_neg)
+    odds = lambda d, n: F.log2((d + 0.5) / (n - d + 0.5))
+    return F.when(n_pos <= 0, F.lit(0.0)).otherwise(F.bround(odds(df_pos, n_pos) - odds(df_neg, n_neg), 3))
 
 
 def signal_confidence(support: Column, df_pos: Column, df_neg: Column, contrast: Column) -> Column:
@@ -56,14 +66,19 @@ def signal_confidence(support: Column, df_pos: Column, df_neg: Column, contrast:
     return F.round(0.4 * F.least(F.lit(1.0), support / 5) + 0.4 * purity + 0.2 * clamp(contrast / 4, 0.0, 1.0), 3)
 
 
-def lifecycle(support: Column, contrast: Column, negative_ratio: Column) -> Column:
-    """LM6: a mined signal's state."""
+def lifecycle(support: Column, negatives: Column, contrast: Column) -> Column:
+    """LM6: a mined signal's state by support, contamination and contrast."""
+    ratio = F.when(support + negatives > 0, negatives / (support + negatives)).otherwise(F.lit(0.0))
+    clean = (support >= 3) & (ratio <= 0.05)
     return (
-        F.when((negative_ratio > 0.5) | (contrast < 0), "deprecated").when((support >= 5) & (contrast >= 2), "active")
-        .when((support >= 3) & (contrast >= 1), "validated").when((support >= 2) & (contrast >= 0.2), "candidate").otherwise("observed")
+        F.when((negatives >= 2) & (ratio >= 0.15), "deprecated").when(clean & (contrast >= 2.0), "active").when(clean & (contrast >= 1.5), "validated")
+        .when((support >= 2) & (contrast >= 0.5) & (ratio < 0.10), "candidate").otherwise("observed")
     )
 
 
-def activity_class(posts_24h: Column, posts_7d: Column, posts_30d: Column) -> Column:
-    """SM1: crawl class by recent posts."""
-    return F.when(posts_24h >= 5, "HOT").when((posts_24h >= 1) | (posts_7d >= 7), "WARM").when(posts_30d >= 1, "COLD").otherwise("DORMANT")
+def activity_class(day: Column, week: Column, month: Column, days_since: Column) -> Column:
+    """SM1: crawl class by recent posts and days since the last one (null: unknown)."""
+    return (
+        F.when((days_since > 30) & (week == 0) & (day == 0), "DORMANT").when((day >= 5) | (week >= 35), "HOT")
+        .when((day >= 1) | (week >= 7) | (month >= 20), "WARM").when((week >= 1) | (month >= 1) | (days_since <= 30), "COLD").otherwise("DORMANT")
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ladders import IN_DEGREE, ladder
+from tidemark.functions.ladders import IN_DEGREE, RELATIONS, SOURCES, ladder
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -21,8 +21,8 @@ def in_profile(edges: DataFrame) -> DataFrame:
 
 def importance(profile: DataFrame) -> DataFrame:
     """SC33: points for in-degree, relation kinds and distinct sources, at most 100."""
-    kinds = ladder(F.col("relations"), [(3, 15), (2, 10), (1, 5)])
-    sources = ladder(F.col("sources"), [(10, 10), (3, 6), (1, 2)])
+    kinds = ladder(F.col("relations"), RELATIONS)
+    sources = ladder(F.col("sources"), SOURCES)
     return profile.withColumn("importance", F.least(F.lit(100), ladder(F.col("in_degree"), IN_DEGREE) + kinds + sources))
 
 

@@ -36,13 +36,12 @@ def fixed_window_trips(df: DataFrame, key: str, ts: str, order: str, window_s: i
 def health_machine(df: DataFrame, key: str, ts: str, order: str, kind: str) -> DataFrame:
     """SM6: health points and state over an account's events (success, flood, error, auth)."""
     rows = _ordered(df.select(key, ts, order, kind), key, [ts, order, kind])
-    # fixed values: points of each kind of event
-    fold = f"""aggregate(es, named_struct('h', 100, 'st', 'HEALTHY', 'floods', 0),
-        (s, e) -> transform(array(case e.{kind} when 'success' then least(100, s.h + 1) when 'flood' then greatest(0, s.h - 15) when 'error' then greatest(0, s.h - 5) else greatest(0, s.h - 50) end), h ->
+    # fixed values: points and transitions of each kind of event
+    fold = f"""aggregate(es, named_struct('h', 100, 'st', 'HEALTHY'),
+        (s, e) -> transform(array(case e.{kind} when 'success' then least(100, s.h + 1) when 'flood' then greatest(0, s.h - 15) when 'error' then greatest(0, s.h - 10) else 0 end), h ->
             named_struct('h', h, 'st', case when s.st = 'QUARANTINED' or e.{kind} = 'auth' then 'QUARANTINED'
-                when e.{kind} = 'flood' then element_at(array('DEGRADED', 'COOLDOWN', 'RESTRICTED'), least(3, s.floods + 1))
-                when s.st = 'DEGRADED' and h >= 90 then 'HEALTHY' else s.st end,
-                'floods', if(e.{kind} = 'flood', s.floods + 1, s.floods)))[0])"""
+                when e.{kind} = 'flood' and s.st = 'HEALTHY' then 'DEGRADED' when e.{kind} in ('flood', 'error') and s.st = 'DEGRADED' then 'COOLDOWN'
+                when e.{kind} = 'flood' and s.st = 'COOLDOWN' then 'RESTRICTED' when e.{kind} = 'success' and s.st = 'DEGRADED' and h >= 90 then 'HEALTHY' else s.st end))[0])"""
     return rows.select(key, F.expr(fold).alias("s")).select(key, F.col("s.h").alias("health"), F.col("s.st").alias("state"))
 
 
