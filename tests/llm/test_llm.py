@@ -68,7 +68,7 @@ def brute_groups(rows, width, num, den):
 
 
 @pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80), (1, 50)])
-@pytest.mark.parametrize("crowded", [8, 0])
+@pytest.mark.parametrize("crowded", [32, 0])
 def test_ngram_groups(hard, width, num, crowded, monkeypatch):
     monkeypatch.setattr(ngram_join, "CROWDED", crowded)
     got = ngram_join.ngram_jaccard_groups(hard, width=width, num=num, den=100, sketch_bits=14)

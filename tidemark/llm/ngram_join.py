@@ -34,7 +34,8 @@ SKETCH_BITS = 22
 SKETCH_BLOCKS = 128
 BINS = 64
 HUB_ROUNDS = 3
-CROWDED = 8
+#: posting lists are compared in full once that is at most so many comparisons a document
+CROWDED = 32
 
 
 def _scan(width: int, bits: int):
@@ -176,6 +177,7 @@ def ngram_jaccard_groups(
     sizes = scanned.filter("block is null").select("id", "n", "d1", "d2")
     classes = sizes.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("id").alias("class_id"))
     members = materialize(sizes.join(classes, ["d1", "d2", "n"], "left").select("id", "n", F.coalesce("class_id", "id").alias("class_id")), "members")
+    n_docs = members.count()
     reps = members.filter("n > 0 and id = class_id").select("id", "n").distinct()
 
     prefixes = materialize(rows.mapInArrow(_prefixes(width, num, den, sketch), "id long, n int, hist binary, tokens array<long>"), "prefixes")
@@ -210,7 +212,7 @@ def ngram_jaccard_groups(
         load = live.agg(F.count("*").alias("rows"), F.sum(F.col("g") - 1).alias("twice")).first()
         if not load["rows"]:
             break
-        last = turn == HUB_ROUNDS or load["twice"] <= 2 * CROWDED * load["rows"]
+        last = turn == HUB_ROUNDS or load["twice"] <= 2 * CROWDED * n_docs
         if last:
             a, b = live.alias("a"), live.alias("b")
             pairs = a.join(b, F.expr(f"a.token = b.token and a.cls < b.cls and a.comp <> b.comp and {fits}")).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b"))
