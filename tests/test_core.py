@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ladders, text
 from tidemark.operators import graph, merge, state
-from tidemark.plans.catalog import ORACLES, QUERIES
+from tidemark.plans.registry import ORACLES, QUERIES
 from tidemark.sources import io
 from tidemark.streaming import streams
 
