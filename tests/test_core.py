@@ -8,8 +8,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import ladders, text
-from tidemark.operators import graph, merge, state
+from tidemark.functions import ladders, scores, text
+from tidemark.operators import graph, merge, schedule, state
 from tidemark.plans.registry import ORACLES, QUERIES
 from tidemark.sources import io
 from tidemark.streaming import streams
@@ -123,3 +123,36 @@ def test_dead_letters(spark):
     df = spark.createDataFrame([(1, '{"k": 2}'), (2, "{bad"), (3, None)], "id int, body string")
     good, bad = io.dead_letters(df, "body", "k int")
     assert [(r.id, r.k) for r in good.collect()] == [(1, 2)] and {r.id for r in bad.collect()} == {2, 3}
+
+
+def test_scores_without_a_query(spark):
+    one = lambda e: spark.range(1).select(e.alias("v")).first().v
+    n, kinds, none = F.lit, lambda *k: F.array(*map(F.lit, k)), F.lit(None)
+    assert [one(scores.script_score(n(r), n(v))) for r, v in ((0.15, 2), (0.05, 1), (0.0, 3), (0.9, 0), (0.149, 2))] == [75, 45, 50, 90, 45]
+    assert one(scores.script_score(none.cast("double"), none.cast("int"))) == 0
+    assert one(scores.contact_score(n(True), kinds("owner", "whatsapp"))) == 90 and one(scores.contact_score(none.cast("boolean"), none.cast("array<string>"))) == 0
+    assert one(scores.commercial_score(n(3), n(2))) == 75 and one(scores.commercial_score(n(9), n(9))) == 100
+    assert [one(scores.discovery_score(n(k), kinds("a", "b", "b"))) for k in (0, 3, 4)] == [60, 80, 100]
+    at = lambda day: F.lit(day).cast("timestamp")
+    young = lambda created, seen: one(scores.new_channel_score(created, seen, at("2024-06-30")))
+    unknown = none.cast("timestamp")
+    assert (young(at("2024-05-31"), unknown), young(at("2024-04-01"), unknown), young(at("2024-01-01"), at("2024-06-29")), young(unknown, at("2024-06-16")), young(unknown, unknown)) == (40, 25, 0, 35, 0)
+    klass = lambda *v: one(scores.topic_class(*map(n, v)))
+    assert [klass(60, 0, 0, 0, 15, 50), klass(60, 0, 0, 0, 14, 50), klass(0, 20, 0, 0, 0, 20), klass(0, 0, 0, 0, 0, 99)] == ["HIGH_CONFIDENCE", "LIKELY", "POSSIBLE", "LOW_CONFIDENCE"]
+    assert [one(scores.backoff(n(k), 2, 60)) for k in (0, 3, 9)] == [2.0, 16.0, 60.0]
+    step = lambda *v: one(scores.throttle_step(*map(n, v), 60, 600))
+    assert [step(100.0, 0, 0, 1), step(100.0, 95, 5, 0), step(100.0, 8, 2, 0), step(100.0, 1, 1, 0), step(500.0, 0, 4, 0)] == pytest.approx([300, 90, 95, 110, 600])
+
+
+def test_schedule_without_a_query(spark):
+    t = datetime(2024, 1, 1)
+    rows = [(1, 1, 1, 0, "processing", t), (2, 1, 2, 0, "processing", t), (3, 1, 3, 3, "processing", t), (4, 1, 4, 0, "sent", t), (5, 1, 5, 0, "processing", t + timedelta(minutes=50))]
+    claims = spark.createDataFrame(rows, "id int, campaign_id int, lead_id int, attempt_count int, status string, last_attempt_at timestamp_ntz")
+    sent = spark.createDataFrame([(1, 1), (1, 1)], "campaign_id int, lead_id int")
+    got = schedule.reconciled(claims, sent, "2024-01-01 01:00:00", 30, 3).collect()
+    assert sorted((r.id, r.status) for r in got) == [(1, "sent"), (2, "pending"), (3, "failed")]
+    accounts = spark.createDataFrame([("b", 1, 0, 10, False), ("a", 1, 0, 10, False), ("c", 0, 2, 0, True)], "name string, active int, errors int, idle int, recovering boolean")
+    assert schedule.least_loaded(accounts).first().name == "a"
+    jobs = spark.createDataFrame([(1, "running", t), (2, "running", t + timedelta(minutes=45)), (3, "failed", t)], "id int, status string, executed_at timestamp_ntz")
+    assert [r.id for r in schedule.stale_running(jobs, "2024-01-01 01:00:00").collect()] == [1]
+    assert [r.v for r in spark.createDataFrame([(80,), (50,), (30,), (29,)], "h int").select(schedule.delay_band(F.col("h")).alias("v")).collect()] == ["short", "medium", "long", "longest"]
