@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import ladders, scores, text
-from tidemark.operators import graph, merge, schedule, state
+from tidemark.operators import graph, merge, messages, schedule, state
 from tidemark.plans.registry import ORACLES, QUERIES
 from tidemark.sources import io
 from tidemark.streaming import streams
@@ -156,3 +156,53 @@ def test_schedule_without_a_query(spark):
     jobs = spark.createDataFrame([(1, "running", t), (2, "running", t + timedelta(minutes=45)), (3, "failed", t)], "id int, status string, executed_at timestamp_ntz")
     assert [r.id for r in schedule.stale_running(jobs, "2024-01-01 01:00:00").collect()] == [1]
     assert [r.v for r in spark.createDataFrame([(80,), (50,), (30,), (29,)], "h int").select(schedule.delay_band(F.col("h")).alias("v")).collect()] == ["short", "medium", "long", "longest"]
+
+
+TRIGGERS = {"owner": "owner|founder", "admin": "support|admin", "analyst": "analyst", "contact": "contact|dm"}
+
+
+def test_contacts(spark):
+    rows = [
+        (1, None, "Owner: @Boss_1 and @Boss_2\n\nSupport and owner\n@Desk_9", "write @other1", "@chan"),  # the second owner falls through
+        (2, "Contact me\n  \n@Pinned_1", "contact @Second_1", None, "x"),  # the pinned text comes first; the line before counts
+        (3, None, None, "see @chan, @junk and @free_1 @free_2 @helper_bot", "Chan"),  # own name, junk, the first of no class
+        (4, None, None, None, None), (5, "", "", "", ""), (6, None, "the analyst: t.me/Ana_1", None, None),
+    ]
+    df = spark.createDataFrame(rows, "id int, pinned string, bio string, text string, channel string")
+    got = {r.id: tuple(r.c) for r in df.select("id", messages.contacts(F.col("pinned"), F.col("bio"), F.col("text"), F.col("channel"), TRIGGERS, ("junk",)).alias("c")).collect()}
+    assert got == {
+        1: ("Boss_1", "Desk_9", None, "Boss_1", None, 95), 2: (None, None, None, "Pinned_1", None, 85), 3: (None, None, None, "free_1", "helper_bot", 70),
+        4: (None,) * 6, 5: (None,) * 6, 6: (None, None, "Ana_1", "Ana_1", None, 90),
+    }
+
+
+def test_contact_fields(spark):
+    rows = [(1, "Call wa.me/+971501234567 or A.B@Mail.org!"), (2, "phone: +44 7700-900123"), (3, "+44 7700-900123"), (4, "https://x.com/me, https://linktr.ee/me https://site.io/a). http://t.me/abc https://x.com/me,"), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "id int, t string")
+    got = {r.id: (r.e, tuple(r.p), tuple(r.w)) for r in df.select("id", messages.email(F.col("t")).alias("e"), messages.phone(F.col("t")).alias("p"), messages.websites(F.col("t")).alias("w")).collect()}
+    none = (None, None, [])
+    assert got[1][:2] == ("a.b@mail.org", ("971501234567", 100)) and got[2] == (None, ("447700900123", 85), none)
+    assert got[3] == got[5] == got[6] == (None, (None, None), none)
+    assert got[4][2] == ("https://site.io/a", "https://linktr.ee/me", ["https://x.com/me"])
+
+
+def test_contact_mention(spark):
+    rows = [("support: @abcd", True), ("support\n" + "x" * 60 + " @abcd", True), ("support\n" + "x" * 80 + " @abcd", False), ("@abcd " + "x" * 20 + "\nsupport", True), ("@abcd " + "x" * 50 + "\nsupport", False), ("support @abcde", False), ("", False), (None, False), ("hello @abcd", False), ("x" * 90 + "\n@abcd\n" + "y" * 100 + "@abcd\nSupport", True)]
+    df = spark.createDataFrame([(i, t, "@abcd") for i, (t, _) in enumerate(rows)], "i int, t string, h string")
+    got = {r.i: r.m for r in df.select("i", messages.contact_mention(F.col("t"), F.col("h"), "support").alias("m")).collect()}
+    assert [got[i] for i in range(len(rows))] == [want for _, want in rows]
+
+
+def test_message_edges(spark):
+    rows = [("a", "join t.me/Best_One with @friend1, support @desk1" + "." * 3, "orig"), ("b", "t.me/Best_One t.me/best_one @pal_1 a@mail1.org", None), ("c", None, None), ("d", "", None)]
+    df = spark.createDataFrame(rows, "s string, t string, f string")
+    got = sorted(tuple(r) for r in messages.message_edges(df, "s", "t", F.col("f"), "join", "support ").collect())
+    assert got == [("a", "best_one", "link", 85), ("a", "orig", "forward", 95), ("b", "best_one", "link", 75), ("b", "pal_1", "mention", 70)]
+
+
+def test_gate_lets_no_null_through(spark):
+    yes, no, none = F.lit(True), F.lit(False), F.lit(None).cast("boolean")
+    ok, name = F.lit("Approved"), F.lit("@Person")
+    cases = [((no, yes, yes, ok, no, name), "ALLOWED"), ((none, yes, yes, ok, no, name), "BLOCKED_BY_KILL_SWITCH"), ((no, none, yes, ok, no, name), "OUTREACH_DISABLED"), ((no, yes, none, ok, no, name), "SECURITY_VIOLATION"), ((no, yes, yes, F.lit(None).cast("string"), no, name), "APPROVAL_REQUIRED"), ((no, yes, yes, ok, none, name), "DRY_RUN"), ((no, yes, yes, ok, no, F.lit(" @ ")), "INVALID_TARGET"), ((no, yes, yes, ok, no, F.lit("My_Bot")), "INVALID_TARGET")]
+    got = spark.range(1).select(*[state.safety_gate(*a).alias(f"c{i}") for i, (a, _) in enumerate(cases)]).first()
+    assert list(got) == [want for _, want in cases]

@@ -6,7 +6,7 @@ keys go through the streaming versions, which keep only the state.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,30 @@ def count_windows(df: DataFrame, key: str, order: list[str], size: int) -> DataF
     from pyspark.sql import Window
 
     return df.withColumn("bucket", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / size))
+
+
+def connector_health(df: DataFrame, key: str, ts: str, order: str, kind: str, least: int = 3, cool_down_s: int = 300) -> DataFrame:
+    """SM9: (key, status, failures, cool_until) after a connector's events (success, rate_limit, else a failure).
+
+    A success heals; a rate limit cools down for ``cool_down_s``; ``least`` failures in a row degrade.
+    """
+    rows = _ordered(df.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), order, kind), key, ["t", order, kind])
+    fold = f"""aggregate(es, named_struct('st', 'HEALTHY', 'n', 0, 'cool', cast(null as bigint)),
+        (s, e) -> case when e.{kind} = 'success' then named_struct('st', 'HEALTHY', 'n', 0, 'cool', s.cool)
+            when e.{kind} = 'rate_limit' then named_struct('st', 'RATE_LIMITED', 'n', s.n + 1, 'cool', e.t + {cool_down_s}000000L)
+            else named_struct('st', if(s.n + 1 >= {least}, 'DEGRADED', s.st), 'n', s.n + 1, 'cool', s.cool) end)"""
+    return rows.select(key, F.expr(fold).alias("s")).select(key, F.col("s.st").alias("status"), F.col("s.n").alias("failures"), F.timestamp_micros("s.cool").cast("timestamp_ntz").alias("cool_until"))
+
+
+def safety_gate(stopped: Column, enabled: Column, session_ok: Column, status: Column, dry_run: Column, target: Column, aliases: tuple[str, ...] = ()) -> Column:
+    """SM11: the first of six layers that blocks a row, as a reason; ``ALLOWED`` where none does.
+
+    A null never lets a row through: every layer must be known to hold.
+    """
+    name = F.regexp_replace(F.lower(F.trim(F.coalesce(target, F.lit("")))), "^@+", "")
+    layers = (
+        (~F.coalesce(stopped, F.lit(True)), "BLOCKED_BY_KILL_SWITCH"), (enabled, "OUTREACH_DISABLED"), (session_ok, "SECURITY_VIOLATION"),
+        (F.lower(status) == "approved", "APPROVAL_REQUIRED"), (~F.coalesce(dry_run, F.lit(True)), "DRY_RUN"),
+        ((name != "") & ~name.endswith("bot") & ~name.isin(*aliases, ""), "INVALID_TARGET"),
+    )
+    return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), reason) for ok, reason in layers], F.lit("ALLOWED"))
