@@ -8,8 +8,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import ladders, scores, text
-from tidemark.operators import graph, merge, messages, schedule, state
+from tidemark.functions import commercial, ladders, scores, text
+from tidemark.operators import eligibility, graph, merge, messages, schedule, state
 from tidemark.plans.registry import ORACLES, QUERIES
 from tidemark.sources import io
 from tidemark.streaming import streams
@@ -206,3 +206,38 @@ def test_gate_lets_no_null_through(spark):
     cases = [((no, yes, yes, ok, no, name), "ALLOWED"), ((none, yes, yes, ok, no, name), "BLOCKED_BY_KILL_SWITCH"), ((no, none, yes, ok, no, name), "OUTREACH_DISABLED"), ((no, yes, none, ok, no, name), "SECURITY_VIOLATION"), ((no, yes, yes, F.lit(None).cast("string"), no, name), "APPROVAL_REQUIRED"), ((no, yes, yes, ok, none, name), "DRY_RUN"), ((no, yes, yes, ok, no, F.lit(" @ ")), "INVALID_TARGET"), ((no, yes, yes, ok, no, F.lit("My_Bot")), "INVALID_TARGET")]
     got = spark.range(1).select(*[state.safety_gate(*a).alias(f"c{i}") for i, (a, _) in enumerate(cases)]).first()
     assert list(got) == [want for _, want in cases]
+
+
+def test_text_fed_scores(spark):
+    texts = ["Become an IB of this broker", "ib.", "Alpha Markets, register here", "AlphaMarkets register", "affiliate programme", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    flag = commercial.broker_model(F.col("t"), ["affiliate programme"], ["Alpha"], ["broker"], ["register"])
+    got = {r.i: (r.f, r.w, r.a) for r in df.select("i", flag.alias("f"), commercial.distinct_words(F.col("t"), ["ib", "alpha"]).alias("w"), commercial.region_score(F.col("t"), F.col("t"), {"x": (["here"], "+1")}).alias("a")).collect()}
+    assert [got[i][0] for i in range(7)] == [True, False, True, False, True, False, False]
+    assert [got[i][1] for i in range(7)] == [1, 1, 1, 0, 0, 0, 0] and got[2][2] == 20 and got[6][2] == 0
+    null = F.lit(None).cast("int")
+    none = F.lit(None).cast("boolean")
+    row = spark.range(1).select(
+        commercial.intent_score(null, null, [none], none, none, none, null).alias("a"), commercial.arabic_score(null.cast("string"), F.lit("قناة"), null, null, none, none, F.lit(True)).alias("b"),
+        commercial.complexity(null, null, null, null, none, null).alias("c"), commercial.commercial_activity(null, null, null, null, none, none).alias("d"),
+        commercial.commercial_freshness(null.cast("double"), none).alias("e"), commercial.commercial_freshness(F.lit(-2.0), none).alias("f"),
+    ).first()
+    assert tuple(row) == (0, 40, 0, 0, 0, 5)
+
+
+def test_eligibility_edges(spark):
+    at = lambda day: datetime(2024, 1, day)
+    leads = [
+        (1, "@Ann", None, None, None, None), (2, "ann", None, None, None, None), (3, None, None, None, None, None), (4, "@", None, None, None, None), (5, "x_bot", None, None, None, None), (6, "Admin", None, None, None, None),
+        (7, "bad", None, None, None, None), (8, "cid", "rejected", None, None, None), (9, "dan", None, None, None, " Inactive channel since"), (10, "eve", None, at(20), None, None), (11, "fay", None, at(10), 76, None), (12, "gus", None, None, 75, None), (13, "hal", None, None, 90, None),
+    ]
+    logs = [(1, "c1", "sent"), (13, "c2", "failed"), (13, "c2", "failed"), (13, "c2", "failed"), (None, "c1", "sent"), (99, "c1", "sent"), (12, None, None)]
+    got = eligibility.eligibility(
+        spark.createDataFrame(leads, "id long, contact string, status string, next_eligible_at timestamp_ntz, risk int, about string").withColumn("_name2", F.lit(1)),
+        spark.createDataFrame(logs, "lead_id long, campaign_id string, status string"), spark.createDataFrame([("@BAD",), ("bad",), (None,)], "name string"), "c1", "2024-01-15", ("admin",),
+    ).collect()
+    assert len(got) == 13
+    assert {r.id: (r.eligibility, r.reason) for r in got} == {
+        1: ("CONTACTED", "in this campaign"), 2: ("CONTACTED", "by another lead"), 3: ("BLOCKED", "empty contact"), 4: ("BLOCKED", "empty contact"), 5: ("BLOCKED", "bot"), 6: ("BLOCKED", "system name"), 7: ("BLOCKED", "blacklisted"),
+        8: ("BLOCKED", "rejected"), 9: ("BLOCKED", "inactive"), 10: ("COOLDOWN", "cooling down"), 11: ("RISKY", "risk"), 12: ("ELIGIBLE", "eligible"), 13: ("FAILED", "failure history"),
+    }

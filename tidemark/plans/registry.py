@@ -1,6 +1,6 @@
 """All registered queries and oracles of the core library."""
 
-from tidemark.plans import messages, scored  # noqa: F401  register their queries
+from tidemark.plans import commercial, messages, scored  # noqa: F401  register their queries
 from tidemark.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
