@@ -241,3 +241,22 @@ def test_eligibility_edges(spark):
         1: ("CONTACTED", "in this campaign"), 2: ("CONTACTED", "by another lead"), 3: ("BLOCKED", "empty contact"), 4: ("BLOCKED", "empty contact"), 5: ("BLOCKED", "bot"), 6: ("BLOCKED", "system name"), 7: ("BLOCKED", "blacklisted"),
         8: ("BLOCKED", "rejected"), 9: ("BLOCKED", "inactive"), 10: ("COOLDOWN", "cooling down"), 11: ("RISKY", "risk"), 12: ("ELIGIBLE", "eligible"), 13: ("FAILED", "failure history"),
     }
+
+
+def test_forward_origin(spark):
+    rows = [
+        (1, (("c1", "u1", None), ("c9",), 5, 6, "@Name_1", "@direct", "chat_1", datetime(2024, 1, 1))), (2, ((None, "u2", "g2"), None, 0, 6, " @Name_2 ", "", None, None)),
+        (3, (None, ("c3",), None, None, "at t.me/name_3/7", None, None, None)), (4, (None, None, None, None, "@", None, None, None)), (5, None),
+    ]
+    df = spark.createDataFrame(rows, f"i int, h {messages.FORWARD}")
+    got = {r.i: r.o and tuple(r.o) for r in df.select("i", messages.forward_origin(F.col("h"), F.col("i")).alias("o")).collect()}
+    assert got == {
+        1: ("c1", "c1", 5, "@Name_1", "chat_1", 1, datetime(2024, 1, 1)), 2: (None, "u2", 6, " @Name_2 ", "Name_2", 2, None), 3: ("c3", "c3", None, "at t.me/name_3/7", "name_3", 3, None),
+        4: (None, None, None, "@", None, 4, None), 5: None,
+    }
+
+
+def test_first_stage(spark):
+    df = spark.createDataFrame([(1, "Gold", "gold and silver", "x"), (2, "قناة VIP", None, "a"), (3, None, None, None), (4, "gold", "", "my_bot"), (5, "قناة", "", "a")], "i int, t string, a string, n string")
+    got = {r.i: tuple(r.x) for r in df.select("i", commercial.first_stage(F.col("t"), F.col("a"), F.col("n"), ["gold", "silver"], ["vip"]).alias("x")).collect()}
+    assert got == {1: (True, "terms", 50), 2: (True, "community", 40), 3: (True, "second stage", 20), 4: (False, "bot", 0), 5: (True, "second stage", 20)}

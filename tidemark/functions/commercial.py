@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .ladders import clamp, ladder
 from .scores import _n, _points, recurrence
-from .text import word_count_of
+from .text import script_ratio, word_count_of
 
 ARABIC_TEXT = "[؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿]"
 #: fixed values: points of each business model, tiers of the legacy score
@@ -30,6 +30,16 @@ def distinct_words(c: Column, terms: list[str]) -> Column:
     return sum((F.coalesce((word_count_of(c, t) > 0).cast("int"), F.lit(0)) for t in terms), F.lit(0))
 
 
+def first_stage(title: Column, about: Column, name: Column, terms: list[str], community: list[str]) -> Column:
+    """SC15: struct (pass, reason, score) from metadata alone: only bot names fail. 25 a term of the lexicon
+    (100 at most), 40 for a mostly Arabic text with a word of ``community``, else 20."""
+    text = F.lower(F.concat_ws(" ", title, about, name))
+    hits = sum((F.when(text.contains(t.lower()), 1).otherwise(0) for t in terms), F.lit(0))
+    out = lambda ok, reason, score: F.struct(F.lit(ok).alias("pass"), F.lit(reason).alias("reason"), score.cast("int").alias("score"))
+    community_like = (script_ratio(text) > 0.4) & has_any(text, community)
+    return F.when(name.endswith("bot"), out(False, "bot", F.lit(0))).when(hits >= 1, out(True, "terms", F.least(F.lit(100), hits * 25))).when(community_like, out(True, "community", F.lit(40))).otherwise(out(True, "second stage", F.lit(20)))
+
+
 def intent_score(core: Column, signals: Column, business: list[Column], phone: Column, contact: Column, website: Column, bonus: Column) -> Column:
     """SC17: 10 a core word (40 at most), 5 a signal word (30), 10 each kind of business, trust of 4, 3
     and 3 for phone, contact and website, and the method's bonus; 0 without a core or a signal word."""

@@ -143,6 +143,33 @@ def message_edges(df: DataFrame, source: str, text: str, forward: Column, promo:
     return df.select(source, F.explode(F.array_distinct(F.concat(forwards, links, mentions))).alias("_x")).select(source, "_x.*")
 
 
+#: what is known of a forwarded message; ids are strings
+FORWARD = """struct<from_id:struct<channel_id:string,user_id:string,chat_id:string>,saved_from_peer:struct<channel_id:string>,
+    channel_post:bigint,saved_from_msg_id:bigint,from_name:string,from_username:string,chat_username:string,date:timestamp_ntz>"""
+
+
+def forward_origin(header: Column, message_id: Column) -> Column:
+    """TX11: struct (channel_id, peer_id, post_id, name, username, message_id, observed_at) of a forward header
+    in the form of ``FORWARD``; null for messages that are no forwards.
+
+    The channel comes from the sender, else the saved peer; the post from the channel post, else the
+    saved message; the user name from the chat, else the header, else ``@name`` or a link in the
+    sender's name. Without a date ``observed_at`` is null, as "now" is never read here.
+    """
+    some = lambda x: F.nullif(x, F.lit(""))
+    sender = some(header["from_id"]["channel_id"])
+    saved = some(header["saved_from_peer"]["channel_id"])
+    person = F.coalesce(some(header["from_id"]["user_id"]), some(header["from_id"]["chat_id"]))
+    post = F.coalesce(F.nullif(header["channel_post"], F.lit(0)), F.nullif(header["saved_from_msg_id"], F.lit(0)))
+    name = F.trim(header["from_name"])
+    named = F.when(name.startswith("@"), some(F.substr(name, F.lit(2)))).otherwise(_first(name, r"t\.me/([a-zA-Z0-9_]{5,32})", 1))
+    user = F.coalesce(some(header["chat_username"]), some(F.regexp_replace(header["from_username"], "^@+", "")), named)
+    return F.when(header.isNotNull(), F.struct(
+        F.coalesce(sender, saved).alias("channel_id"), F.coalesce(sender, saved, person).alias("peer_id"), post.alias("post_id"),
+        header["from_name"].alias("name"), user.alias("username"), message_id.alias("message_id"), header["date"].alias("observed_at"),
+    ))
+
+
 def label_references(df: DataFrame, source: str, target: str, kind: Column, order: Column, promo: Column) -> DataFrame:
     """TX13: one label for each (source, target): ``advertisement`` if the deciding reference promotes,
     else its kind. A link beats mentions; the last link and else the first mention decides.

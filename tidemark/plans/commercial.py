@@ -87,3 +87,11 @@ def sc32_eligibility(s, d):
     logs = orders(s, d).select(c("o_custkey").alias("lead_id"), c("o_orderstatus").alias("campaign_id"), status.alias("status"))
     bad = leads(s, d).filter("nation = 4 and segment = 'BUILDING'").select(contact.alias("name"))
     return eligibility(rows, logs, bad, "F", "2024-01-15")
+
+
+@query("""with h as (select doc_id, source, 25 * (contains(lower(coalesce(text, '') || source), 'zu')::int + contains(lower(coalesce(text, '') || source), 'ión')::int + contains(lower(coalesce(text, '') || source), 'ough')::int) score from documents)
+select doc_id, not ends_with(source, '7') pass, case when ends_with(source, '7') then 'bot' when score > 0 then 'terms' else 'second stage' end reason, case when ends_with(source, '7') then 0 when score > 0 then score else 20 end score from h""")
+def sc15_first_stage(s, d):
+    name = F.when(c("source").endswith("7"), F.concat("source", F.lit("bot"))).otherwise(c("source"))
+    card = K.first_stage(F.lit(None).cast("string"), c("text"), name, ["zu", "ión", "ough"], ["vip"])
+    return documents(s, d).select("doc_id", card.alias("x")).select("doc_id", "x.*")

@@ -73,3 +73,17 @@ def sm11_gate(s, d):
     target = F.when(c("channel").endswith("7"), F.concat(F.lit("@x"), c("channel"), F.lit("Bot"))).otherwise(c("channel"))
     gate = state.safety_gate(c("nation") == 3, c("lead_score") >= -5, c("segment") != "MACHINERY", F.when(c("tier").isNotNull(), "approved"), c("tier") == "P0", target)
     return leads(s, d).select("id", gate.alias("reason"))
+
+
+@query("""select event_id, case when event_type <> 'view' then case when user_id % 3 > 0 then user_id::varchar when user_id % 2 = 0 then 's' || user_id end end channel_id,
+case when event_type <> 'view' then case when event_type = 'error' then 'chat' || user_id % 5 when user_id % 4 = 0 then 'nick' when user_id % 4 = 1 then 'from_' || user_id end end username, case when event_type <> 'view' then ts end observed_at from events""")
+def tx11_forwards(s, d):
+    text, no = (lambda x: F.concat(F.lit(x), c("user_id"))), F.lit(None)
+    u = c("user_id")
+    parts = {
+        "from_id": F.struct(F.when(u % 3 > 0, u.cast("string")).alias("channel_id"), no.cast("string").alias("user_id"), no.cast("string").alias("chat_id")),
+        "saved_from_peer": F.struct(F.when(u % 2 == 0, text("s")).alias("channel_id")), "channel_post": no.cast("bigint"), "saved_from_msg_id": c("event_id"),
+        "from_name": F.when(u % 4 == 1, text("see t.me/from_")), "from_username": F.when(u % 4 == 0, "@nick"), "chat_username": F.when(c("event_type") == "error", F.concat(F.lit("chat"), u % 5)), "date": c("ts"),
+    }
+    header = F.when(c("event_type") != "view", F.struct(*[v.alias(k) for k, v in parts.items()]))
+    return events(s, d).select("event_id", M.forward_origin(header, c("event_id")).alias("o")).select("event_id", "o.channel_id", "o.username", "o.observed_at")
