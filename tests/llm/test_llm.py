@@ -243,6 +243,20 @@ def test_configurations_use_every_length():
         assert bins >= (lengths * counts).sum() / 2048
 
 
+def test_linear_program_packs_most_tokens():
+    rng = np.random.default_rng(6)
+    lengths = np.unique(np.concatenate([rng.integers(1, 2049, 2500), [1, 3, 7]]))
+    counts = rng.integers(1, 12, len(lengths))
+    found, bound = packing.linear_program(lengths, counts)
+    covered = np.zeros(len(lengths))
+    for config, copies in found.items():
+        assert sum(lengths[k] * m for k, m in config) <= 2048 and all(m <= counts[k] for k, m in config)
+        for k, m in config:
+            covered[k] += m * copies
+    assert np.allclose(covered, counts) and bound <= sum(found.values()) <= 1.005 * bound
+    assert sum(n * sum(lengths[k] * m for k, m in config) for config, n in packing.rounded(found)) > 0.8 * (lengths @ counts)
+
+
 def test_urlfilter_parts_and_rules(spark):
     urls = [None, "", "no scheme/x", "http://", "HTTP://A.Example.ORG", "http://b.example.org/en/1?x#y", "http://example.org/es/#a", "http://notexample.org/es/", "http://x.com/de/a", "http://x.com/fr/", "http://x.com?q=/fr/", "http://ünï.com/fr/z", "x://y://z/p", "http://x.net/"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")

@@ -2,16 +2,20 @@
 
 The lengths of all pieces form a histogram of at most ``size`` bars. A configuration is a
 multiset of lengths that fit one sequence; the linear program asks for the fewest (fractional)
-configurations that cover the histogram. Multiplicative weights solve it: each round prices
-the lengths by how little they are covered, a knapsack dynamic program finds the configuration
-of the highest price, and its lengths become cheaper. The solution is scaled and rounded down,
-and what is left over is packed by best-fit on the histogram. Only the histogram and the
-configurations, whose number is bounded by the rounds and the lengths, are on the driver; the
+configurations that cover the histogram. Each step takes the dearest length that is not yet
+covered, and a knapsack dynamic program fills the rest of its sequence at the highest price,
+with no length more often than is left of it; the configuration is used until one of its lengths
+is covered. So every length ends covered exactly once over, by at most one configuration a
+length. Prices bound the optimum from below; while the gap is above ``GAP``, the lengths in
+wasteful configurations become dearer (multiplicative weights) and the sweep is repeated. The
+solution is rounded down, and what is left over is packed by best-fit on the histogram. Only the
+histogram and the configurations, whose number is bounded by the lengths, are on the driver; the
 pieces find their places by rank within their length, in parallel.
 """
 
 from __future__ import annotations
 
+import logging
 import re
 import zlib
 from functools import lru_cache
@@ -24,12 +28,17 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SIZE = 2048
+#: sweeps of the linear program at most, and its step of the weights
 ROUNDS = 250
 STEP = 0.1
+#: gap to the lower bound that ends it, and sweeps without a better solution that do
+GAP = 0.002
+STALLED = 4
 #: pieces of one length are ranked within so many buckets, then by the buckets' sums
 BUCKETS = 64
 CACHE_CHUNKS = 600_000
 LONGEST_CACHED = 64
+_LOG = logging.getLogger(__name__)
 
 
 @lru_cache(maxsize=4)
@@ -128,29 +137,99 @@ def token_pieces(docs: DataFrame, path: str, size: int = SIZE, id_col: str = "do
     return df.mapInArrow(_pieces(path, size), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _best_configuration(price: np.ndarray, lengths: np.ndarray, size: int) -> dict[int, int]:
-    """Unbounded knapsack: the multiset of lengths within ``size`` of the highest total price."""
+def _best_value(price: np.ndarray, lengths: np.ndarray, size: int) -> float:
+    """Unbounded knapsack: the highest total price of a multiset of lengths within ``size``."""
     best = np.zeros(size + 1)
-    took = np.full(size + 1, -1, np.int64)
     for room in range(1, size + 1):
         n = int(np.searchsorted(lengths, room, "right"))
-        best[room], took[room] = best[room - 1], -1
-        if n:
-            value = best[room - lengths[:n]] + price[:n]
-            k = int(np.argmax(value))
-            if value[k] > best[room]:
-                best[room], took[room] = value[k], k
+        best[room] = max(best[room - 1], float((best[room - lengths[:n]] + price[:n]).max())) if n else best[room - 1]
+    return float(best[size])
+
+
+def _fill(price: np.ndarray, lengths: np.ndarray, most: np.ndarray, room: int) -> dict[int, int]:
+    """Knapsack of at most ``most`` of each length within ``room``, dearest per token first.
+
+    It ends early where no further length can add more than ``GAP`` of the price.
+    """
+    density = price / lengths
+    best, takes = np.zeros(room + 1), []
+    for k in np.argsort(-density, kind="stable").tolist():
+        if best[room] >= (1 - GAP / 2) * density.max() * room:
+            break
+        n, m = min(int(most[k]), room // int(lengths[k])), 1
+        while n > 0:
+            m = min(m, n)
+            n -= m
+            span = m * int(lengths[k])
+            value = best[:-span] + m * price[k]
+            up = value > best[span:]
+            best[span:] = np.where(up, value, best[span:])
+            takes.append((k, m, span, up))
+            m *= 2
     config: dict[int, int] = {}
-    room = size
-    while room > 0:
-        if (k := int(took[room])) < 0:
-            room -= 1
-            continue
-        config[k] = config.get(k, 0) + 1
-        room -= int(lengths[k])
+    for k, m, span, up in reversed(takes):
+        if room >= span and up[room - span]:
+            config[k] = config.get(k, 0) + m
+            room -= span
     return config
 
 
+def _sweep(price: np.ndarray, lengths: np.ndarray, counts: np.ndarray, size: int) -> dict[tuple[tuple[int, int], ...], float]:
+    """{configuration: copies} that cover every count exactly; copies may be fractions."""
+    left, found = counts.astype(float), {}
+    for first in np.lexsort((-lengths, -price)).tolist():
+        while left[first] > 0:
+            most = np.floor(left + 1e-9)
+            most[first] -= 1
+            live = np.flatnonzero((most > 0) & (lengths <= size - lengths[first]))
+            config = {first: 1}
+            if len(live):
+                for k, m in _fill(price[live], lengths[live], most[live], size - int(lengths[first])).items():
+                    config[int(live[k])] = config.get(int(live[k]), 0) + m
+            copies = min(left[k] / m for k, m in config.items())
+            for k, m in config.items():
+                left[k] = left[k] - m * copies if left[k] - m * copies > 1e-9 else 0.0
+            key = tuple(sorted(config.items()))
+            found[key] = found.get(key, 0.0) + copies
+    return found
+
+
+def linear_program(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, rounds: int = ROUNDS, step: float = STEP) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """({((index of length, multiplicity), ...): copies}, lower bound of the copies' sum).
+
+    Every length is covered exactly. The bound is the best of: all tokens by ``size``, the
+    pieces longer than half of it, and the worth of the histogram at each sweep's prices.
+    """
+    weight, best, stalled = 1 + GAP / 2 * lengths / size, {}, 0
+    total, bound = np.inf, max(float(lengths @ counts) / size, float(counts[2 * lengths > size].sum()))
+    for turn in range(max(1, rounds)):
+        price = lengths * weight
+        if turn:
+            bound = max(bound, float(price @ counts) / _best_value(price, lengths, size))
+        found = _sweep(price, lengths, counts, size)
+        if (now := sum(found.values())) < total - 1e-9:
+            best, total, stalled = found, now, 0
+        else:
+            stalled += 1
+        if total <= (1 + GAP) * bound or stalled == STALLED:
+            break
+        waste = np.zeros(len(lengths))
+        for config, copies in found.items():
+            empty = 1 - sum(int(lengths[k]) * m for k, m in config) / size
+            for k, m in config:
+                waste[k] += m * copies * empty / counts[k]
+        weight = weight * (1 + step) ** (waste / max(waste.max(), 1e-12))
+        weight /= weight.min()
+    _LOG.info("configuration LP: %.2f sequences, lower bound %.2f, gap %.4f", total, bound, total / bound - 1)
+    return best, bound
+
+
+def rounded(found: dict[tuple[tuple[int, int], ...], float]) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+    """The whole copies of a fractional solution."""
+    whole = ((config, int(copies + 1e-9)) for config, copies in sorted(found.items(), key=lambda x: -x[1]))
+    return [(config, n) for config, n in whole if n]
+
+
 def configurations(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[list[tuple[int, int]], int]]:
     """[(lengths with multiplicity, copies)]: sequences that use each length exactly as often as it occurs.
 
@@ -165,23 +244,8 @@ def configurations(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, ro
             left[k] -= n * copies
 
     if len(lengths) > 1:
-        covered, price, found = np.zeros(len(lengths)), 1.0 / left, {}
-        for _ in range(rounds):
-            config = _best_configuration(price, lengths, size)
-            ks, ns = np.array(list(config)), np.array(list(config.values()))
-            copies = float((left[ks] / ns).min())
-            key = tuple(sorted(config.items()))
-            found[key] = found.get(key, 0.0) + copies
-            covered[ks] += ns * copies / left[ks]
-            price[ks] *= (1 - step) ** (ns * copies / left[ks])
-            price /= price.max()
-        # those lengths that are covered best set the scale; the rest is left to best fit
-        scale = max(1.0, float(np.quantile(covered, 0.5)))
-        for key, copies in sorted(found.items(), key=lambda x: -x[1]):
-            config = dict(key)
-            n = min([int(copies / scale + 1e-9), *(int(left[k] // m) for k, m in config.items())])
-            if n:
-                use(config, n)
+        for config, copies in rounded(linear_program(lengths, left.copy(), size, rounds, step)[0]):
+            use(dict(config), copies)
     while left.any():
         config, room = {}, size
         k = int(np.flatnonzero(left)[-1])
