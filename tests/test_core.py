@@ -83,6 +83,23 @@ def test_health_machine(spark):
     assert {r.key: (r.health, r.state) for r in got.collect()} == {"a": (90, "HEALTHY"), "b": (75, "COOLDOWN"), "c": (55, "RESTRICTED"), "d": (1, "QUARANTINED")}
 
 
+def test_folds_hold_no_history(spark):
+    df, by = fold_events(spark)
+    df = df.unionAll(df.filter("key = 0").withColumn("key", F.lit(None).cast("int")))
+    folds = [
+        state.rate_limiter(df, "key", "ts", "seq", 60, 3), state.fixed_window_trips(df, "key", "ts", "seq", 100, 5),
+        state.health_machine(df, "key", "ts", "seq", "kind"), state.connector_health(df, "key", "ts", "seq", "kind"),
+    ]
+    rows = [sorted(map(repr, f.collect())) for f in folds]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # a key spans many batches
+    try:
+        for f, want in zip(folds, rows, strict=True):
+            assert "collect_list" not in f._jdf.queryExecution().toString() and len(want) == 4
+            assert sorted(map(repr, f.select("*").collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_streams_equal_batch(spark, tmp_path):
     batch = spark.read.parquet(f"{SF}/events.parquet")
     hours = streams.run_to_end(streams.hourly(streams.events(spark, SF)), "hourly", str(tmp_path / "a"))

@@ -1,48 +1,95 @@
-"""Ordered folds and state machines in batch: per-key event arrays folded by ``aggregate``.
+"""Ordered folds and state machines in batch.
 
-A key's events are sorted and folded in one row, so a key's history must fit a task; heavier
-keys go through the streaming versions, which keep only the state.
+Events are dealt by key and sorted within their partition; a task then reads them in order, batch
+by batch, and keeps one key's small state only. So no key's history is ever held as one value, and
+a heavy key costs the time of one task and the sort's spill, not its memory.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _ordered(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("es"))
+def _folded(df: DataFrame, key: str, fields: list[str], start: Callable, step: Callable, result: Callable, columns: dict[str, str]) -> DataFrame:
+    """(key, *columns): ``result`` of each key's state after ``step(state, *fields)`` over its rows, in order of the fields.
+
+    The functions must be nested ones that use no module global: they travel by value.
+    """
+    types = list(columns.values())
+
+    def run(batches):
+        import pyarrow as pa
+
+        arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+        open_, current, state, kind = False, None, None, None
+
+        def batch_of(done):
+            values = [pa.array([d[0] for d in done], kind)] + [pa.array([d[1][i] for d in done], arrow[t]) for i, t in enumerate(types)]
+            return pa.record_batch(values, names=[key, *columns])
+
+        for batch in batches:
+            kind, done = batch.column(0).type, []
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not open_ or k != current:
+                    if open_:
+                        done.append((current, result(state)))
+                    open_, current, state = True, k, start()
+                state = step(state, *row)
+            if done:
+                yield batch_of(done)
+        if open_:
+            yield batch_of([(current, result(state))])
+
+    rows = df.select(key, *fields)
+    schema = ", ".join([f"`{key}` {rows.schema[0].dataType.simpleString()}", *(f"{n} {t}" for n, t in columns.items())])
+    return rows.repartition(key).sortWithinPartitions(key, *fields).mapInArrow(run, schema)
+
+
+def _timed(df: DataFrame, key: str, ts: str, *others: str) -> DataFrame:
+    return df.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), *others)
 
 
 def rate_limiter(df: DataFrame, key: str, ts: str, order: str, window_s: int, most: int) -> DataFrame:
     """ST6: sliding-window log: an event is admitted if fewer than ``most`` admitted ones lie in the window before it."""
-    rows = _ordered(df.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), order), key, ["t", order])
-    fold = f"""aggregate(es, named_struct('log', cast(array() as array<bigint>), 'yes', 0L, 'no', 0L),
-        (s, e) -> transform(array(filter(s.log, x -> x > e.t - {window_s}000000L)), l -> if(size(l) < {most},
-            named_struct('log', array_append(l, e.t), 'yes', s.yes + 1, 'no', s.no),
-            named_struct('log', l, 'yes', s.yes, 'no', s.no + 1)))[0])"""
-    return rows.select(key, F.expr(fold).alias("s")).select(key, F.col("s.yes").alias("admitted"), F.col("s.no").alias("rejected"))
+
+    def step(s, t, _):
+        log, yes, no = s
+        log = [x for x in log if x is not None and t is not None and x > t - window_s * 1_000_000]
+        return ([*log, t], yes + 1, no) if len(log) < most else (log, yes, no + 1)
+
+    return _folded(_timed(df, key, ts, order), key, ["t", order], lambda: ([], 0, 0), step, lambda s: s[1:], {"admitted": "bigint", "rejected": "bigint"})
 
 
 def fixed_window_trips(df: DataFrame, key: str, ts: str, order: str, window_s: int, most: int) -> DataFrame:
     """ST7: a window opens at its first hit; reaching ``most`` hits within it trips the breaker and closes it."""
-    rows = _ordered(df.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), order), key, ["t", order])
-    fold = f"""aggregate(es, named_struct('from', cast(null as bigint), 'n', 0, 'trips', 0),
-        (s, e) -> transform(array(if(s.from is null or e.t >= s.from + {window_s}000000L, named_struct('from', e.t, 'n', 1), named_struct('from', s.from, 'n', s.n + 1))),
-            w -> if(w.n >= {most}, named_struct('from', cast(null as bigint), 'n', 0, 'trips', s.trips + 1), named_struct('from', w.from, 'n', w.n, 'trips', s.trips)))[0])"""
-    return rows.select(key, F.expr(fold).getField("trips").alias("trips"))
+
+    def step(s, t, _):
+        since, n, trips = s
+        since, n = (t, 1) if since is None or t >= since + window_s * 1_000_000 else (since, n + 1)
+        return (None, 0, trips + 1) if n >= most else (since, n, trips)
+
+    return _folded(_timed(df, key, ts, order), key, ["t", order], lambda: (None, 0, 0), step, lambda s: s[2:], {"trips": "int"})
 
 
 def health_machine(df: DataFrame, key: str, ts: str, order: str, kind: str) -> DataFrame:
     """SM6: health points and state over an account's events (success, flood, error, auth)."""
-    rows = _ordered(df.select(key, ts, order, kind), key, [ts, order, kind])
+
     # fixed values: points and transitions of each kind of event
-    fold = f"""aggregate(es, named_struct('h', 100, 'st', 'HEALTHY'),
-        (s, e) -> transform(array(case e.{kind} when 'success' then least(100, s.h + 1) when 'flood' then greatest(0, s.h - 15) when 'error' then greatest(0, s.h - 10) else 0 end), h ->
-            named_struct('h', h, 'st', case when s.st = 'QUARANTINED' or e.{kind} = 'auth' then 'QUARANTINED'
-                when e.{kind} = 'flood' and s.st = 'HEALTHY' then 'DEGRADED' when e.{kind} in ('flood', 'error') and s.st = 'DEGRADED' then 'COOLDOWN'
-                when e.{kind} = 'flood' and s.st = 'COOLDOWN' then 'RESTRICTED' when e.{kind} = 'success' and s.st = 'DEGRADED' and h >= 90 then 'HEALTHY' else s.st end))[0])"""
-    return rows.select(key, F.expr(fold).alias("s")).select(key, F.col("s.h").alias("health"), F.col("s.st").alias("state"))
+    def step(s, _, __, event):
+        h, st = s
+        h = {"success": min(100, h + 1), "flood": max(0, h - 15), "error": max(0, h - 10)}.get(event, 0)
+        if st == "QUARANTINED" or event == "auth":
+            return h, "QUARANTINED"
+        if event == "flood" and st in ("HEALTHY", "COOLDOWN"):
+            return h, "DEGRADED" if st == "HEALTHY" else "RESTRICTED"
+        if event in ("flood", "error") and st == "DEGRADED":
+            return h, "COOLDOWN"
+        return h, "HEALTHY" if event == "success" and st == "DEGRADED" and h >= 90 else st
+
+    return _folded(df, key, [ts, order, kind], lambda: (100, "HEALTHY"), step, lambda s: s, {"health": "int", "state": "string"})
 
 
 def count_windows(df: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
@@ -57,12 +104,17 @@ def connector_health(df: DataFrame, key: str, ts: str, order: str, kind: str, le
 
     A success heals; a rate limit cools down for ``cool_down_s``; ``least`` failures in a row degrade.
     """
-    rows = _ordered(df.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), order, kind), key, ["t", order, kind])
-    fold = f"""aggregate(es, named_struct('st', 'HEALTHY', 'n', 0, 'cool', cast(null as bigint)),
-        (s, e) -> case when e.{kind} = 'success' then named_struct('st', 'HEALTHY', 'n', 0, 'cool', s.cool)
-            when e.{kind} = 'rate_limit' then named_struct('st', 'RATE_LIMITED', 'n', s.n + 1, 'cool', e.t + {cool_down_s}000000L)
-            else named_struct('st', if(s.n + 1 >= {least}, 'DEGRADED', s.st), 'n', s.n + 1, 'cool', s.cool) end)"""
-    return rows.select(key, F.expr(fold).alias("s")).select(key, F.col("s.st").alias("status"), F.col("s.n").alias("failures"), F.timestamp_micros("s.cool").cast("timestamp_ntz").alias("cool_until"))
+
+    def step(s, t, _, event):
+        st, n, cool = s
+        if event == "success":
+            return "HEALTHY", 0, cool
+        if event == "rate_limit":
+            return "RATE_LIMITED", n + 1, None if t is None else t + cool_down_s * 1_000_000
+        return "DEGRADED" if n + 1 >= least else st, n + 1, cool
+
+    done = _folded(_timed(df, key, ts, order, kind), key, ["t", order, kind], lambda: ("HEALTHY", 0, None), step, lambda s: s, {"status": "string", "failures": "int", "cool": "bigint"})
+    return done.select(key, "status", "failures", F.timestamp_micros("cool").cast("timestamp_ntz").alias("cool_until"))
 
 
 def safety_gate(stopped: Column, enabled: Column, session_ok: Column, status: Column, dry_run: Column, target: Column, aliases: tuple[str, ...] = ()) -> Column:
