@@ -100,6 +100,17 @@ def test_folds_hold_no_history(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_all_languages_and_null_texts(spark, tmp_path):
+    rows = [(1, "le secret", "fr", "a", 9), (2, "das token", "de", "a", 9), (3, None, "en", "a", 0), (4, "the haus haus", "de", "a", 9), (5, "haus", None, "a", 4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, 0) for i in (2, 4, 5)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.terms for r in run("tx1_lexicon_all")} == {1: "secret", 2: "token", 3: "", 4: "the", 5: ""}
+    assert {r.feature: r.df_pos for r in run("lm4_contrast_all")} == {"haus": 2}
+    scores = {r.doc_id: r.score for r in run("sc17_intent_all")}
+    assert len(scores) == 5 and scores[3] == 0
+
+
 def test_streams_equal_batch(spark, tmp_path):
     batch = spark.read.parquet(f"{SF}/events.parquet")
     hours = streams.run_to_end(streams.hourly(streams.events(spark, SF)), "hourly", str(tmp_path / "a"))

@@ -270,6 +270,12 @@ def lm4_contrast(s, d):
     return mining.contrast(docs, T.tokens(c("text")), 1)
 
 
+@query(ORACLES["lm4_contrast"].replace(" where lang = 'en'", ""))
+def lm4_contrast_all(s, d):
+    docs = documents(s, d).join(table(s, d, "labels"), "doc_id").select("text", (c("quality") == 1).alias("positive"))
+    return mining.contrast(docs, T.tokens(c("text")), 1)
+
+
 @query("select doc_id, case when a + b > 0 then 0.0 else 0.0 end ratio, b latin from (select doc_id, 0 a, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) b from documents)")
 def str3_script_ratio(s, d):
     return documents(s, d).select("doc_id", T.script_ratio(c("text")).alias("ratio"), F.length(F.regexp_replace("text", "[^A-Za-z]", "")).cast("long").alias("latin"))
@@ -295,6 +301,11 @@ def tx1_lexicon(s, d):
     return documents(s, d).filter("lang in ('en', 'es')").select("doc_id", F.array_join(T.matched_terms(c("text"), ["secret", "password", "token", "the"]), " ").alias("terms"))
 
 
+@query(ORACLES["tx1_lexicon"].replace(" where lang in ('en', 'es')", ""))
+def tx1_lexicon_all(s, d):
+    return documents(s, d).select("doc_id", F.array_join(T.matched_terms(c("text"), ["secret", "password", "token", "the"]), " ").alias("terms"))
+
+
 @query(f"with h as (select user_id, (epoch_us(timestamp '{AS_OF}') - epoch_us(max(ts))) / 3.6e9 hrs, count(*) n from events group by 1) select user_id, case when hrs <= 24.5 then 100 when hrs <= 72.5 then 80 when hrs <= 168.5 then 60 when hrs <= 336.5 then 45 when hrs <= 720.5 then 30 else 15 end freshness from h")
 def sc8_freshness(s, d):
     hours = F.greatest(F.lit(0.0), (F.unix_micros(F.lit(AS_OF).cast("timestamp")) - F.unix_micros(F.max("ts").cast("timestamp"))) / 3.6e9)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import commercial as K
 from tidemark.operators.eligibility import eligibility
-from tidemark.plans.catalog import LEADS, c, customer, documents, orders, query
+from tidemark.plans.catalog import LEADS, ORACLES, c, customer, documents, orders, query
 from tidemark.plans.scored import _USERS, users
 from tidemark.sources.io import leads
 
@@ -21,9 +21,14 @@ def _word(t: str) -> str:
 4 * contains(text, 'a')::int + 3 * contains(text, 'b')::int + 3 * (lang = 'en')::int trust, case when lang = 'de' then 5 else 0 end bonus from documents where text is not null)
 select doc_id, case when core > 0 and signals > 0 then least(100, least(40, core * 10) + least(30, signals * 5) + biz + trust + bonus) else 0 end score from h""")
 def sc17_intent(s, d):
+    return sc17_intent_all(s, d, "text is not null")
+
+
+@query(ORACLES["sc17_intent"].replace(" where text is not null", ""))
+def sc17_intent_all(s, d, rows="true"):
     t = c("text")
     score = K.intent_score(K.distinct_words(t, CORE), K.distinct_words(t, SIGNALS), [K.has_any(t, VIP), K.has_any(t, MANAGED)], t.contains("a"), t.contains("b"), c("lang") == "en", F.when(c("lang") == "de", 5))
-    return documents(s, d).filter("text is not null").select("doc_id", score.alias("score"))
+    return documents(s, d).filter(rows).select("doc_id", score.alias("score"))
 
 
 @query(f"with {_USERS} select user_id, case when k % 2 = 0 then 20 else 0 end + case when v % 3 = 0 then 20 else 0 end + trunc(s / m * 40)::int + case when p > 3 or e > 4 or (d > 0 and (k % 2 = 0 or v % 3 = 0)) then 20 else 0 end score from u")
