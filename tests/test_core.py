@@ -111,6 +111,21 @@ def test_all_languages_and_null_texts(spark, tmp_path):
     assert len(scores) == 5 and scores[3] == 0
 
 
+def test_bfs_traverses_all_edges(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey", "l_suppkey")
+    pairs = {(r[0], -r[1]) for r in spark.read.parquet(f"{SF}/orders.parquet").join(lines, F.expr("o_orderkey = l_orderkey")).select("o_custkey", "l_suppkey").collect()}
+    steps = defaultdict(set)
+    for a, b in pairs:
+        steps[a].add(b)
+        steps[b].add(a)
+    want = frontier = {7: 0}
+    for hop in (1, 2, 3):
+        frontier = {t: hop for v in frontier for t in steps[v] if t not in want}
+        want = want | frontier
+    got = {r.vertex: r.hop for r in QUERIES["gr5_bfs_all"](spark, SF).collect()}
+    assert got == want
+
+
 def test_streams_equal_batch(spark, tmp_path):
     batch = spark.read.parquet(f"{SF}/events.parquet")
     hours = streams.run_to_end(streams.hourly(streams.events(spark, SF)), "hourly", str(tmp_path / "a"))

@@ -259,7 +259,12 @@ def gr2_neighbours(s, d):
 
 @query("with recursive e as (select distinct o_custkey a, -l_suppkey b from orders join lineitem on o_orderkey = l_orderkey where l_quantity >= 40), g as (select a s, b t from e union select b, a from e), r(v, hop) as (select 7::bigint, 0 union select t, hop + 1 from r join g on s = v where hop < 3) select v vertex, min(hop) hop from r group by 1")
 def gr5_bfs(s, d):
-    j = orders(s, d).join(lineitem(s, d).filter("l_quantity >= 40"), c("o_orderkey") == c("l_orderkey")).select(c("o_custkey").alias("source"), (-c("l_suppkey")).alias("target"))
+    return gr5_bfs_all(s, d, "l_quantity >= 40")
+
+
+@query(None)
+def gr5_bfs_all(s, d, lines="true"):
+    j = orders(s, d).join(lineitem(s, d).filter(lines), c("o_orderkey") == c("l_orderkey")).select(c("o_custkey").alias("source"), (-c("l_suppkey")).alias("target"))
     both = j.unionAll(j.select(c("target").alias("source"), c("source").alias("target")))
     return graph.bounded_bfs(both, s.createDataFrame([(7,)], "vertex long"), 3)
 
