@@ -175,6 +175,13 @@ def test_quality_edges(spark, hard):
     assert all(0 <= r.score <= 1 for r in quality.score(hard, model).collect())
 
 
+def test_quality_fits_every_passage():
+    text = "a b c d " * 16 * 200
+    batch = quality.pa.record_batch([quality.pa.array([1]), quality.pa.array([1.0]), quality.pa.array([text])], names=["doc_id", "y", "text"])
+    (bags,) = quality._bags([batch])
+    assert len(bags.column(2)[0].as_py()) == 200 * quality.DIM * 4
+
+
 def test_quality_gradient():
     rng = np.random.default_rng(0)
     x, bounds = rng.normal(size=(400, quality.DIM)).astype(np.float32), np.arange(0, 401, 4)

@@ -19,9 +19,8 @@ from .shingles import words
 SLICE_BYTES = 1 << 20
 PASSAGE_WORDS = 64
 HASHED = 32
-#: at most so many labelled documents are fitted, and so many passages of each (evenly spaced)
+#: at most so many labelled documents are fitted, with all their passages
 FIT_DOCUMENTS = 2048
-FIT_PASSAGES = 64
 HIDDEN, ATTENTION = 16, 8
 
 _CLASS = np.zeros(256, np.int64)
@@ -115,9 +114,7 @@ def _bags(batches):
         blobs = []
         for _, _, data, offsets in text_slices(batch.column(2), SLICE_BYTES):
             x, bounds = encode(data, offsets)
-            for i in range(len(bounds) - 1):
-                pick = np.unique(np.linspace(bounds[i], bounds[i + 1] - 1, FIT_PASSAGES).astype(np.int64))
-                blobs.append(x[pick].tobytes())
+            blobs += [x[bounds[i] : bounds[i + 1]].tobytes() for i in range(len(bounds) - 1)]
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["doc_id", "y", "bag"])
 
 
