@@ -75,7 +75,7 @@ def link_hosts(c: Column) -> Column:
 
 
 def links(html: Column) -> Column:
-    """SRC8, TX15: link targets of a page, in order."""
+    """SRC8: link targets of a page, in order; repeats stay."""
     return F.regexp_extract_all(html, F.lit('href="([^"]*)"'), F.lit(1))
 
 
