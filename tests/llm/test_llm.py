@@ -68,9 +68,9 @@ def brute_groups(rows, width, num, den):
 
 
 @pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80), (1, 50)])
-@pytest.mark.parametrize("crowded", [32, 0])
-def test_ngram_groups(hard, width, num, crowded, monkeypatch):
-    monkeypatch.setattr(ngram_join, "CROWDED", crowded)
+@pytest.mark.parametrize("hubs", [8, 1])
+def test_ngram_groups(hard, width, num, hubs, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HUBS", hubs)
     got = ngram_join.ngram_jaccard_groups(hard, width=width, num=num, den=100, sketch_bits=14)
     assert sorted((r.id, r.n_shingles, r.component_id) for r in got.collect()) == brute_groups(hard_texts(), width, num, 100)
 
@@ -81,6 +81,15 @@ def test_ngram_groups_documents(docs):
     assert sorted((r.id, r.n_shingles, r.component_id) for r in got.collect()) == brute_groups(rows, 3, 90, 100)
 
 
+def test_ngram_groups_repeated_and_null_ids(spark):
+    a, b = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    rows = [(1, a), (1, b), (2, [*a, "w"]), (3, [*b, "w"]), (3, [*b, "w"]), (None, b), (None, ["z"] * 3), (4, []), (None, [])]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(4)
+    got = ngram_join.jaccard_rows(df, width=1, num=90, den=100).collect()
+    assert sorted((r.id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 0, 0), (0, 1, 0), (0, 60, 1), (1, 60, 1), (1, 60, 1), (2, 61, 1), (3, 61, 1), (3, 61, 1), (4, 0, 4)]
+    assert len({r.group_id for r in got if r.n_shingles > 1}) == 2 and all(r.group_id is None for r in got if not r.n_shingles)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(20)]
