@@ -8,14 +8,14 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import commercial, ladders, scores, text
-from tidemark.operators import eligibility, graph, merge, messages, schedule, state
+from tidemark.functions import commercial, ladders, relevance, scores, text
+from tidemark.operators import eligibility, graph, merge, messages, mining, queues, schedule, state, views
 from tidemark.plans.registry import ORACLES, QUERIES
 from tidemark.sources import io
 from tidemark.streaming import streams
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents pages labels".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages labels benchmark".split()
 
 
 def norm(x):
@@ -63,32 +63,40 @@ def test_rate_limiter(spark):
 
 def test_breaker(spark):
     df, by = fold_events(spark)
+    df = df.withColumn("ts", F.col("ts").cast("timestamp"))
     want = {}
     for k, rows in by.items():
-        start, n, trips = None, 0, 0
+        start, n, trips, until = None, 0, 0, None
         for _, ts, _, _ in rows:
             if start is None or ts >= start + timedelta(seconds=100):
                 start, n = ts, 0
             n += 1
             if n >= 5:
-                start, n, trips = None, 0, trips + 1
-        want[k] = trips
-    assert {r.key: r.trips for r in state.fixed_window_trips(df, "key", "ts", "seq", 100, 5).collect()} == want
+                trips, until = trips + (until is None or ts >= until), ts + timedelta(seconds=40)
+        want[k] = (trips, until)
+    got = state.fixed_window_trips(df.unionAll(df.limit(1).withColumn("ts", F.lit(None).cast("timestamp"))), "key", "ts", "seq", 100, 5, 40)
+    assert {r.key: (r.trips, r.open_until) for r in got.collect()} == want
 
 
 def test_health_machine(spark):
+    """A short flood costs 5 and degrades nobody alone; a long one, or the third in half an hour, does."""
     t = datetime(2024, 1, 1)
-    rows = [(k, t, i, e) for k, es in {"a": ["flood", "success"] + ["success"] * 4, "b": ["flood", "error"], "c": ["flood", "flood", "flood"], "d": ["auth", "success"]}.items() for i, e in enumerate(es)]
-    got = state.health_machine(spark.createDataFrame(rows, "key string, ts timestamp, seq int, kind string"), "key", "ts", "seq", "kind")
-    assert {r.key: (r.health, r.state) for r in got.collect()} == {"a": (90, "HEALTHY"), "b": (75, "COOLDOWN"), "c": (55, "RESTRICTED"), "d": (1, "QUARANTINED")}
+    cases = {
+        "a": [("flood", 61, 0)] + [("success", None, i) for i in range(1, 6)], "b": [("flood", 61, 0), ("error", None, 1)], "c": [("flood", 90, 0), ("flood", 30, 1), ("flood", 30, 2)],
+        "d": [("auth", None, 0), ("success", None, 1)], "e": [("flood", 60, 0), ("flood", None, 10)], "f": [("flood", 5, 0), ("flood", 5, 10), ("flood", 5, 29)], "g": [("flood", 5, 0), ("flood", 5, 10), ("flood", 5, 31)], "h": [("other", None, 0), (None, None, 1)],
+    }
+    rows = [(k, t + timedelta(minutes=m), i, e, w) for k, es in cases.items() for i, (e, w, m) in enumerate(es)]
+    got = state.health_machine(spark.createDataFrame(rows, "key string, ts timestamp, seq int, kind string, wait int"), "key", "ts", "seq", "kind", "wait")
+    want = {"a": (90, "HEALTHY"), "b": (75, "COOLDOWN"), "c": (75, "RESTRICTED"), "d": (1, "QUARANTINED"), "e": (90, "HEALTHY"), "f": (85, "DEGRADED"), "g": (85, "HEALTHY"), "h": (100, "HEALTHY")}
+    assert {r.key: (r.health, r.state) for r in got.collect()} == want
 
 
 def test_folds_hold_no_history(spark):
     df, by = fold_events(spark)
     df = df.unionAll(df.filter("key = 0").withColumn("key", F.lit(None).cast("int")))
     folds = [
-        state.rate_limiter(df, "key", "ts", "seq", 60, 3), state.fixed_window_trips(df, "key", "ts", "seq", 100, 5),
-        state.health_machine(df, "key", "ts", "seq", "kind"), state.connector_health(df, "key", "ts", "seq", "kind"),
+        state.rate_limiter(df, "key", "ts", "seq", 60, 3), state.fixed_window_trips(df, "key", "ts", "seq", 100, 5, 60),
+        state.health_machine(df.withColumn("wait", F.col("seq") % 90), "key", "ts", "seq", "kind", "wait"), state.connector_health(df, "key", "ts", "seq", "kind"),
     ]
     rows = [sorted(map(repr, f.collect())) for f in folds]
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # a key spans many batches
@@ -148,6 +156,13 @@ def test_text_functions(spark):
     assert one(text.symbols(F.lit("buy eur/usd and EURUSD, abc"), ("EUR",))) == ["EURUSD"]
     assert one(text.message_errors(F.lit("hi {name} http:// "))) == ["placeholder", "bad_url"]
     assert one(ladders.lifecycle(F.lit(3), F.lit(0), F.lit(2.0))) == "active" and one(ladders.lifecycle(F.lit(5), F.lit(2), F.lit(3.0))) == "deprecated"
+    assert one(ladders.lifecycle(F.lit(20), F.lit(1), F.lit(0.1), F.lit("deprecated"))) == "candidate" and one(ladders.lifecycle(F.lit(20), F.lit(1), F.lit(0.1))) == "observed"
+    assert one(ladders.signal_confidence(F.lit(0), F.lit(0), F.lit(3), F.lit(4.0))) == 0.0 and one(ladders.signal_confidence(F.lit(5), F.lit(5), F.lit(0), F.lit(4.0))) == 1.0
+    assert one(ladders.growth_score(F.lit(0.0), F.lit(5.0), F.lit(1.0))) == 95 and one(ladders.growth_score(F.lit(0.0), F.lit(0.0), F.lit(1.0))) == 50
+    zero = F.lit(0)
+    assert one(ladders.activity_score(zero, zero, zero, F.lit(3))) == 15 and one(ladders.activity_score(zero, zero, zero)) == 5
+    assert [one(ladders.freshness(F.lit(None).cast("double"), F.lit(a), F.lit(b), F.lit(m))) for a, b, m in ((1, 1, 1), (0, 1, 1), (0, 0, 1), (0, 0, 0))] == [90, 60, 35, 10]
+    assert one(text.normalize_for_mining(F.lit("أَآٱ ى ئ"))) == "ااٱ ي ئ" and one(text.clean_for_mining(F.lit("see https://a.b/c @name +12 345-678-90! ok: a/b"))) == "see ok: a/b"
     assert one(ladders.smoothed_log_odds(F.lit(8), F.lit(10), F.lit(0), F.lit(20))) > 2
 
 
@@ -303,3 +318,76 @@ def test_first_stage(spark):
     df = spark.createDataFrame([(1, "Gold", "gold and silver", "x"), (2, "قناة VIP", None, "a"), (3, None, None, None), (4, "gold", "", "my_bot"), (5, "قناة", "", "a")], "i int, t string, a string, n string")
     got = {r.i: tuple(r.x) for r in df.select("i", commercial.first_stage(F.col("t"), F.col("a"), F.col("n"), ["gold", "silver"], ["vip"]).alias("x")).collect()}
     assert got == {1: (True, "terms", 50), 2: (True, "community", 40), 3: (True, "second stage", 20), 4: (False, "bot", 0), 5: (True, "second stage", 20)}
+
+
+def test_links(spark):
+    cases = {
+        "https://t.me/forex_signals_vip": ("public", "forex_signals_vip"), "fvgtrading": ("public", "fvgtrading"), "@some_name11": ("public", "some_name11"), "https://t.me/+AbCdEfGhIjKlMnOp": ("private", "AbCdEfGhIjKlMnOp"),
+        "https://t.me/joinchat/AAAAAFM_q12345": ("private", "AAAAAFM_q12345"), "https://t.me/CryptoAlert_bot": (None, None), "https://t.me/contact": (None, None), "https://t.me/support": (None, None),
+        "": (None, None), " abcd ": ("public", "abcd"), "abc": (None, None), "123456": (None, None), "t.me/abcd": (None, None), "@" + "x" * 33: (None, None), "T.ME/" + "y" * 40: ("public", "y" * 32),
+    }
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "l string").select("l", relevance.parse_link(F.col("l")).alias("p"), relevance.normal_link(F.col("l")).alias("n")).collect()
+    assert {r.l: (r.p.kind, r.p.name) for r in df} == cases | {None: (None, None)}
+    links = ["t.me/my_channel", "telegram.me/my_channel", "http://t.me/my_channel", " https://t.me/my_channel", "my_channel"]
+    assert {r.n for r in spark.createDataFrame([(x,) for x in links], "l string").select(relevance.normal_link(F.col("l")).alias("n")).collect()} == {"https://t.me/my_channel"}
+
+
+def test_relevance_in_arabic(spark):
+    one = lambda e: spark.range(1).select(e.alias("v")).first().v
+    assert one(relevance.signal_syntax(F.lit("شراء من 2300 هدف 1 وقف خسارة"))) == 3
+    assert one(relevance.syntax_names(F.lit("شراء ذهب، وقف خسارة: 2300، هدف 2: 2310 ربح 50 نقطة رافعة مالية"))) == ["buy_entry", "take_profit", "stop_loss", "pips_gain", "leverage"]
+    assert one(relevance.first_term(F.lit("أفلام ومسلسلات"), ["كازينو", "افلام"])) == "افلام" and one(relevance.first_term(F.lit(None).cast("string"), ["a"])) is None
+    names = ("pairs", "syntax", "forex", "gold", "signals", "methods", "styles", "commercial", "props", "brokers")
+    def card(text, bad=None, penalty=0, referred=False, **k):
+        counts = {n: F.lit(k.get(n, 0)) for n in names}
+        return one(relevance.relevance(F.lit(text), counts, F.lit(referred), F.lit(0), F.lit(0), F.lit(penalty), F.lit(0), F.lit(bad).cast("string")))[:5]
+    assert card("توصيات الذهب مع تحليل", gold=1, signals=1) == (45, "LIKELY_FOREX", "Tier_B", "queue:high", True)
+    assert card("x", pairs=3, syntax=2, commercial=1) == (75, "HIGH_CONFIDENCE_FOREX", "Tier_A", "queue:high", True)
+    assert card("x", pairs=3, syntax=2, commercial=1, penalty=30) == (45, "LOW_CONFIDENCE", "Tier_D", "queue:normal", False)
+    assert card("chart", referred=True) == (30, "POSSIBLE_FOREX", "Tier_C", "queue:normal", True) and card("gold", bad="casino")[:2] == (0, "REJECTED")
+    assert one(relevance.script_triple(F.lit("سلام abc 12"), F.array(F.lit("سلام"), F.lit("x"), F.lit(None)))) == (44, 33, 33, 37)
+    assert one(relevance.niche_gate(F.lit("gold: صفقة, صفقة! صفقات"), F.lit(False), ["casino"], ["gold"], ["صفقة", "صفقات"])) is True
+    assert one(relevance.niche_gate(F.lit("gold: صفقة, صفقة! صفقات"), F.lit(True), ["casino"], ["gold"], ["صفقة", "صفقات"])) is False
+
+
+def test_importance_of_a_hub(spark):
+    rows = [(1, 25, 4, 3, 6, 12), (2, 0, 0, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "target int, in_degree int, relations int, sources int, recommendations int, forwards int")
+    assert {r.target: r.importance for r in graph.importance(df).collect()} == {1: 100, 2: 0}
+    edges = spark.createDataFrame([(1, 9, "forward"), (1, 9, "forward"), (2, 9, "similar"), (3, 9, None), (None, 9, "forward")], "source int, target int, relation string")
+    assert graph.in_profile(edges, {"recommendation": ["similar"], "forward": ["forward"]}).collect()[0][:] == (9, 5, 3, 2, 1, 3)
+
+
+def test_not_in_and_sinks(spark, tmp_path):
+    left, right = spark.createDataFrame([(1,), (2,), (None,)], "k int"), spark.createDataFrame([(2,), (2,)], "o int")
+    null = right.unionAll(spark.createDataFrame([(None,)], "o int"))
+    assert [views.not_in(left, "k", x, "o").count() for x in (right, null, right.limit(0))] == [1, 0, 3]
+    io.append(left, str(tmp_path / "s"))
+    io.append(left, str(tmp_path / "s"))
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 6
+    df = spark.createDataFrame([(1, "a,b"), (2, None)], "i int, t string")
+    io.export(df, str(tmp_path / "c"))
+    io.export(df, str(tmp_path / "j"), "json")
+    assert sorted(map(tuple, spark.read.option("header", True).csv(str(tmp_path / "c")).collect())) == [("1", "a,b"), ("2", None)]
+    assert spark.read.json(str(tmp_path / "j")).count() == 2
+
+
+def test_queues(spark):
+    rows = spark.createDataFrame([(1, "A "), (2, "a"), (3, "b"), (4, None)], "n int, k string")
+    assert [r.n for r in queues.unseen(rows, spark.createDataFrame([("B",)], "k string"), "k", [F.col("n")]).collect()] == [1]
+    acc = spark.createDataFrame([(1, "HEALTHY", 70, None), (2, "HEALTHY", 90, "2024-02-01"), (3, "DEGRADED", 95, None), (4, "HEALTHY", 80, "2024-01-01")], "id int, st string, h int, cool string").withColumn("cool", F.col("cool").cast("timestamp_ntz"))
+    assert queues.healthiest(acc, ["HEALTHY"], "h", "st", "cool", [], "id", "2024-01-15").first().id == 4
+    assert queues.healthiest(acc, ["HEALTHY"], "h", "st", "cool", [4], "id", "2024-01-15").first().id == 1
+    limited = F.col("id") == 3
+    assert queues.preferred_session(acc, "id", "h", limited, F.col("id") == 1).first().id == 1 and queues.preferred_session(acc, "id", "h", limited, limited).first().id == 3
+    got = spark.range(1).select(queues.appended(F.array(F.lit("a"), F.lit("a")), F.lit("a")).alias("x"), queues.appended(F.lit(None), F.lit("b")).alias("y")).first()
+    assert got.x == ["a", "a"] and got.y == ["b"]
+
+
+def test_mining_model(spark):
+    known = spark.createDataFrame([("x", 0.5, 1.0, 2), ("z", 0.1, 0.0, 0)], "value string, confidence double, contrast double, negatives long")
+    found = spark.createDataFrame([("x",), ("y",), ("y",), ("y",), (None,)], "value string")
+    got = {r.value: (round(r.confidence, 6), round(r.contrast, 6), r.negatives) for r in mining.rejected(known, found, "phrase").collect()}
+    assert got == {"x": (0.3, -0.5, 3), "z": (0.1, 0.0, 0), "y": (0.0, -6.0, 3)}
+    e = spark.createDataFrame([(1, 3, "c"), (1, 1, "a"), (1, 2, "b"), (2, 1, None)], "k int, t int, v string")
+    assert {r.k: r["first"] for r in mining.first_rows(e, "k", ["t"], "v", 2).collect()} == {1: ["a", "b"], 2: [None]}

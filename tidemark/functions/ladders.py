@@ -32,25 +32,33 @@ TIERS = [(75, "A"), (55, "B"), (35, "C")]
 RISK_LEVELS = [(75, "critical"), (50, "high"), (25, "medium")]
 RESCAN_DAYS = [(80, 1), (60, 3), (40, 7)]
 RELATIONS = [(4, 15), (2, 10), (1, 5)]
+RECOMMENDED, FORWARDED = [(5, 20), (2, 15), (1, 10)], [(10, 15), (3, 10), (1, 5)]
 SOURCES = [(3, 10), (2, 6), (1, 2)]
 CONFIDENCE_POSTS, CONFIDENCE_HITS = [(10, 25), (3, 15)], [(3, 25), (1, 15)]
 ACTIVITY_7D, ACTIVITY_30D = [(20, 30), (5, 15), (1, 10)], [(50, 20), (10, 10), (1, 5)]
 
 
 def growth_score(first: Column, last: Column, days: Column) -> Column:
-    """SC10: change in percent over a span, by ladders."""
+    """SC10: change in percent over a span, by ladders; a start below 1 counts as 1."""
     d = F.greatest(days, F.lit(0.01))
-    p = F.when(first > 0, (last - first) * 100.0 / first).otherwise(F.lit(0.0))
+    p = (last - first) * 100.0 / F.greatest(F.lit(1.0), first)
     return (
         F.when((p >= 50) & (d <= 30), 95).when((p >= 25) & (d <= 14), 90).when(p >= 10, 75)
         .when(p >= 0, F.least(F.lit(70), 50 + whole(2 * p))).when(p >= -5, 45).otherwise(F.greatest(F.lit(10), 50 - whole(F.abs(p))))
     )
 
 
-def activity_score(day: Column, week: Column, month: Column) -> Column:
-    """SC7: three additive ladders, at least 5 and at most 100."""
+def freshness(hours: Column, day: Column, week: Column, month: Column) -> Column:
+    """SC8: points by hours since the last post; where that is unknown, by the counts of posts."""
+    counted = F.when(day > 0, 90).when(week > 0, 60).when(month > 0, 35).otherwise(10)
+    return F.when(hours.isNotNull(), ladder(hours, FRESHNESS_HOURS, 15, descending=False)).otherwise(counted)
+
+
+def activity_score(day: Column, week: Column, month: Column, posts: Column | None = None) -> Column:
+    """SC7: three additive ladders, at least 5 and at most 100; 15 for posts seen that no ladder counts."""
     first = F.when(day >= 5, 50).when(day >= 1, 30).when(week >= 7, 20).otherwise(0)
-    return clamp(first + ladder(week, ACTIVITY_7D) + ladder(month, ACTIVITY_30D), 5)
+    total = first + ladder(week, ACTIVITY_7D) + ladder(month, ACTIVITY_30D)
+    return clamp(total if posts is None else F.when((posts > 0) & (total == 0), 15).otherwise(total), 5)
 
 
 def smoothed_log_odds(df_pos: Column, n_pos: Column, df_neg: Column, n_neg: Column) -> Column:
@@ -61,18 +69,20 @@ def smoothed_log_odds(df_pos: Column, n_pos: Column, df_neg: Column, n_neg: Colu
 
 
 def signal_confidence(support: Column, df_pos: Column, df_neg: Column, contrast: Column) -> Column:
-    """LM7: support, purity and contrast, weighted .4, .4 and .2."""
+    """LM7: support, purity and contrast, weighted .4, .4 and .2, half-even to 3 places; 0 without support."""
     purity = df_pos / F.greatest(df_pos + df_neg, F.lit(1))
-    return F.round(0.4 * F.least(F.lit(1.0), support / 5) + 0.4 * purity + 0.2 * clamp(contrast / 4, 0.0, 1.0), 3)
+    total = F.least(F.lit(1.0), support / 5) * 0.4 + purity * 0.4 + clamp(contrast / 4, 0.0, 1.0) * 0.2
+    return F.when(support > 0, F.bround(total, 3)).otherwise(F.lit(0.0))
 
 
-def lifecycle(support: Column, negatives: Column, contrast: Column) -> Column:
-    """LM6: a mined signal's state by support, contamination and contrast."""
+def lifecycle(support: Column, negatives: Column, contrast: Column, current: Column | None = None) -> Column:
+    """LM6: a mined signal's state by support, contamination and contrast; a deprecated one that is clean again is a candidate."""
+    was = F.lit("observed") if current is None else F.coalesce(current, F.lit("observed"))
     ratio = F.when(support + negatives > 0, negatives / (support + negatives)).otherwise(F.lit(0.0))
     clean = (support >= 3) & (ratio <= 0.05)
     return (
         F.when((negatives >= 2) & (ratio >= 0.15), "deprecated").when(clean & (contrast >= 2.0), "active").when(clean & (contrast >= 1.5), "validated")
-        .when((support >= 2) & (contrast >= 0.5) & (ratio < 0.10), "candidate").otherwise("observed")
+        .when((support >= 2) & ((contrast >= 0.5) | (was == "deprecated")) & (ratio < 0.10), "candidate").otherwise("observed")
     )
 
 

@@ -96,3 +96,20 @@ def matched_terms(c: Column, terms: list[str], normalize=normalize_arabic) -> Co
     """TX1: the lexicon's terms (in its order and spelling) that occur as substrings of the normalised text."""
     norm = F.lower(normalize(c))
     return F.array_compact(F.array(*[F.when(norm.contains(t.lower()), F.lit(t)) for t in terms]))
+
+
+def error_kind(c: Column) -> Column:
+    """XT7: the kind of a failure by its message."""
+    return F.when(c.ilike("%flood%") & ~c.ilike("%privacy%"), "flood").when(c.ilike("%privacy%"), "privacy").when(c.ilike("%not occupied%"), "missing").otherwise("other")
+
+
+def invalid_handle(c: Column) -> Column:
+    """XT9: a handle with anything but ASCII letters, digits and underscores, or shorter than four."""
+    return (F.length(c) < 4) | c.rlike("[^A-Za-z0-9_]")
+
+
+def json_merge(a: Column, b: Column) -> Column:
+    """JS3: two JSON objects' fields, the second's first; values as text. What is no object counts as empty."""
+    fields = lambda j: F.coalesce(F.from_json(j, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    x, y = fields(a), fields(b)
+    return F.to_json(F.map_concat(F.map_filter(x, lambda k, _: ~F.map_contains_key(y, k)), y))

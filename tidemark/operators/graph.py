@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.ladders import IN_DEGREE, RELATIONS, SOURCES, ladder
+from tidemark.functions.ladders import FORWARDED, IN_DEGREE, RECOMMENDED, RELATIONS, SOURCES, ladder
+from tidemark.sources.io import settle
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -14,16 +15,24 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("vertex").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
-def in_profile(edges: DataFrame) -> DataFrame:
-    """GR3: in-degree, distinct sources and relations of each target."""
-    return edges.groupBy("target").agg(F.count("*").alias("in_degree"), F.countDistinct("source").alias("sources"), F.countDistinct("relation").alias("relations"))
+def in_profile(edges: DataFrame, families: dict[str, list[str]] | None = None) -> DataFrame:
+    """GR3: in-degree, distinct sources and relations of each target, and the edges of each family of relations.
+
+    ``families`` names the relations (aliases too) of a family; ``importance`` looks for
+    ``recommendation`` and ``forward``. Edges are counted by target, source and relation first,
+    so that no distinct count expands them. A null relation is none of the kinds.
+    """
+    families = families or {"recommendation": ["recommendation"], "forward": ["forward"]}
+    pairs = edges.groupBy("target", "source", "relation").agg(F.count("*").alias("n"))
+    ends = pairs.groupBy("target", "source").agg(F.sum("n").alias("n"), F.collect_set("relation").alias("kinds"), *[F.sum(F.when(F.col("relation").isin(*names), F.col("n")).otherwise(0)).alias(f"{k}s") for k, names in families.items()])
+    kinds = F.size(F.array_distinct(F.flatten(F.collect_set("kinds")))).cast("long")
+    return ends.groupBy("target").agg(F.sum("n").alias("in_degree"), F.count("source").alias("sources"), kinds.alias("relations"), *[F.sum(f"{k}s").alias(f"{k}s") for k in families])
 
 
 def importance(profile: DataFrame) -> DataFrame:
-    """SC33: points for in-degree, relation kinds and distinct sources, at most 100."""
-    kinds = ladder(F.col("relations"), RELATIONS)
-    sources = ladder(F.col("sources"), SOURCES)
-    return profile.withColumn("importance", F.least(F.lit(100), ladder(F.col("in_degree"), IN_DEGREE) + kinds + sources))
+    """SC33: points for in-degree, recommendations, forwards, relation kinds and distinct sources, at most 100."""
+    parts = {"in_degree": IN_DEGREE, "recommendations": RECOMMENDED, "forwards": FORWARDED, "relations": RELATIONS, "sources": SOURCES}
+    return profile.withColumn("importance", F.least(F.lit(100), sum((ladder(F.col(k), steps) for k, steps in parts.items()), F.lit(0))))
 
 
 def neighbours(edges: DataFrame, vertex: Column | int, k: int) -> DataFrame:
@@ -34,14 +43,16 @@ def neighbours(edges: DataFrame, vertex: Column | int, k: int) -> DataFrame:
 def bounded_bfs(edges: DataFrame, seeds: DataFrame, depth: int, per_vertex: int | None = None) -> DataFrame:
     """GR5-GR7: (vertex, hop) reachable within ``depth`` hops, at most ``per_vertex`` children of each if given.
 
-    One join and one anti-join a hop; nothing is collected. A vertex keeps its least hop.
+    One join and one anti-join a hop, each hop written out, so that no hop is computed again;
+    nothing is collected. A vertex keeps its least hop.
     """
     steps = edges.select("source", "target").distinct()
     if per_vertex is not None:
         steps = steps.withColumn("_r", F.row_number().over(Window.partitionBy("source").orderBy("target"))).filter(F.col("_r") <= per_vertex).drop("_r")
+    steps = settle(steps, "steps")
     seen = frontier = seeds.select(F.col("vertex")).distinct().withColumn("hop", F.lit(0))
     for hop in range(1, depth + 1):
         reached = frontier.join(steps, frontier.vertex == steps.source).select(F.col("target").alias("vertex")).distinct()
-        frontier = reached.join(seen, "vertex", "left_anti").withColumn("hop", F.lit(hop))
+        frontier = settle(reached.join(seen, "vertex", "left_anti").withColumn("hop", F.lit(hop)), "hop")
         seen = seen.unionByName(frontier)
     return seen

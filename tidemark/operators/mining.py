@@ -16,14 +16,54 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(tokens, i, n), " ")))
 
 
-def contrast(corpus: DataFrame, tokens: Column, n: int, least_df: int = 2, least_contrast: float = 0.2) -> DataFrame:
+def contrast(corpus: DataFrame, tokens: Column, n: int, least_df: int = 2, least_contrast: float = 0.2, blocked: tuple[str, ...] = ()) -> DataFrame:
     """LM2, LM4: document frequencies in positives and negatives and their smoothed log odds.
 
+    LM3: a feature that holds a ``blocked`` term counts in no positive, but in negatives.
+
     ``corpus`` has a boolean ``positive``. The corpus sizes come from one aggregation that is
     broadcast as a single row; features are counted with map-side partial sums.
     """
     sizes = corpus.agg(F.count_if("positive").alias("n_pos"), F.count_if(~F.col("positive")).alias("n_neg"))
-    counts = corpus.select("positive", F.explode(ngrams(tokens, n)).alias("feature")).groupBy("feature").agg(F.count_if("positive").alias("df_pos"), F.count_if(~F.col("positive")).alias("df_neg"))
+    held = F.lit(False)
+    for term in blocked:
+        held = held | F.col("feature").contains(term)
+    counts = corpus.select("positive", F.explode(ngrams(tokens, n)).alias("feature")).groupBy("feature").agg(F.count_if(F.col("positive") & ~held).alias("df_pos"), F.count_if(~F.col("positive")).alias("df_neg"))
     scored = counts.filter(F.col("df_pos") >= least_df).crossJoin(F.broadcast(sizes))
     scored = scored.withColumn("contrast", smoothed_log_odds(F.col("df_pos"), F.col("n_pos"), F.col("df_neg"), F.col("n_neg")))
     return scored.filter(F.col("contrast") >= least_contrast).select("feature", "df_pos", "df_neg", "contrast")
+
+
+def first_rows(df: DataFrame, key: str, order: list[str], value: str, k: int) -> DataFrame:
+    """WN4, AR2: (key, first): each key's first ``k`` values in order, found by rank, so no key's history is gathered."""
+    from pyspark.sql import Window
+
+    ranked = df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("_n") <= k)
+    pairs = F.array_sort(F.collect_list(F.struct("_n", value)))
+    return ranked.groupBy(key).agg(F.transform(pairs, lambda x: x[value]).alias("first"))
+
+
+def model_part(signals: DataFrame, category: str, status: str, contrast: str) -> DataFrame:
+    """LM8: ``signals`` in use, with ``part``: negative by category or contrast, else active or candidate by status."""
+    bad = (F.col(category) == "negative_spam") | (F.col(contrast) < -1)
+    part = F.when(bad, "negative").when(F.col(status).isin("active", "validated"), "active").when(F.col(status) == "candidate", "candidate")
+    return signals.withColumn("part", part).filter(F.col("part").isNotNull())
+
+
+#: fixed values: contrast of a new signal, and what each further rejection takes from contrast and confidence
+REJECTION = {"keyword": (-2.5, 1.0, 0.15), "phrase": (-3.0, 1.5, 0.2)}
+
+
+def rejected(known: DataFrame, found: DataFrame, kind: str) -> DataFrame:
+    """LM11: (value, confidence, contrast, negatives) of ``known`` after each row of ``found`` was rejected once.
+
+    A value that was not known enters with a confidence of 0.1 and the contrast of its kind; its
+    further rejections count against it. Null values are left out.
+    """
+    start, step, loss = REJECTION[kind]
+    n = found.filter(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("n"))
+    j = known.join(n, "value", "full")
+    new, hits = F.col("negatives").isNull(), F.coalesce("n", F.lit(0))
+    confidence = F.greatest(F.lit(0.0), F.when(new, F.lit(0.1) - (hits - 1) * loss).otherwise(F.col("confidence") - hits * loss))
+    contrast_ = F.when(new, F.lit(start) - (hits - 1) * step).otherwise(F.col("contrast") - hits * step)
+    return j.select("value", confidence.alias("confidence"), contrast_.alias("contrast"), F.when(new, hits).otherwise(F.col("negatives") + hits).alias("negatives"))

@@ -63,33 +63,51 @@ def rate_limiter(df: DataFrame, key: str, ts: str, order: str, window_s: int, mo
     return _folded(_timed(df, key, ts, order), key, ["t", order], lambda: ([], 0, 0), step, lambda s: s[1:], {"admitted": "bigint", "rejected": "bigint"})
 
 
-def fixed_window_trips(df: DataFrame, key: str, ts: str, order: str, window_s: int, most: int) -> DataFrame:
-    """ST7: a window opens at its first hit; reaching ``most`` hits within it trips the breaker and closes it."""
+def fixed_window_trips(df: DataFrame, key: str, ts: str, order: str, window_s: int, most: int, open_s: int) -> DataFrame:
+    """ST7: (key, trips, open_until): a window opens at its first hit and lasts ``window_s``; each hit from
+    the ``most``-th on opens the circuit for ``open_s`` from then. ``trips`` counts openings of a closed
+    circuit. Events without a time are left out.
+    """
 
     def step(s, t, _):
-        since, n, trips = s
+        since, n, trips, until = s
+        if t is None:
+            return s
         since, n = (t, 1) if since is None or t >= since + window_s * 1_000_000 else (since, n + 1)
-        return (None, 0, trips + 1) if n >= most else (since, n, trips)
+        if n < most:
+            return since, n, trips, until
+        return since, n, trips + (until is None or t >= until), t + open_s * 1_000_000
+
+    done = _folded(_timed(df, key, ts, order), key, ["t", order], lambda: (None, 0, 0, None), step, lambda s: s[2:], {"trips": "int", "until": "bigint"})
+    return done.select(key, "trips", F.timestamp_micros("until").cast("timestamp_ntz").alias("open_until"))
 
-    return _folded(_timed(df, key, ts, order), key, ["t", order], lambda: (None, 0, 0), step, lambda s: s[2:], {"trips": "int"})
 
+def health_machine(df: DataFrame, key: str, ts: str, order: str, kind: str, wait: str) -> DataFrame:
+    """SM6: health points and state over an account's events (success, flood, error, auth).
 
-def health_machine(df: DataFrame, key: str, ts: str, order: str, kind: str) -> DataFrame:
-    """SM6: health points and state over an account's events (success, flood, error, auth)."""
+    ``wait`` is the column with a flood's seconds (null: 0). A flood of more than a minute costs
+    more and degrades a healthy account, as the third one within half an hour does.
+    """
 
     # fixed values: points and transitions of each kind of event
-    def step(s, _, __, event):
-        h, st = s
-        h = {"success": min(100, h + 1), "flood": max(0, h - 15), "error": max(0, h - 10)}.get(event, 0)
+    def step(s, t, _, event, seconds):
+        h, st, floods = s
+        seconds = seconds or 0
+        if event == "flood":
+            floods = [x for x in floods if t is not None and x > t - 1_800_000_000] + ([] if t is None else [t])
+            floods = floods[-3:]
+        h = {"success": min(100, h + 1), "flood": max(0, h - (5 if seconds <= 60 else 15)), "error": max(0, h - 10), "auth": 0}.get(event, h)
         if st == "QUARANTINED" or event == "auth":
-            return h, "QUARANTINED"
-        if event == "flood" and st in ("HEALTHY", "COOLDOWN"):
-            return h, "DEGRADED" if st == "HEALTHY" else "RESTRICTED"
+            return h, "QUARANTINED", floods
+        if event == "flood" and st == "HEALTHY":
+            return h, "DEGRADED" if seconds > 60 or len(floods) >= 3 else st, floods
+        if event == "flood" and st == "COOLDOWN":
+            return h, "RESTRICTED", floods
         if event in ("flood", "error") and st == "DEGRADED":
-            return h, "COOLDOWN"
-        return h, "HEALTHY" if event == "success" and st == "DEGRADED" and h >= 90 else st
+            return h, "COOLDOWN", floods
+        return h, "HEALTHY" if event == "success" and st == "DEGRADED" and h >= 90 else st, floods
 
-    return _folded(df, key, [ts, order, kind], lambda: (100, "HEALTHY"), step, lambda s: s, {"health": "int", "state": "string"})
+    return _folded(_timed(df, key, ts, order, kind, wait), key, ["t", order, kind, wait], lambda: (100, "HEALTHY", []), step, lambda s: s[:2], {"health": "int", "state": "string"})
 
 
 def count_windows(df: DataFrame, key: str, order: list[str], size: int) -> DataFrame:

@@ -57,9 +57,34 @@ def top_per_group(df: DataFrame, key: list[str], order: list[Column], k: int) ->
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def not_in(df: DataFrame, key: str, others: DataFrame, other: str) -> DataFrame:
+    """JN5: SQL's ``key NOT IN (others)``: nothing where ``others`` holds a null, all of ``df`` where it is empty, no null key otherwise.
+
+    One aggregation tells which, then a plain anti-join does the rest; neither side is broadcast for it.
+    """
+    total, nulls = others.agg(F.count("*"), F.count_if(F.col(other).isNull())).first()
+    if not total:
+        return df
+    if nulls:
+        return df.limit(0)
+    keys = others.select(F.col(other).alias("_other")).distinct()
+    return df.filter(F.col(key).isNotNull()).join(keys, F.col(key) == F.col("_other"), "left_anti")
+
+
 def streaks(df: DataFrame, key: str, order: list[str], failed: Column) -> DataFrame:
     """WN5: consecutive failures so far, back to 0 at each success."""
     w = Window.partitionBy(key).orderBy(*order)
     df = df.withColumn("_island", F.sum(F.when(failed, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     inside = Window.partitionBy(key, "_island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("failures", F.sum(F.when(failed, 1).otherwise(0)).over(inside)).drop("_island")
+
+
+def stale(ts: str, score: Column, is_group: Column, as_of: str) -> Column:
+    """FLT9: not seen for 3, 7 or 14 days by score above 80, above 50 or less; groups 1, 3 or 7."""
+    days = F.when(is_group, F.when(score > 80, 1).when(score > 50, 3).otherwise(7)).otherwise(F.when(score > 80, 3).when(score > 50, 7).otherwise(14))
+    return F.col(ts) < F.expr(f"timestamp_ntz'{as_of}'") - F.make_dt_interval(days)
+
+
+def long_form(df: DataFrame, keys: list[str], metrics: list[str], name: Column) -> DataFrame:
+    """SNK5: a row a metric: the keys, ``metric``, its value as double, and ``name`` made of these."""
+    return df.withColumns({m: F.col(m).cast("double") for m in metrics}).unpivot(keys, metrics, "metric", "value").withColumn("name", name)

@@ -184,16 +184,24 @@ def tk10_page(s, d):
     return views.top_k(leads(s, d).select("id", "lead_score"), [F.desc("lead_score"), c("id")], 25, 50)
 
 
-@query("select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("""select c_custkey from customer
+    where not exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P' and o_totalprice > 200000)""")
 def jn4_anti(s, d):
-    return customer(s, d).select("c_custkey").join(orders(s, d), c("c_custkey") == c("o_custkey"), "left_anti")
+    large = orders(s, d).filter("o_orderstatus = 'P' and o_totalprice > 200000")
+    return customer(s, d).select("c_custkey").join(large, c("c_custkey") == c("o_custkey"), "left_anti")
 
 
-@query("select c_custkey from customer where c_custkey not in (select nullif(o_custkey, -1) from orders)")
+@query("""with k as (select case when c_custkey % 5 > 0 then c_custkey end k from customer), o as (select o_custkey from orders where o_orderstatus = 'P')
+    select 'none null' kind, k from k where k not in (select o_custkey from o)
+    union all select 'null', k from k where k not in (select nullif(o_custkey, (select min(o_custkey) from o)) from o)
+    union all select 'empty', k from k where k not in (select o_custkey from o where false)""")
 def jn5_not_in(s, d):
-    for t in ("customer", "orders"):
-        table(s, d, t).createOrReplaceTempView(f"jn5_{t}")
-    return s.sql("select c_custkey from jn5_customer where c_custkey not in (select nullif(o_custkey, -1) from jn5_orders)")
+    keys = customer(s, d).select(F.when(c("c_custkey") % 5 > 0, c("c_custkey")).alias("k"))
+    o = orders(s, d).filter("o_orderstatus = 'P'").select("o_custkey")
+    least = o.agg(F.min("o_custkey")).first()[0]
+    sets = {"none null": o, "null": o.select(F.nullif("o_custkey", F.lit(least)).alias("o_custkey")), "empty": o.filter("false")}
+    found = [views.not_in(keys, "k", x, "o_custkey").select(F.lit(kind).alias("kind"), "k") for kind, x in sets.items()]
+    return found[0].unionAll(found[1]).unionAll(found[2])
 
 
 @query("select c_custkey from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
@@ -246,9 +254,20 @@ def ups5_edges(s, d):
     return merge.edge_upsert(edges(s, d).filter("source <> target"), ["source", "target", "relation"], "ts", "confidence", "evidence", "seq")
 
 
-@query(f"{EDGES}, p as (select target, count(*) in_degree, count(distinct source) sources, count(distinct relation) relations from edges group by 1) select *, least(100, case when in_degree >= 20 then 40 when in_degree >= 10 then 30 when in_degree >= 5 then 20 when in_degree >= 2 then 12 when in_degree >= 1 then 6 else 0 end + case when relations >= 4 then 15 when relations >= 2 then 10 when relations >= 1 then 5 else 0 end + case when sources >= 3 then 10 when sources >= 2 then 6 when sources >= 1 then 2 else 0 end) importance from p")
+@query(f"""{EDGES}, p as (select target, count(*) in_degree, count(distinct source) sources, count(distinct relation) relations,
+    count(*) filter (relation = 'A') recommendations, count(*) filter (relation in ('R', 'X')) forwards from edges where seq % 19 = 0 group by 1)
+    select *, least(100, case when in_degree >= 20 then 40 when in_degree >= 10 then 30 when in_degree >= 5 then 20 when in_degree >= 2 then 12 when in_degree >= 1 then 6 else 0 end
+    + case when recommendations >= 5 then 20 when recommendations >= 2 then 15 when recommendations >= 1 then 10 else 0 end
+    + case when forwards >= 10 then 15 when forwards >= 3 then 10 when forwards >= 1 then 5 else 0 end
+    + case when relations >= 4 then 15 when relations >= 2 then 10 when relations >= 1 then 5 else 0 end
+    + case when sources >= 3 then 10 when sources >= 2 then 6 when sources >= 1 then 2 else 0 end) importance from p""")
 def sc33_importance(s, d):
-    return graph.importance(graph.in_profile(edges(s, d)))
+    return graph.importance(graph.in_profile(edges(s, d).filter("seq % 19 = 0"), {"recommendation": ["A"], "forward": ["R", "X"]}))
+
+
+@query(ORACLES["sc33_importance"].replace(" where seq % 19 = 0", ""))
+def sc33_importance_all(s, d):
+    return graph.importance(graph.in_profile(edges(s, d), {"recommendation": ["A"], "forward": ["R", "X"]}))
 
 
 @query(f"{EDGES} select target, relation, count(*) occurrences, max(ts) last_seen from edges where source = 7 group by all order by occurrences desc, last_seen desc, target, relation limit 10")
@@ -281,9 +300,13 @@ def lm4_contrast_all(s, d):
     return mining.contrast(docs, T.tokens(c("text")), 1)
 
 
-@query("select doc_id, case when a + b > 0 then 0.0 else 0.0 end ratio, b latin from (select doc_id, 0 a, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) b from documents)")
+@query("""with t as (select doc_id, coalesce(text, '') || repeat('سلام ', (doc_id % 9 * 10)::int) t from documents),
+    n as (select doc_id, length(regexp_replace(t, '[^\\x{600}-\\x{6FF}]', '', 'g')) a, length(regexp_replace(t, '[^A-Za-z]', '', 'g')) latin from t)
+    select doc_id, case when a + latin > 0 then round_even(a / (a + latin), 3) else 0.0 end ratio, latin from n""")
 def str3_script_ratio(s, d):
-    return documents(s, d).select("doc_id", T.script_ratio(c("text")).alias("ratio"), F.length(F.regexp_replace("text", "[^A-Za-z]", "")).cast("long").alias("latin"))
+    t = F.concat(F.coalesce("text", F.lit("")), F.expr("repeat('سلام ', cast(doc_id % 9 * 10 as int))"))
+    rows = documents(s, d).select("doc_id", t.alias("t"))
+    return rows.select("doc_id", T.script_ratio(c("t")).alias("ratio"), F.length(F.regexp_replace("t", "[^A-Za-z]", "")).cast("long").alias("latin"))
 
 
 @query("select doc_id, ((length(text) - length(replace(text, 'th', ''))) / 2)::int n_th from documents")
@@ -311,10 +334,15 @@ def tx1_lexicon_all(s, d):
     return documents(s, d).select("doc_id", F.array_join(T.matched_terms(c("text"), ["secret", "password", "token", "the"]), " ").alias("terms"))
 
 
-@query(f"with h as (select user_id, (epoch_us(timestamp '{AS_OF}') - epoch_us(max(ts))) / 3.6e9 hrs, count(*) n from events group by 1) select user_id, case when hrs <= 24.5 then 100 when hrs <= 72.5 then 80 when hrs <= 168.5 then 60 when hrs <= 336.5 then 45 when hrs <= 720.5 then 30 else 15 end freshness from h")
+@query(f"""with h as (select user_id, case when user_id % 4 > 0 then (epoch_us(timestamp '{AS_OF}') - epoch_us(max(ts))) / 3.6e9 end hrs,
+    count(*) filter (ts >= timestamp '{AS_OF}' - interval 24 hour) a, count(*) filter (ts >= timestamp '{AS_OF}' - interval 7 day) b, count(*) filter (value > 95) m from events group by 1)
+    select user_id, case when hrs <= 24.5 then 100 when hrs <= 72.5 then 80 when hrs <= 168.5 then 60 when hrs <= 336.5 then 45 when hrs <= 720.5 then 30 when hrs is not null then 15
+    when a > 0 then 90 when b > 0 then 60 when m > 0 then 35 else 10 end freshness from h""")
 def sc8_freshness(s, d):
     hours = F.greatest(F.lit(0.0), (F.unix_micros(F.lit(AS_OF).cast("timestamp")) - F.unix_micros(F.max("ts").cast("timestamp"))) / 3.6e9)
-    return events(s, d).groupBy("user_id").agg(hours.alias("h")).select("user_id", L.ladder(c("h"), L.FRESHNESS_HOURS, 15, descending=False).alias("freshness"))
+    counts = [F.count_if(x).alias(k) for k, x in {"a": views.since("ts", AS_OF, "24 hours"), "b": views.since("ts", AS_OF, "7 days"), "m": c("value") > 95}.items()]
+    k = events(s, d).groupBy("user_id").agg(hours.alias("h"), *counts)
+    return k.select("user_id", L.freshness(F.when(c("user_id") % 4 > 0, c("h")), c("a"), c("b"), c("m")).alias("freshness"))
 
 
 @query(f"with k as (select user_id, count(*) filter (ts >= timestamp '{AS_OF}' - interval 24 hour) a, count(*) filter (ts >= timestamp '{AS_OF}' - interval 7 day) b, count(*) m from events group by 1) select user_id, greatest(5, least(100, case when a >= 5 then 50 when a >= 1 then 30 when b >= 7 then 20 else 0 end + case when b >= 20 then 30 when b >= 5 then 15 when b >= 1 then 10 else 0 end + case when m >= 50 then 20 when m >= 10 then 10 when m >= 1 then 5 else 0 end)) activity, case when a >= 5 or b >= 35 then 'HOT' when a >= 1 or b >= 7 or m >= 20 then 'WARM' when b >= 1 or m >= 1 then 'COLD' else 'DORMANT' end class from k")
@@ -323,7 +351,7 @@ def sc7_activity(s, d):
     return k.select("user_id", L.activity_score(c("a"), c("b"), c("m")).alias("activity"), L.activity_class(c("a"), c("b"), c("m"), F.lit(None).cast("double")).alias("class"))
 
 
-@query("with g as (select user_id, arg_min(value, (ts, event_id)) a, arg_max(value, (ts, event_id)) b, greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 8.64e10, 0.01) dd, count(*) n from events group by 1), p as (select *, case when a > 0 then (b - a) * 100.0 / a else 0 end p from g) select user_id, case when n < 2 then 0 when p >= 50 and dd <= 30 then 95 when p >= 25 and dd <= 14 then 90 when p >= 10 then 75 when p >= 0 then least(70, 50 + trunc(2 * p)::int) when p >= -5 then 45 else greatest(10, 50 - trunc(abs(p))::int) end growth from p")
+@query("with g as (select user_id, arg_min(value, (ts, event_id)) a, arg_max(value, (ts, event_id)) b, greatest((epoch_us(max(ts)) - epoch_us(min(ts))) / 8.64e10, 0.01) dd, count(*) n from events group by 1), p as (select *, (b - a) * 100.0 / greatest(1.0, a) p from g) select user_id, case when n < 2 then 0 when p >= 50 and dd <= 30 then 95 when p >= 25 and dd <= 14 then 90 when p >= 10 then 75 when p >= 0 then least(70, 50 + trunc(2 * p)::int) when p >= -5 then 45 else greatest(10, 50 - trunc(abs(p))::int) end growth from p")
 def sc10_growth(s, d):
     at, us = F.struct("ts", "event_id"), lambda x: F.unix_micros(x.cast("timestamp"))
     g = events(s, d).groupBy("user_id").agg(F.min_by("value", at).alias("a"), F.max_by("value", at).alias("b"), ((us(F.max("ts")) - us(F.min("ts"))) / 8.64e10).alias("days"), F.count("*").alias("n"))
@@ -341,20 +369,39 @@ def st3_count_windows(s, d):
     return b.groupBy("user_id").agg(F.count("*").alias("windows"))
 
 
-@query(None)
+_ORDERED = "with recursive e as (select *, epoch_us(ts) t, row_number() over (partition by user_id order by ts, event_id) i from events"
+
+
+@query(f"""{_ORDERED}), r as (select user_id, 0 i, cast([] as bigint[]) log, 0::bigint admitted, 0::bigint rejected from (select distinct user_id from events)
+    union all select user_id, i, case when len(kept) < 3 then list_append(kept, t) else kept end, admitted + (len(kept) < 3)::int, rejected + (len(kept) >= 3)::int
+    from (select r.user_id, e.i, t, admitted, rejected, list_filter(log, lambda x: x > t - 86400000000) kept from r join e on e.user_id = r.user_id and e.i = r.i + 1))
+    select user_id, arg_max(admitted, i) admitted, arg_max(rejected, i) rejected from r group by 1""")
 def st6_rate_limiter(s, d):
     return state.rate_limiter(events(s, d), "user_id", "ts", "event_id", 86400, 3)
 
 
-@query(None)
+@query(f"""{_ORDERED} where event_type = 'error'), r as (select user_id, 0 i, null::bigint since, 0 n, 0 trips, null::bigint until from (select distinct user_id from e)
+    union all select user_id, i, since, n, trips + (n >= 3 and (until is null or t >= until))::int, case when n >= 3 then t + 86400000000 * 2 else until end
+    from (select r.user_id, e.i, t, trips, until, case when since is null or t >= since + 86400000000 * 7 then t else since end since,
+        case when since is null or t >= since + 86400000000 * 7 then 1 else n + 1 end n from r join e on e.user_id = r.user_id and e.i = r.i + 1))
+    select user_id, arg_max(trips, i)::int trips, make_timestamp(max(until)) open_until from r group by 1""")
 def st7_breaker(s, d):
-    return state.fixed_window_trips(events(s, d).filter("event_type = 'error'"), "user_id", "ts", "event_id", 7 * 86400, 3)
-
-
-@query(None)
+    return state.fixed_window_trips(events(s, d).filter("event_type = 'error'"), "user_id", "ts", "event_id", 7 * 86400, 3, 2 * 86400)
+
+
+@query(f"""{_ORDERED}), k as (select user_id, i, t, case when event_type = 'error' then 'error' when event_type = 'signup' then 'flood' when event_type = 'view' and value > 99 then 'auth' else 'success' end kind, (value * 1.5)::int secs from e),
+    f as (select *, count(*) filter (kind = 'flood') over (partition by user_id order by t range between 1799999999 preceding and current row) peers from k),
+    r as (select user_id, 0 i, 100 health, 'HEALTHY' state from (select distinct user_id from k)
+    union all select r.user_id, f.i, case kind when 'success' then least(100, health + 1) when 'flood' then greatest(0, health - case when secs <= 60 then 5 else 15 end) when 'error' then greatest(0, health - 10) else 0 end,
+        case when state = 'QUARANTINED' or kind = 'auth' then 'QUARANTINED' when kind = 'flood' and state = 'HEALTHY' then case when secs > 60 or peers >= 3 then 'DEGRADED' else state end
+            when kind = 'flood' and state = 'COOLDOWN' then 'RESTRICTED' when kind in ('flood', 'error') and state = 'DEGRADED' then 'COOLDOWN'
+            when kind = 'success' and state = 'DEGRADED' and least(100, health + 1) >= 90 then 'HEALTHY' else state end
+    from r join f on f.user_id = r.user_id and f.i = r.i + 1)
+    select user_id, arg_max(health, i) health, arg_max(state, i) state from r group by 1""")
 def sm6_health(s, d):
-    kind = F.when(c("event_type") == "error", "error").when(c("event_type") == "signup", "flood").otherwise("success")
-    return state.health_machine(events(s, d).withColumn("kind", kind), "user_id", "ts", "event_id", "kind")
+    kind = F.when(c("event_type") == "error", "error").when(c("event_type") == "signup", "flood").when((c("event_type") == "view") & (c("value") > 99), "auth").otherwise("success")
+    rows = events(s, d).withColumn("kind", kind).withColumn("secs", F.rint(c("value") * 1.5).cast("int"))
+    return state.health_machine(rows, "user_id", "ts", "event_id", "kind", "secs")
 
 
 @query("select 'events_total{type=\"' || event_type || '\"} ' || count(*) line from events group by event_type")
@@ -372,6 +419,10 @@ def xt4_pivot(s, d):
     return orders(s, d).groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("o_orderkey")).fillna(0)
 
 
-@query("select c_custkey k from customer except select o_custkey from orders")
+@query("""with known as (select c_custkey k from customer where c_custkey % 3 > 0), now as (select distinct o_custkey k from orders where o_custkey % 4 > 0)
+    select 'gone' side, k from (select k from known except select k from now) union all select 'new', k from (select k from now except select k from known)""")
 def xt8_difference(s, d):
-    return customer(s, d).select(c("c_custkey").alias("k")).distinct().join(orders(s, d).select(c("o_custkey").alias("k")), "k", "left_anti")
+    known = customer(s, d).filter("c_custkey % 3 > 0").select(c("c_custkey").alias("k"))
+    now = orders(s, d).filter("o_custkey % 4 > 0").select(c("o_custkey").alias("k"))
+    gone, new = known.exceptAll(now.distinct()), now.distinct().exceptAll(known)
+    return gone.select(F.lit("gone").alias("side"), "k").unionAll(new.select(F.lit("new").alias("side"), "k"))
\ No newline at end of file

@@ -21,12 +21,15 @@ def tx6_email(s, d):
     return customer(s, d).select("c_custkey", M.email(text).alias("email"))
 
 
-@query(r"""with p as (select doc_id, coalesce(text, '') text from documents),
+_CALLS = "concat(coalesce(text, ''), case doc_id % 6 when 0 then concat(' wa.me/96650000', 1000 + doc_id) when 1 then concat(' Phone: +44 20 7946-0', 100 + doc_id) when 2 then concat(' call +44 20 7946-0', 100 + doc_id) when 3 then ' phone 12 34' else '' end)"
+
+
+@query(r"""with p as (select doc_id, coalesce(text, '') || case doc_id % 6 when 0 then ' wa.me/96650000' || 1000 + doc_id when 1 then ' Phone: +44 20 7946-0' || 100 + doc_id when 2 then ' call +44 20 7946-0' || 100 + doc_id when 3 then ' phone 12 34' else '' end text from documents),
 f as (select doc_id, nullif(regexp_extract(text, '(?:wa\.me/|api\.whatsapp\.com/send\?phone=|whatsapp:)\+?([0-9]{9,16})', 1, 'i'), '') direct,
     case when regexp_matches(lower(text), 'واتس|whatsapp|هاتف|phone') then regexp_replace(regexp_extract(text, '\+?(?:966|971|965|968|973|962|961|963|967|964|20|90|44|1)[0-9\s-]{7,15}'), '[\s+-]', '', 'g') end loose from p)
 select doc_id, coalesce(direct, case when length(loose) >= 8 then loose end) number, case when direct is not null then 100 when length(loose) >= 8 then 85 end confidence from f""")
 def tx7_phone(s, d):
-    return documents(s, d).select("doc_id", M.phone(c("text")).alias("p")).select("doc_id", "p.number", "p.confidence")
+    return documents(s, d).select("doc_id", M.phone(F.expr(_CALLS)).alias("p")).select("doc_id", "p.number", "p.confidence")
 
 
 @query(r"""with t as (select page_id, 'telegram:chan' || page_id % 9 self, url || ' t.me/Chan' || page_id % 10 || ' T.ME/joinchat/abc' || page_id % 3 || 'bot https://tiktok.com/@user' || page_id % 7 || ' https://www.facebook.com/groups/g' || page_id % 5 || ' ' || html text from pages),
