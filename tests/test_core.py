@@ -141,6 +141,10 @@ def test_streams_equal_batch(spark, tmp_path):
     assert hours.exceptAll(want).count() == 0 and hours.count() == want.count()
     marks = streams.run_to_end(streams.high_water(streams.events(spark, SF)), "marks", str(tmp_path / "b"))
     assert marks.exceptAll(batch.groupBy("user_id").agg(F.max("event_id"), F.count("*"))).count() == 0
+    table = streams.to_parquet(streams.high_water(streams.events(spark, SF)), str(tmp_path / "t"), str(tmp_path / "d"), "complete")
+    assert sorted(table.collect()) == sorted(marks.collect())
+    rows = streams.to_parquet(streams.first_seen(streams.events(spark, SF), "user_id", "60 days"), str(tmp_path / "u"), str(tmp_path / "e"))
+    assert rows.select("user_id").distinct().count() == rows.count()
     once = streams.run_to_end(streams.first_seen(streams.events(spark, SF), "user_id", "60 days"), "once", str(tmp_path / "c"), "append")
     assert once.count() == batch.select("user_id").distinct().count()
 

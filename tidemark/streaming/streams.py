@@ -34,3 +34,23 @@ def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "complete"
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
+
+
+def to_parquet(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Drain the available input into a Parquet table and read it: rows as they are final in ``append``, the whole result anew in ``complete``.
+
+    Nothing passes the driver. A batch that is run again after a failure writes to the same
+    place: ``append`` by the sink's own log, ``complete`` by a folder named after the batch.
+    """
+    spark, sink = df.sparkSession, df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
+    if mode == "append":
+        sink.format("parquet").start(path).awaitTermination()
+        return spark.read.parquet(path)
+    last: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last.append(number)
+
+    sink.foreachBatch(write).start().awaitTermination()
+    return spark.read.parquet(f"{path}/batch={last[-1]}") if last else spark.createDataFrame([], df.schema)
