@@ -16,16 +16,20 @@ pieces find their places by rank within their length, in parallel.
 from __future__ import annotations
 
 import logging
-import re
 import zlib
+from array import array
+from collections import ChainMap
+from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .bpe import byte_letters
+from .common import materialize, text_slices
 
 SIZE = 2048
 #: sweeps of the linear program at most, and its step of the weights
@@ -34,9 +38,11 @@ STEP = 0.1
 #: gap to the lower bound that ends it, and sweeps without a better solution that do
 GAP = 0.002
 STALLED = 4
-#: pieces of one length are ranked within so many buckets, then by the buckets' sums
-BUCKETS = 64
-CACHE_CHUNKS = 600_000
+#: pieces of one length are ranked within buckets of about so many pieces, then by the buckets' sums
+BUCKET_PIECES = 100_000
+#: bytes of text whose new words are encoded together; chunks that a worker remembers, and their longest
+LEARN_BYTES = 8 << 20
+CACHE_CHUNKS = 300_000
 LONGEST_CACHED = 64
 _LOG = logging.getLogger(__name__)
 
@@ -49,48 +55,50 @@ def _tokenizer(path: str):
 
 
 _KNOWN: dict[str, dict[str, bytes]] = {}
-_END = re.compile("[!-/:-@\\[-`{-~]+$")
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-@lru_cache(maxsize=4)
-def _word_ends(path: str) -> np.ndarray:
-    """Whether an id ends a word, by the vocabulary's suffix."""
-    vocab = _tokenizer(path).get_vocab()
-    ends = np.zeros(max(vocab.values()) + 1, bool)
-    ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-    return ends
+#: a byte's letter in the vocabulary
+_LETTERS = [c for c, _ in sorted(byte_letters().items(), key=lambda x: x[1])]
+
+
+def _plain(word: str) -> bool:
+    """Whether the vocabulary's normalisation and splitting leave a lower-cased word as it is, alone and before punctuation.
+
+    So it is for words of Latin letters below U+0250 that are composed and without marks: no
+    letter of theirs decomposes, joins its neighbour or is split off.
+    """
+    return word.isalpha() and (word.isascii() or (max(word) < "\u0250" and is_normalized("NFC", word) and word.lower().isalpha() and max(word.lower()) < "\u0250"))
 
 
 def _stem(chunk: str) -> tuple[str, str]:
-    """A chunk's word in lower case and the punctuation after it, if it is made like that; else all of it.
+    """A plain word in lower case and the punctuation after it; all of any other chunk and nothing."""
+    word = chunk.rstrip(_PUNCTUATION)
+    return (word.lower(), chunk[len(word) :]) if _plain(word) else (chunk, "")
 
-    Only ASCII is lower-cased here: for it, case and the vocabulary's normalisation commute.
+
+def _encode_new(path: str, texts: set[str]) -> dict[str, bytes]:
+    """Ids of distinct stems and other chunks, by the tokenizers library.
+
+    Plain lower-case words go straight to its merges, as the bytes' letters; others go through
+    its normalisation and splitting too.
     """
-    m = _END.search(chunk)
-    word, tail = (chunk[: m.start()], m[0]) if m else (chunk, "")
-    if not (word.isalpha() and word.lower().isalpha()):
-        return chunk, ""
-    return (word.lower() if word.isascii() else word), tail
-
-
-def _encode_new(path: str, texts: list[str]) -> dict[str, bytes]:
-    """Ids of distinct texts. Plain words are encoded many at once and told apart by their last ids."""
-    tk, ends, out = _tokenizer(path), _word_ends(path), {}
-    plain = [t for t in texts if t.isalpha()]
-    for lo in range(0, len(plain), 500):
-        part = plain[lo : lo + 500]
-        ids = np.array(tk.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-        cuts = np.flatnonzero(ends[ids]) + 1
-        if len(cuts) == len(part):
-            b = ids.tobytes()
-            out |= {p: b[4 * x : 4 * y] for p, x, y in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True)}
+    tk, out, rest = _tokenizer(path), {}, []
+    merge = tk.model.tokenize
     for t in texts:
-        if t not in out:
-            out[t] = np.array(tk.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        if t.isascii() and t.isalpha() and t.islower():
+            out[t] = array("I", [x.id for x in merge(t)]).tobytes()
+        elif t.islower() and _plain(t):
+            out[t] = array("I", [x.id for x in merge("".join([_LETTERS[b] for b in t.encode()]))]).tobytes()
+        else:
+            rest.append(t)
+    for lo in range(0, len(rest), 1000):
+        part = rest[lo : lo + 1000]
+        out |= {t: array("I", e.ids).tobytes() for t, e in zip(part, tk.encode_batch_fast(part, add_special_tokens=False), strict=True)}
     return out
 
 
-def _word_ids(path: str, texts: list[str]) -> list[bytes]:
+def _word_ids(path: str, texts: list[str]) -> Iterator[bytes]:
     """Ids of each text as little-endian 32-bit integers, by the tokenizers library.
 
     The vocabulary drops white space and no token, normalisation or special token reaches
@@ -100,24 +108,25 @@ def _word_ids(path: str, texts: list[str]) -> list[bytes]:
     if len(known) > CACHE_CHUNKS:
         known.clear()
     split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = {p: _stem(p) for s in split for p in s if p not in known}
-    if not new:
-        return [b"".join([known[p] for p in s]) for s in split]
-    parts = {x for pair in new.values() for x in pair}
-    ids = _encode_new(path, [x for x in parts if x not in known]) | {x: known[x] for x in parts if x in known}
-    fresh = {p: ids[a] + ids[b] for p, (a, b) in new.items()}
-    known.update({p: b for p, b in fresh.items() if len(p) <= LONGEST_CACHED})
-    known.update({p: b for p, b in ids.items() if len(p) <= LONGEST_CACHED})
-    return [b"".join([known[p] if p in known else fresh[p] for p in s]) for s in split]
+    new = {p: _stem(p) for p in set().union(*split).difference(known)}
+    ids = _encode_new(path, {x for pair in new.values() for x in pair if x not in known})
+    long = {}
+    for x, b in ids.items():
+        (known if len(x) <= LONGEST_CACHED else long)[x] = b
+    for p, pair in new.items():
+        if p not in known and p not in long:
+            (known if len(p) <= LONGEST_CACHED else long)[p] = b"".join([known[x] if x in known else long[x] for x in pair])
+    every = ChainMap(known, long) if long else known
+    return (b"".join([every[p] for p in s]) for s in split)
 
 
 def _pieces(path: str, size: int):
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo, hi, _, _ in text_slices(batch.column(1), LEARN_BYTES):
+                part = batch.slice(lo, hi - lo)
                 ids, piece, start, length, crc = [], [], [], [], []
-                for doc, b in zip(part.column(0).to_pylist(), _word_ids(path, [t or "" for t in part.column(1).to_pylist()]), strict=True):
+                for doc, b in zip(part.column(0).to_pylist(), _word_ids(path, part.column(1).fill_null("").to_pylist()), strict=True):
                     b += b"\0\0\0\0"
                     for k, at in enumerate(range(0, len(b), 4 * size)):
                         cut = b[at : at + 4 * size]
@@ -132,7 +141,12 @@ def _pieces(path: str, size: int):
 
 
 def token_pieces(docs: DataFrame, path: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): every text's ids and a closing id 0, cut only beyond ``size``."""
+    """(doc_id, piece, start, length, ids_crc32): every text's ids and a closing id 0, cut only beyond ``size``.
+
+    A null or empty text is the closing id alone. Long texts are encoded whole. Null ids stay
+    null; repeated rows come back as often. Extra columns are ignored, whatever their names. An
+    empty table gives an empty result.
+    """
     df = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return df.mapInArrow(_pieces(path, size), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
@@ -261,7 +275,7 @@ def configurations(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, ro
 
 def _placed(plan):
     def run(batches):
-        keys, first, a, base, offset = plan.value
+        keys, a, base, offset = plan.value
         for batch in batches:
             length, rank = (batch.column(c).to_numpy() for c in ("length", "rank"))
             i = np.searchsorted(keys, (length << 48) + rank, "right") - 1
@@ -274,21 +288,24 @@ def _placed(plan):
     return run
 
 
-def pack(pieces: DataFrame, size: int = SIZE, rounds: int = ROUNDS, buckets: int = BUCKETS) -> DataFrame:
+def pack(pieces: DataFrame, size: int = SIZE, rounds: int = ROUNDS, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``: gapless sequences of at most ``size`` tokens.
 
     Takes the columns of ``token_pieces``; others are ignored. Repeated rows are packed as
-    often as they occur, and ties in length are in order of document and piece. No piece, no
-    sequence.
+    often as they occur; which of the pieces of one length goes where is arbitrary. No piece, no
+    sequence. A piece of ``size`` tokens is a sequence by itself and needs no rank; its
+    sequence_id is negative. Pieces of one length are ranked in as many buckets as their number
+    asks for, dealt by row, so no length and no document is one task's.
     """
     spark = pieces.sparkSession
-    pieces = materialize(pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int").alias("bucket")), "pieces")
-    per = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    bars = per.groupBy("length").agg(F.sum("n").alias("n")).orderBy("length").collect()  # at most ``size`` rows
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    pieces = materialize(pieces.select(*columns, F.monotonically_increasing_id().alias("row")), "pieces")
+    full = pieces.filter(F.col("length") == size).select(*columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    bars = pieces.filter(F.col("length") < size).groupBy("length").agg(F.count("*").alias("n")).orderBy("length").collect()  # fewer than ``size`` rows
     if not bars:
-        return pieces.drop("bucket").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+        return full
     lengths, counts = np.array([b["length"] for b in bars]), np.array([b["n"] for b in bars])
-    keys, first, each, bases, offsets = [], [], [], [], []
+    keys, each, bases, offsets = [], [], [], []
     rank, base = dict.fromkeys(lengths.tolist(), 0), 0
     for config, copies in configurations(lengths, counts, size, rounds):
         at = 0
@@ -301,10 +318,12 @@ def pack(pieces: DataFrame, size: int = SIZE, rounds: int = ROUNDS, buckets: int
             at += n * length
         base += copies
     order = np.argsort(np.array(keys))
-    plan = spark.sparkContext.broadcast((np.array(keys)[order], None, np.array(each)[order], np.array(bases)[order], np.array(offsets)[order]))
-    # at most size * buckets rows
-    ahead = per.withColumn("ahead", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).select("length", "bucket", "ahead")
-    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = pieces.withColumn("own", own).join(F.broadcast(ahead), ["length", "bucket"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own") + F.col("ahead")).alias("rank"))
-    return ranked.mapInArrow(_placed(plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    plan = spark.sparkContext.broadcast(tuple(np.array(x)[order] for x in (keys, each, bases, offsets)))
+    buckets = -(-int(counts.max()) // bucket_pieces)
+    short = pieces.filter(F.col("length") < size).withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
+    ahead = short.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    ahead = ahead.withColumn("ahead", F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).select("length", "bucket", "ahead")
+    own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")) - 1
+    ranked = short.withColumn("own", own).join(ahead, ["length", "bucket"]).select(*columns, (F.col("own") + F.col("ahead")).alias("rank"))
+    placed = ranked.mapInArrow(_placed(plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return placed.unionByName(full)
