@@ -8,8 +8,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import commercial, ladders, relevance, scores, text
-from tidemark.operators import eligibility, graph, merge, messages, mining, queues, schedule, state, views
+from tidemark.functions import commercial, ladders, names, relevance, scores, text
+from tidemark.operators import eligibility, graph, intake, merge, messages, mining, queues, schedule, state, views
 from tidemark.plans.registry import ORACLES, QUERIES
 from tidemark.sources import io
 from tidemark.streaming import streams
@@ -395,3 +395,24 @@ def test_mining_model(spark):
     assert got == {"x": (0.3, -0.5, 3), "z": (0.1, 0.0, 0), "y": (0.0, -6.0, 3)}
     e = spark.createDataFrame([(1, 3, "c"), (1, 1, "a"), (1, 2, "b"), (2, 1, None)], "k int, t int, v string")
     assert {r.k: r["first"] for r in mining.first_rows(e, "k", ["t"], "v", 2).collect()} == {1: ["a", "b"], 2: [None]}
+
+
+def test_query_variants_and_mix(spark):
+    words = ["توصيات الذهب", "فوركس", "gold", "smc", "", None]
+    got = {r.w: r.v for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", names.query_variants(F.col("w"), 6).alias("v")).collect()}
+    assert got["توصيات الذهب"] == ["توصيات الذهب", "توصيات ذهب", "التوصيات الذهب", "توصيات الذهب XAUUSD"] and got["فوركس"] == ["فوركس", "الفوركس", "فوركس Forex"]
+    assert got["gold"] == ["gold", "gold XAUUSD"] and got["smc"] == ["smc", "smc تحليل"] and got[""] == [] and got[None] == []
+    df = lambda *q: spark.createDataFrame([(x,) for x in q], "query string")
+    active, candidates, fallback = df(*[f"a{i}" for i in range(20)], "one two three four five", " "), df("a1", "b1", "b2", None), df("f1", "f2", "a1")
+    mix = [tuple(r) for r in intake.query_mix(active, candidates, fallback, 10, 7).collect()]
+    assert len(mix) == len({q for q, _ in mix}) == 10 and sum(s == "exploit" for _, s in mix) == 8 and "one two three four five" not in {q for q, _ in mix}
+    mix = [tuple(r) for r in intake.query_mix(df("a1"), candidates, fallback, 10, 7).collect()]
+    assert sorted(mix) == [("a1", "exploit"), ("b1", "explore"), ("b2", "explore"), ("f1", "fallback"), ("f2", "fallback")]
+
+
+def test_names(spark):
+    one = lambda e: spark.range(1).select(e.alias("v")).first().v
+    for raw, want in {"@@name.": "name", "__ab": "_ab", "ab__": "ab_", "____": "___", " /x_y_z!? ": "x_y_z", "ab": None, "x" * 36: None, None: None}.items():
+        assert one(names.clean_handle(F.lit(raw).cast("string"))) == want, raw
+    assert one(names.redirect_target(F.lit("https://r.io/?u=a1aHR0cHM6Ly9hLmIv&x=1"), "r.io")) == "https://a.b/" and one(names.redirect_target(F.lit("https://r.io/?u=a1%%"), "r.io")) == "https://r.io/?u=a1%%"
+    assert one(names.listed_once(F.array(F.lit("A"), F.lit("a"), F.lit("XBot"), F.lit("b")))) == ["A", "b"]
