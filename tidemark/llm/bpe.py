@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from .common import text_slices
 
 #: words, chunks and pairs of tokens that a worker remembers
-CACHE_WORDS = 300_000
-CACHE_CHUNKS = 400_000
+CACHE_WORDS = 200_000
+CACHE_CHUNKS = 300_000
 CACHE_PAIRS = 500_000
 #: bytes of text whose new words are walked as one trie
-LEARN_BYTES = 8 << 20
+LEARN_BYTES = 4 << 20
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 NEVER = 1 << 60
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"

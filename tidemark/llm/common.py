@@ -18,14 +18,28 @@ LOCAL_SCRATCH = "/tmp/checkpoints"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Where that is unset, a local folder serves a local master only; a cluster's executors would
+    not see each other's files there, so it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = LOCAL_SCRATCH
-        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_dir(spark)}/tidemark-{tag}-{uuid.uuid4().hex}"
 
@@ -84,6 +98,6 @@ def ship(spark: SparkSession) -> None:
 BROADCAST_IDS = 1_000_000
 
 
-def by_ids(df: DataFrame, ids: DataFrame, on: str, how: str) -> DataFrame:
-    """Semi- or anti-join on an id column; the ids are broadcast only if a count proves them few."""
-    return df.join(broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, on, how)
+def by_ids(df: DataFrame, ids: DataFrame, on: str, how: str, most: int = BROADCAST_IDS) -> DataFrame:
+    """Semi- or anti-join on an id column; the ids are broadcast only if a count proves them at most ``most``."""
+    return df.join(broadcast(ids) if ids.count() <= most else ids, on, how)

@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import broadcast
 
-from .common import by_ids, materialize, text_slices
+from .common import BROADCAST_IDS, by_ids, free_name, materialize, text_slices
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -37,7 +38,9 @@ SKETCH_BLOCKS = 128
 BINS = 64
 #: hubs of a list in the first round, and by how much each round takes more
 HUBS = 8
-MORE_HUBS = 4
+MORE_HUBS = 16
+#: keys of some 45 bytes that ``keep_first`` may broadcast
+BROADCAST_KEYS = 200_000
 
 
 def _digests(sets: list[np.ndarray]) -> tuple[list[int], list[int], list[int]]:
@@ -60,7 +63,7 @@ def _scan(width: int, bits: int):
             for lo, hi, data, offsets in text_slices(batch.column(2), SLICE_BYTES):
                 sets = shingle_sets(data, offsets, width)
                 every = np.concatenate(sets)
-                counts += np.bincount((every & mask).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+                np.add.at(counts, (every & mask).astype(np.int64), np.uint32(1))
                 seed = (seed * 31 + len(data)) % 65536
                 n, d1, d2 = _digests(sets)
                 none = [pa.nulls(hi - lo, t) for t in (pa.int32(), pa.int32(), pa.binary())]
@@ -187,13 +190,15 @@ def jaccard_rows(
         near = materialize(near.mapInArrow(_room(num, den), "a long, b long"), "near")
         ends = classes.join(near.select(F.col("a").alias("cls")).union(near.select("b")).distinct(), "cls", "left_semi")
         ends = materialize(ends, "ends")
-        texts = by_ids(rows.select("id", "text").filter("id is not null"), ends.select(F.col("class_id").alias("id")).filter("id is not null").distinct(), "id", "left_semi").select("text")
-        if not ends.filter("class_id is null").isEmpty():
+        n, named_ends = ends.agg(F.count("*"), F.count("class_id")).first()
+        ids = ends.filter("class_id is not null").select(F.col("class_id").alias("id")).distinct()
+        texts = rows.select("id", "text").join(broadcast(ids) if n <= BROADCAST_IDS else ids, "id", "left_semi").select("text")
+        if named_ends < n:
             texts = texts.unionByName(rows.filter("id is null").select("text"))
         full = texts.mapInArrow(_full_sets(width), "n int, d1 long, d2 long, full array<long>")
         full = full.join(ends.select("d1", "d2", "n", "cls"), ["d1", "d2", "n"]).select("cls", "full")
         full = materialize(full, "sets")
-        if full.count() > ends.count():  # a row of the same id and set comes again
+        if full.count() > n:  # a row of the same id and set comes again
             full = full.dropDuplicates(["cls"])
         side = lambda x: full.select(F.col("cls").alias(x), F.col("full").alias(f"full_{x}"))
         both = near.join(side("a"), "a").join(side("b"), "b")
@@ -243,3 +248,25 @@ def ngram_jaccard_groups(
     collected and broadcast has a fixed size (4 * 2**sketch_bits bytes).
     """
     return jaccard_rows(docs, id_col, text_col, width, num, den, sketch_bits).select("id", "n_shingles", "class_id", "component_id")
+
+
+def keep_first(docs: DataFrame, rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of ``rows``, which come from ``jaccard_rows`` over ``docs``.
+
+    The row with the least id stays (null last, then by the text's MD5). Of rows with the same
+    id and text one stays, whichever. Rows of ``docs`` that are in no group all stay. Columns
+    come back as they are.
+    """
+    columns, key = docs.columns, free_name(docs, "row_key")
+    named = lambda i, k: F.concat_ws(":", F.coalesce(i.cast("long").cast("string"), F.lit("")), k)
+    keyed = docs.withColumn(key, named(F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
+    rows = rows.filter("group_id is not null").select("group_id", F.struct(F.col("id").isNull().alias("late"), "id", "key").alias("row"))
+    several = rows.groupBy("group_id").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first <> last").select("group_id", "first")
+    gone = rows.join(several, "group_id").filter("row <> first").select(named(F.col("row.id"), F.col("row.key")).alias(key)).distinct()
+    keyed = by_ids(keyed, materialize(gone, "gone"), key, "left_anti", BROADCAST_KEYS)
+    again = rows.groupBy(named(F.col("row.id"), F.col("row.key")).alias(key)).agg(F.count("*").alias("n")).filter("n > 1").select(key)
+    again = materialize(again, "again")
+    if not again.isEmpty():
+        twice = by_ids(keyed, again, key, "left_semi", BROADCAST_KEYS).dropDuplicates([key])
+        keyed = by_ids(keyed, again, key, "left_anti", BROADCAST_KEYS).unionByName(twice)
+    return keyed.select(*[f"`{c}`" for c in columns])

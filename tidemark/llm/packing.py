@@ -41,8 +41,8 @@ STALLED = 4
 #: pieces of one length are ranked within buckets of about so many pieces, then by the buckets' sums
 BUCKET_PIECES = 100_000
 #: bytes of text whose new words are encoded together; chunks that a worker remembers, and their longest
-LEARN_BYTES = 8 << 20
-CACHE_CHUNKS = 300_000
+LEARN_BYTES = 2 << 20
+CACHE_CHUNKS = 200_000
 LONGEST_CACHED = 64
 _LOG = logging.getLogger(__name__)
 

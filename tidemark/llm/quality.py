@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import free_name, text_slices
 from .shingles import words
 
 SLICE_BYTES = 1 << 20
@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit(np.concatenate(x), np.concatenate([[0], np.cumsum([len(b) for b in x])]), y)
 
 
-def _scored(model):
+def _scored(model, into):
     def run(batches):
         m = model.value
         for batch in batches:
@@ -147,20 +147,28 @@ def _scored(model):
             for _, _, data, offsets in text_slices(batch.column(0), SLICE_BYTES):
                 out.append(_forward(m, *encode(data, offsets))["p"].astype(np.float64))
             score = np.concatenate(out) if out else np.zeros(0)
-            yield pa.record_batch([*batch.columns[1:], pa.array(score)], names=[*batch.schema.names[1:], "score"])
+            yield pa.record_batch([*batch.columns[1:], pa.array(score)], names=[*batch.schema.names[1:], into])
 
     return run
 
 
-def score(docs: DataFrame, model: dict, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns and ``score`` (0 to 1) of every row, from its text alone; null counts as empty.
+def score(docs: DataFrame, model: dict, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), into: str = "score") -> DataFrame:
+    """The ``keep`` columns and ``into`` (0 to 1) of every row, from its text alone.
 
-    The text may be kept too. A kept column must not be named ``score``.
+    A null text counts as empty, which is one empty passage; long texts are read whole. Repeated
+    rows and equal texts score alike; an empty table stays empty. The text may be kept too. A
+    kept column must not be named like ``into``; columns not kept may be named as they like.
     """
-    df = docs.select(F.col(text_col).alias("_text"), *[F.col(c) for c in keep])
+    df = docs.select(F.col(text_col).alias("_text"), *[F.col(f"`{c}`") for c in keep])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields[1:]]
-    return df.mapInArrow(_scored(shared), ", ".join([*types, "score double"]))
+    return df.mapInArrow(_scored(shared, into), ", ".join([*types, f"`{into}` double"]))
+
+
+def keep_good(docs: DataFrame, model: dict, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with the columns they have."""
+    name = free_name(docs, "score")
+    return score(docs, model, text_col, tuple(docs.columns), name).filter(F.col(f"`{name}`") >= least).drop(name)
 
 
 def held_out(id_col: str = "doc_id"):

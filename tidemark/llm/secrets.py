@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 # runs of this class cannot overlap, so asking for the length at once finds the same matches
@@ -22,8 +24,11 @@ CLASSES = {
     "hex": (r"[0-9A-Fa-f]{20,}", "0123456789abcdefABCDEF", 3.0),
     "base64": (r"[A-Za-z0-9+/_=-]{20,}", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", 3.8),
 }
-#: candidates that match one of these are not reported by the entropy scan
-ALLOW = (r"^[A-Za-z+/_=-]*$", r"^[0-9+/_=-]*$", r"(?i)example", r"^(.)\1+$", r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$")
+#: spans that match one of these are not reported by the entropy scan: words (in camel case or joined by signs), numbers, keys with "example" in them, one character over and over, UUIDs
+ALLOW = (
+    r"^(?:[+/_=-]|(?<![A-Za-z])(?:[A-Z]?[a-z]+(?:[A-Z][a-z]+)*[A-Z]?|[A-Z]+)(?![A-Za-z]))*$",
+    r"^[0-9+/_=-]*$", r"(?i)[a-z0-9+]example|example[a-z0-9+]", r"^(.)\1+$", r"^[0-9a-fA-F]{8}-([0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$",
+)
 _NONE = "cast(array() as array<struct<start:int,kind:int,end:int>>)"
 
 
@@ -68,27 +73,32 @@ def _hot(candidate: str, alphabet: str, bits: float, window: int) -> str:
 def _entropy(text: str, classes: dict, allow: tuple[str, ...], window: int) -> str:
     found = []
     for pattern, alphabet, bits in classes.values():
-        suppressed = " or ".join(f"x.m rlike {_quoted(a)}" for a in allow) or "false"
-        hot = f"transform(filter({_matches(text, pattern)}, x -> not ({suppressed})), x -> named_struct('start', x.start, 'w', {_hot('x.m', alphabet, bits, window)}))"
-        spans = f"transform(filter({hot}, x -> x.w.first is not null), x -> named_struct('start', x.start + x.w.first, 'kind', 3, 'end', x.start + x.w.last))"
+        suppressed = " or ".join(f"substring(x.m, x.w.first + 1, x.w.last - x.w.first) rlike {_quoted(a)}" for a in allow) or "false"
+        hot = f"transform({_matches(text, pattern)}, x -> named_struct('start', x.start, 'm', x.m, 'w', {_hot('x.m', alphabet, bits, window)}))"
+        spans = f"transform(filter({hot}, x -> x.w.first is not null and not ({suppressed})), x -> named_struct('start', x.start + x.w.first, 'kind', 3, 'end', x.start + x.w.last))"
         found.append(f"if({text} rlike {_quoted(pattern)}, {spans}, {_NONE})")
     return f"concat({', '.join(found)})"
 
 
-def with_spans(df: DataFrame, text_col: str = "text", classes: dict = CLASSES, allow: tuple[str, ...] = ALLOW, window: int = WINDOW) -> DataFrame:
-    """``df`` with ``base_spans`` and ``spans``: arrays of struct(start, kind, end), sorted, in code points.
+def with_spans(
+    df: DataFrame, text_col: str = "text", into: tuple[str, str] = ("base_spans", "spans"), classes: dict = CLASSES, allow: tuple[str, ...] = ALLOW, window: int = WINDOW
+) -> DataFrame:
+    """``df`` with two arrays of struct(start, kind, end), sorted, in code points, named by ``into``.
 
-    ``kind`` indexes KINDS; ``end`` is exclusive. ``base_spans`` has the three patterns'
-    matches; ``spans`` adds entropy spans that no base span covers and no other entropy span
-    repeats. A null or empty text has none. Other columns stay as they are.
+    ``kind`` indexes KINDS; ``end`` is exclusive. The first has the three patterns' matches; the
+    second adds entropy spans that no base span covers and no other entropy span repeats. A null
+    or empty text has none; long texts are scanned whole. Repeated rows come back as often; an
+    empty table stays empty. Other columns stay as they are, but for those named like ``into``.
     """
+    base_spans, spans = (f"`{c}`" for c in into)
+    hot = free_name(df, "hot_spans")
     t = f"coalesce(`{text_col}`, '')"
     base = f"array_sort(concat({_base(t, ASSIGN, 0, 6)}, {_base(t, ACCESS, 1, 20)}, {_base(t, HEX, 2, 24)}))"
     more = f"array_distinct({_entropy(t, classes, allow, window)})"
-    df = df.withColumn("base_spans", F.expr(base)).withColumn("_hot", F.expr(more))
-    fresh = """filter(_hot, x -> not exists(base_spans, b -> b.start <= x.start and x.end <= b.end)
-        and not exists(_hot, y -> y.start <= x.start and x.end <= y.end and (y.start <> x.start or y.end <> x.end)))"""
-    return df.withColumn("spans", F.expr(f"array_sort(concat(base_spans, {fresh}))")).drop("_hot")
+    df = df.withColumns({into[0]: F.expr(base), hot: F.expr(more)})
+    fresh = f"""filter({hot}, x -> not exists({base_spans}, b -> b.start <= x.start and x.end <= b.end)
+        and not exists({hot}, y -> y.start <= x.start and x.end <= y.end and (y.start <> x.start or y.end <> x.end)))"""
+    return df.withColumn(into[1], F.expr(f"array_sort(concat({base_spans}, {fresh}))")).drop(hot)
 
 
 def _listed(spans: str) -> Column:
@@ -97,7 +107,11 @@ def _listed(spans: str) -> Column:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row a document: counts of the base spans, their digest, and all spans as text."""
+    """One row a document: counts of the base spans, their digest, and all spans as text.
+
+    Every row comes back, repeated ones as often; null and empty texts have no span. Extra
+    columns are ignored, whatever their names. An empty table gives an empty result.
+    """
     found = with_spans(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", **options)
     count = lambda k: F.expr(f"cast(size(filter(base_spans, x -> x.kind = {k})) as bigint)")
     return found.select(
@@ -108,12 +122,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
-    """``docs`` with every span (overlapping ones as one) replaced by ``mark``; null texts stay null."""
+    """``docs`` with every span (overlapping ones as one) replaced by ``mark``; null texts stay null.
+
+    Texts without spans, and all other columns whatever their names, stay as they are.
+    """
     columns = docs.columns
-    found = with_spans(docs, text_col, **options)
+    base, spans = free_name(docs, "base_spans"), free_name(docs, "spans")
+    found = with_spans(docs, text_col, (base, spans), **options)
     t = f"`{text_col}`"
-    cut = f"""aggregate(spans, named_struct('at', 0, 'out', ''),
+    cut = f"""aggregate(`{spans}`, named_struct('at', 0, 'out', ''),
         (s, x) -> if(x.start >= s.at, named_struct('at', x.end, 'out', concat(s.out, substring({t}, s.at + 1, x.start - s.at), '{mark}')),
             named_struct('at', greatest(s.at, x.end), 'out', s.out)),
         s -> concat(s.out, substring({t}, s.at + 1)))"""
-    return found.withColumn(text_col, F.expr(f"if(size(spans) = 0, {t}, {cut})")).select(*columns)
+    return found.withColumn(text_col, F.expr(f"if(size(`{spans}`) = 0, {t}, {cut})")).select(*[f"`{c}`" for c in columns])
