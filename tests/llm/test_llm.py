@@ -5,12 +5,14 @@ import itertools
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, chat, components, fingerprints, ngram_join, packing, quality, registry, secrets, topk, urlfilter, warc
@@ -67,8 +69,7 @@ def brute_groups(rows, width, num, den):
     return sorted((i, len(sets[i]), root(i)) for i in sets)
 
 
-@pytest.mark.parametrize(("width", "num"), [(3, 90), (5, 80), (1, 50)])
-@pytest.mark.parametrize("hubs", [8, 1])
+@pytest.mark.parametrize(("width", "num", "hubs"), [(3, 90, 8), (5, 80, 8), (1, 50, 8), (5, 80, 2)])
 def test_ngram_groups(hard, width, num, hubs, monkeypatch):
     monkeypatch.setattr(ngram_join, "HUBS", hubs)
     got = ngram_join.ngram_jaccard_groups(hard, width=width, num=num, den=100, sketch_bits=14)
@@ -122,6 +123,28 @@ def test_fingerprints(spark, hard, docs):
             assert seen.setdefault(t, r.fingerprint) == r.fingerprint
 
 
+def test_fingerprint_cells(spark):
+    """Cells by plain Python: each item in one of eight cells of three tables, with count, xor and xor of check digests."""
+    digest = lambda b: xxhash.xxh64_intdigest(b, seed=42)
+    texts = ["", "one", "a\nb\n\na", "é\n日本\nx" * 20]
+    got = fingerprints.fingerprint(spark.createDataFrame(enumerate(texts), "i long, text string")).orderBy("i").collect()
+    for r, text in zip(got, texts, strict=True):
+        cells = [[0, 0, 0] for _ in range(24)]
+        for x in {digest(line.encode()) for line in text.split("\n") if line}:
+            for table in range(3):
+                cell = cells[8 * table + (x >> 3 * table & 7)]
+                cell[0], cell[1], cell[2] = cell[0] + 1, cell[1] ^ x, cell[2] ^ digest(x.to_bytes(8, "little"))
+        assert r.fingerprint == ";".join(f"{n}:{k:x}:{h:x}" if n else "" for n, k, h in cells)
+
+
+def test_fingerprint_ranges(spark):
+    rng = random.Random(4)
+    for n in (0, 1, 2, 7, 50, 300):
+        cuts = sorted(rng.sample(range(-500, 500), n))
+        df = spark.range(-510, 510).select("id", F.expr(fingerprints._range_of("id", cuts)).alias("r"))
+        assert all(r.r == sum(x <= r.id for x in cuts) for r in df.collect())
+
+
 def test_fingerprint_differences_recover_all(spark):
     rng = random.Random(2)
     rows = [(k, [rng.getrandbits(62) for _ in range(n)], [rng.getrandbits(62) for _ in range(m)]) for k, (n, m) in enumerate([(0, 0), (1, 0), (5, 5), (40, 3), (700, 650)])]
@@ -164,9 +187,22 @@ def test_entropy_windows(spark):
     assert (kind, int(start), int(end)) == ("entropy", 4 + want[0], 4 + want[-1] + 20)
 
 
+def test_entropy_allow_list(spark):
+    key = "tR4x9QzLm2Vb8KpWc7Yd0HsNf3Jg"
+    letters = "tRqxKQzLmWVbAKpWcGYdPHsNfBJg"
+    texts = [f"example_key={key}", f"/example/{key}/x", letters, "thisIsALongCamelCaseIdentifierName", "some-long/path_of=plain-words", "counterrevolutionaries" * 2, key]
+    got = secrets.scan(spark.createDataFrame(enumerate(texts), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_entropy for r in got] == [1, 1, 1, 0, 0, 0, 1]
+    assert all(len(r.spans.split(",")) == 1 for r in got)
+
+
 def test_redact(spark):
-    df = spark.createDataFrame([(1, "a token=abcdef01 b"), (2, None), (3, "é " + "0123456789abcdef" * 2)], "doc_id long, text string")
-    assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()] == ["a [SECRET] b", None, "é [SECRET]"]
+    rows = [(1, "a token=abcdef01 b", "s", 1, "b", 2.0), (2, None, "t", 2, "c", 3.0), (3, "é " + "0123456789abcdef" * 2, None, None, None, None), (3, "", "", 0, "", 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, _hot int, base_spans string, hot_spans double")
+    got = secrets.redact(df)
+    assert got.columns == df.columns
+    want = ["a [SECRET] b", None, "é [SECRET]", ""]
+    assert [tuple(r) for r in got.orderBy("doc_id", F.col("text").isNull(), F.desc("text")).collect()] == [(r[0], w, *r[2:]) for r, w in zip(rows, want, strict=True)]
 
 
 def test_quality_held_out(spark):
@@ -191,6 +227,36 @@ def test_quality_fits_every_passage():
     assert len(bags.column(2)[0].as_py()) == 200 * quality.DIM * 4
 
 
+def test_quality_forward():
+    """Gated attention by plain Python: softmax of w . (tanh(V e) * sigmoid(U e)), the weighted passage, a logistic unit."""
+    rng = np.random.default_rng(1)
+    x, bounds = rng.normal(size=(9, quality.DIM)).astype(np.float32), np.array([0, 1, 4, 9])
+    m = quality.fit(x, bounds, np.array([1.0, 0.0, 1.0]), steps=3)
+    got = quality._forward(m, x, bounds)["p"]
+    dot = lambda a, b: sum(float(p) * float(q) for p, q in zip(a, b, strict=True))
+    for k in range(3):
+        e = [[math.tanh(dot([(v - mu) / sd for v, mu, sd in zip(row, m["mean"], m["scale"], strict=True)], m["W"][:, j]) + float(m["b"][j])) for j in range(quality.HIDDEN)] for row in x[bounds[k] : bounds[k + 1]]]
+        score = [sum(float(m["w"][j]) * math.tanh(dot(row, m["V"][:, j])) / (1 + math.exp(-dot(row, m["U"][:, j]))) for j in range(quality.ATTENTION)) for row in e]
+        weight = [math.exp(s) / sum(math.exp(t) for t in score) for s in score]
+        z = [sum(a * row[j] for a, row in zip(weight, e, strict=True)) for j in range(quality.HIDDEN)]
+        assert math.isclose(got[k], 1 / (1 + math.exp(-dot(z, m["c"]) - float(m["d"][0]))), rel_tol=1e-4)
+
+
+def test_quality_encoding():
+    """Features of passages by plain Python: classes of bytes, word lengths, repeats, hashed words."""
+    text = "The the cat, 42! " * 30 + "é " * 5
+    data = np.frombuffer(text.encode(), np.uint8)
+    x, bounds = quality.encode(data, np.array([0, len(data)]))
+    words = text.split()
+    assert bounds.tolist() == [0, -(-len(words) // 64)]
+    for k in range(bounds[1]):
+        part = words[64 * k : 64 * k + 64]
+        n, raw = len(part), b"".join(w.encode() for w in part)
+        kinds = np.bincount(quality._CLASS[list(raw)], minlength=quality.N_CLASSES) / len(raw)
+        want = [*kinds, len(raw) / n / 8, sum(len(w.encode()) == 1 for w in part) / n, sum(a.lower() == b.lower() for a, b in itertools.pairwise(part)) / n, len({w.lower() for w in part}) / n, math.log1p(n) / 4]
+        assert np.allclose(x[k, : len(want)], want, atol=1e-6) and math.isclose(x[k, len(want) :].sum(), 1, abs_tol=1e-5)
+
+
 def test_quality_gradient():
     rng = np.random.default_rng(0)
     x, bounds = rng.normal(size=(400, quality.DIM)).astype(np.float32), np.arange(0, 401, 4)
@@ -218,6 +284,7 @@ def test_bpe(spark, hard):
     assert {r.id: r.text for r in bpe.decode(bpe.encode(df, path), path).collect()} == {i: t or "" for i, t in rows}
     for r in bpe.digests(df, path).collect():
         assert (r.n_tokens, r.ids_sha256) == (len(got[r.doc_id]), hashlib.sha256(",".join(map(str, got[r.doc_id])).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(tk.decode(got[r.doc_id], skip_special_tokens=False).encode()).hexdigest()
 
 
 def test_packing(spark, docs):
@@ -244,6 +311,36 @@ def test_packing(spark, docs):
     assert len(sequences) <= 1.03 * sum(n for _, n, _ in want.values()) / 2048 + 2
 
 
+def test_packing_ids_equal_the_library():
+    """Letters that composition excludes, marks, Latin letters and ASCII punctuation, in chance order and all case forms."""
+    path, tk, rng = public_tokenizers.path("word_bpe_49k.json"), library("word_bpe_49k.json"), random.Random(8)
+    excluded = [chr(i) for i in range(0x80, 0x30000) if unicodedata.normalize("NFC", chr(i)) != chr(i)]
+    latin = [chr(i) for i in range(0xA0, 0x250)]
+    marks = [chr(i) for i in (0x300, 0x301, 0x307, 0x308, 0x327, 0x9BC, 0x93C)]
+    ascii_signs = [chr(i) for i in range(33, 127)]
+    texts = [f"{c}{p} x" for c in excluded[:400] for p in "!.?^'"] + [f"{c}{p}" for c in latin for p in ("", ".", "'s", ")")]
+    texts += ["".join(rng.choice(rng.choice((excluded, latin, marks, ascii_signs, ascii_signs, " \n"))) for _ in range(rng.randint(1, 24))) for _ in range(6000)]
+    texts += ["<|endoftext|>", "a<|endoftext|>. b", "word<|startoftext|>", "x" * 300, "É." * 40, "İ! ǅ, ŉ; ß? ª."]
+    rng.shuffle(texts)
+    got = [np.frombuffer(b, "<u4").tolist() for b in packing._word_ids(path, texts)]
+    wrong = [t for t, g in zip(texts, got, strict=True) if g != tk.encode(t, add_special_tokens=False).ids]
+    assert not wrong, wrong[:5]
+
+
+def test_pack_full_and_crowded_lengths(spark):
+    rows = [(i, 0, 0, 2048 if i % 3 else 700, i) for i in range(900)] + [(7, 0, 0, 1, 7)] * 500
+    df = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = packing.pack(df, bucket_pieces=20).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == sorted((r[0], r[3]) for r in rows)
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for p in places.values():
+        ends = np.cumsum([0] + [n for _, n in sorted(p)])
+        assert [o for o, _ in sorted(p)] == ends[:-1].tolist() and ends[-1] <= 2048
+    assert len(places) <= 600 + 151
+
+
 def test_configurations_use_every_length():
     rng = np.random.default_rng(3)
     for n in (1, 2, 50, 400):
@@ -312,20 +409,38 @@ def test_chat(spark):
     assert got[4].chosen == "" and got[4].chosen_mask == [] and got[2].rejected.startswith("<|im_start|>user")
 
 
+def test_warc_repeated_and_null_ids(spark, tmp_path):
+    x, y = "x" * 1000, "y" * 1000
+    rows = [(1, x), (1, y), (9, x), (9, x), (None, x), (None, "z" * 1000), (None, "z" * 1000), (2, None)]
+    df = spark.createDataFrame([(i, "u", t, 1, "d") for i, t in rows], "page_id long, url string, html string, bytes int, digest string")
+    got = warc.read(warc.write(df, str(tmp_path / "w"))).collect()
+    key = lambda r: str(r)
+    want = [(1, "revisit", 9, x), (1, "response", None, y), (9, "response", None, x), (9, "response", None, x), (None, "revisit", 9, x), (None, "response", None, "z" * 1000), (None, "response", None, "z" * 1000), (2, "response", None, "")]
+    assert sorted(((r.page_id, r.record_type, r.refers_to, r.payload_digest) for r in got), key=key) == sorted(((i, k, f, hashlib.sha1(t.encode()).hexdigest()) for i, k, f, t in want), key=key)
+    assert {bytes(r.payload)[:1] for r in got if r.record_type == "response"} == {b"", b"x", b"y", b"z"}
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 7]) for i in range(300)]
     rows += [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (None, [1.0] * 6), (420, [1.0, 2.0]), (440, []), (460, rows[3][1])]
+    rows += [(500, rows[5][1]), (500, rows[5][1]), (501, [1e6] * 6), (560, [float(2**34)] * 3), (562, [-1.0, 2.0, 1e5])]
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, score int, rank int")
     got = topk.top_k(df, "vec_id % 20 = 0", query_tile=7, shard=32).collect()
-    want, q = {}, {i: np.floor(64 * np.array(v)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
-    for i in q:
-        if i % 20 == 0:
-            best = sorted((-int(q[i] @ q[j]), j) for j in q if j != i and len(q[j]) == len(q[i]))[:20]
-            want |= {(i, n): (j, -s) for n, (s, j) in enumerate(best, 1)}
+    want, q = {}, [(i, np.floor(64 * np.array(v))) for i, v in rows if v is not None and None not in v and np.isfinite(v).all()]
+    for n, (i, v) in enumerate(q):
+        if i is not None and i % 20 == 0:
+            best = sorted((-int(v @ w), topk.NO_ID if j is None else j) for m, (j, w) in enumerate(q) if m != n and len(w) == len(v))[:20]
+            want |= {(i, r): (None if j == topk.NO_ID else j, -s) for r, (s, j) in enumerate(best, 1)}
     assert {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in got} == want and len(got) == len(want)
 
 
+def test_top_k_of_one_id_with_two_vectors(spark):
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(df, "vec_id % 20 = 0").collect())
+    assert got == [(20, 1, 3, 4096), (20, 1, 3, 4096), (20, 2, 20, 0), (20, 2, 20, 0)]
+
+
 EMPTY = {"documents": DOC, "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string", "conversations": "conv_id long, turn long, role string, text string", "embeddings": "vec_id long, embedding array<float>, label int"}
 
 
@@ -356,6 +471,27 @@ def test_oracles(spark, name):
     assert sorted(map(repr, (tuple(r) for r in got.select(*[f"`{c}`" for c in names]).collect()))) == sorted(map(repr, found.fetchall()))
 
 
+WIDE = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, base_spans int, hot_spans int, row_key string, id long, key string, n int, token string, piece int, length long"
+
+
+def test_stages_with_clashing_columns_nulls_and_repeats(spark):
+    import corpus_pipeline
+
+    copy = "one two three four five six seven eight nine ten"
+    texts = [(1, copy), (1, "other words that copy nothing at all in here"), (2, copy), (2, copy), (3, None), (3, ""), (None, copy), (None, "token=abcdef01 " + "w " * 3000), (4, "  "), (4, "  ")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1, 0.1, "x", 1, 2, "y", 5, "k", 6, "t", 7, 8) for i, t in texts], WIDE)
+    empty = df.limit(0)
+    for stage in (corpus_pipeline.quality_classifier, corpus_pipeline.near_duplicates, corpus_pipeline.secret_scans):
+        assert stage(spark, df, SF).columns == df.columns and stage(spark, empty, SF).count() == 0
+    kept = corpus_pipeline.near_duplicates(spark, df, SF).collect()
+    key = lambda x: (x[0] or 0, x[1] or "")
+    assert sorted(((r.doc_id, r.text) for r in kept), key=key) == sorted([texts[0], texts[1], *texts[4:6], *texts[7:]], key=key)
+    assert {(r.score, r.spans, r.row_key, r.key) for r in kept} == {(0.1, "x", "y", "k")}
+    assert corpus_pipeline.secret_scans(spark, df, SF).count() == len(texts)
+    packed = corpus_pipeline.best_fit_packing(spark, df, SF)
+    assert packed.filter("start = 0").count() == len(texts) and corpus_pipeline.best_fit_packing(spark, empty, SF).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
