@@ -99,3 +99,27 @@ def claim_order(rows: DataFrame, k: int) -> DataFrame:
     rank = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in zip(("P0", "P1", "P2", "P3", "P4"), range(5), strict=True) for x in p]), F.coalesce("lead_priority", "priority", F.lit("P3"))), F.lit(5))
     seen = F.coalesce("commercial_last_seen", "intent_detected_at")
     return rows.orderBy(rank, F.desc(F.coalesce("lead_score", "score", F.lit(25))), F.desc_nulls_last(seen), "attempts", "created_at", "id").limit(k)
+
+
+def expansion_candidates(rows: DataFrame, as_of: str, depth: int, k: int) -> DataFrame:
+    """FLT12: the next ``k`` vertices to expand: not rejected, no invitation or administrator, described as there, not too
+    deep, not looked at for three days, and worth it by score, tier, category or intent; best score first, then tier, then
+    those never looked at, then the longest unseen, then id.
+    """
+    # fixed values: prefixes, descriptions and bounds
+    name, about, last = F.col("name"), F.col("about"), F.col("last_scan")
+    known = (F.col("status") != "rejected") & ~name.startswith("invite_") & ~name.startswith("admin_")
+    there = about.isNull() | ~(about.startswith("Blacklisted entity") | about.startswith("Entity does not exist"))
+    fresh = (F.col("depth").isNull() | (F.col("depth") < depth)) & (last.isNull() | (last < F.expr(f"timestamp_ntz'{as_of}' - interval 3 days")))
+    category = F.coalesce(F.col("category") != "unknown", F.lit(False))
+    worth = (F.coalesce("score", F.lit(0)) >= 40) | F.coalesce(F.col("tier").isin("A", "B", "C"), F.lit(False)) | category | F.coalesce(F.col("intent") >= 35, F.lit(False))
+    rank = F.when(F.col("tier") == "A", 1).when(F.col("tier") == "B", 2).when(F.col("tier") == "C", 3).otherwise(4)
+    return rows.filter(known & there & fresh & worth).orderBy(F.desc(F.coalesce("score", F.lit(0))), rank, F.asc_nulls_first(last), "id").limit(k)
+
+
+def mined_contacts(found: DataFrame, key: str, confidence: str, reason: str, channel: str, snippet: str, order: list[str], most: int = 3) -> DataFrame:
+    """AG22: (key, confidence, reasons, channels, snippets) of every contact: its sum, its reasons, how many channels, and the first ``most`` snippets."""
+    from tidemark.operators.mining import first_rows
+
+    sums = found.groupBy(key).agg(F.sum(confidence).alias("confidence"), F.array_sort(F.collect_set(reason)).alias("reasons"), F.countDistinct(channel).alias("channels"))
+    return sums.join(first_rows(found, key, order, snippet, most).withColumnRenamed("first", "snippets"), key)

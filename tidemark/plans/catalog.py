@@ -254,21 +254,18 @@ def ups5_edges(s, d):
     return merge.edge_upsert(edges(s, d).filter("source <> target"), ["source", "target", "relation"], "ts", "confidence", "evidence", "seq")
 
 
-@query(f"""{EDGES}, p as (select target, count(*) in_degree, count(distinct source) sources, count(distinct relation) relations,
-    count(*) filter (relation = 'A') recommendations, count(*) filter (relation in ('R', 'X')) forwards from edges where seq % 19 = 0 group by 1)
+@query("""with p as (select l_orderkey target, count(*) in_degree, count(distinct l_suppkey) sources, count(distinct l_returnflag) relations,
+    count(*) filter (l_returnflag = 'A') recommendations, count(*) filter (l_returnflag in ('R', 'X')) forwards from lineitem group by 1)
     select *, least(100, case when in_degree >= 20 then 40 when in_degree >= 10 then 30 when in_degree >= 5 then 20 when in_degree >= 2 then 12 when in_degree >= 1 then 6 else 0 end
     + case when recommendations >= 5 then 20 when recommendations >= 2 then 15 when recommendations >= 1 then 10 else 0 end
     + case when forwards >= 10 then 15 when forwards >= 3 then 10 when forwards >= 1 then 5 else 0 end
     + case when relations >= 4 then 15 when relations >= 2 then 10 when relations >= 1 then 5 else 0 end
     + case when sources >= 3 then 10 when sources >= 2 then 6 when sources >= 1 then 2 else 0 end) importance from p""")
 def sc33_importance(s, d):
-    return graph.importance(graph.in_profile(edges(s, d).filter("seq % 19 = 0"), {"recommendation": ["A"], "forward": ["R", "X"]}))
+    e = lineitem(s, d).select(c("l_suppkey").alias("source"), c("l_orderkey").alias("target"), c("l_returnflag").alias("relation"))
+    return graph.importance(graph.in_profile(e, {"recommendation": ["A"], "forward": ["R", "X"]}))
 
 
-@query(ORACLES["sc33_importance"].replace(" where seq % 19 = 0", ""))
-def sc33_importance_all(s, d):
-    return graph.importance(graph.in_profile(edges(s, d), {"recommendation": ["A"], "forward": ["R", "X"]}))
-
 
 @query(f"{EDGES} select target, relation, count(*) occurrences, max(ts) last_seen from edges where source = 7 group by all order by occurrences desc, last_seen desc, target, relation limit 10")
 def gr2_neighbours(s, d):
@@ -276,28 +273,27 @@ def gr2_neighbours(s, d):
     return graph.neighbours(e, 7, 10).drop("source")
 
 
-@query("with recursive e as (select distinct o_custkey a, -l_suppkey b from orders join lineitem on o_orderkey = l_orderkey where l_quantity >= 40), g as (select a s, b t from e union select b, a from e), r(v, hop) as (select 7::bigint, 0 union select t, hop + 1 from r join g on s = v where hop < 3) select v vertex, min(hop) hop from r group by 1")
+@query("with recursive e as (select distinct o_custkey a, -l_suppkey b from orders join lineitem on o_orderkey = l_orderkey), g as (select a s, b t from e union select b, a from e), r(v, hop) as (select 7::bigint, 0 union select t, hop + 1 from r join g on s = v where hop < 3) select v vertex, min(hop) hop from r group by 1")
 def gr5_bfs(s, d):
-    return gr5_bfs_all(s, d, "l_quantity >= 40")
-
-
-@query(None)
-def gr5_bfs_all(s, d, lines="true"):
-    j = orders(s, d).join(lineitem(s, d).filter(lines), c("o_orderkey") == c("l_orderkey")).select(c("o_custkey").alias("source"), (-c("l_suppkey")).alias("target"))
+    j = orders(s, d).join(lineitem(s, d), c("o_orderkey") == c("l_orderkey")).select(c("o_custkey").alias("source"), (-c("l_suppkey")).alias("target"))
     both = j.unionAll(j.select(c("target").alias("source"), c("source").alias("target")))
     return graph.bounded_bfs(both, s.createDataFrame([(7,)], "vertex long"), 3)
 
 
-@query("with t as (select doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda t: length(t) >= 2 and not regexp_full_match(t, '[0-9]+')) w, quality = 1 p from documents join labels using (doc_id) where lang = 'en'), f as (select p, unnest(list_distinct(list_filter(w, lambda x: length(x) >= 3))) feature from t), z as (select count(*) filter (p) np, greatest(1, count(*) filter (not p)) nn from t), k as (select feature, count(*) filter (p) df_pos, count(*) filter (not p) df_neg from f group by 1 having count(*) filter (p) >= 2), r as (select feature, df_pos, df_neg, round_even(log2((df_pos + 0.5) / (np - df_pos + 0.5)) - log2((df_neg + 0.5) / (nn - df_neg + 0.5)), 3) contrast from k, z) select * from r where contrast >= 0.2")
+@query(ORACLES["gr5_bfs"])
+def gr5_bfs_all(s, d):
+    return gr5_bfs(s, d)
+
+
+@query("with t as (select doc_id, list_filter(string_split_regex(lower(text), '\\s+'), lambda t: length(t) >= 2 and not regexp_full_match(t, '[0-9]+')) w, quality = 1 p from documents join labels using (doc_id)), f as (select p, unnest(list_distinct(list_filter(w, lambda x: length(x) >= 3))) feature from t), z as (select count(*) filter (p) np, greatest(1, count(*) filter (not p)) nn from t), k as (select feature, count(*) filter (p) df_pos, count(*) filter (not p) df_neg from f group by 1 having count(*) filter (p) >= 2), r as (select feature, df_pos, df_neg, round_even(log2((df_pos + 0.5) / (np - df_pos + 0.5)) - log2((df_neg + 0.5) / (nn - df_neg + 0.5)), 3) contrast from k, z) select * from r where contrast >= 0.2")
 def lm4_contrast(s, d):
-    docs = documents(s, d).filter("lang = 'en'").join(table(s, d, "labels"), "doc_id").select("text", (c("quality") == 1).alias("positive"))
+    docs = documents(s, d).join(table(s, d, "labels"), "doc_id").select("text", (c("quality") == 1).alias("positive"))
     return mining.contrast(docs, T.tokens(c("text")), 1)
 
 
-@query(ORACLES["lm4_contrast"].replace(" where lang = 'en'", ""))
+@query(ORACLES["lm4_contrast"])
 def lm4_contrast_all(s, d):
-    docs = documents(s, d).join(table(s, d, "labels"), "doc_id").select("text", (c("quality") == 1).alias("positive"))
-    return mining.contrast(docs, T.tokens(c("text")), 1)
+    return lm4_contrast(s, d)
 
 
 @query("""with t as (select doc_id, coalesce(text, '') || repeat('سلام ', (doc_id % 9 * 10)::int) t from documents),
@@ -324,14 +320,14 @@ def tx18_domains(s, d):
     return pages(s, d).select("page_id", F.array_join(T.link_hosts(c("url")), " ").alias("hosts"))
 
 
-@query("select doc_id, array_to_string(list_filter(['secret', 'password', 'token', 'the'], lambda t: contains(lower(text), t)), ' ') terms from documents where lang in ('en', 'es')")
+@query("select doc_id, array_to_string(list_filter(['secret', 'password', 'token', 'the'], lambda t: contains(lower(text), t)), ' ') terms from documents")
 def tx1_lexicon(s, d):
-    return documents(s, d).filter("lang in ('en', 'es')").select("doc_id", F.array_join(T.matched_terms(c("text"), ["secret", "password", "token", "the"]), " ").alias("terms"))
+    return documents(s, d).select("doc_id", F.array_join(T.matched_terms(c("text"), ["secret", "password", "token", "the"]), " ").alias("terms"))
 
 
-@query(ORACLES["tx1_lexicon"].replace(" where lang in ('en', 'es')", ""))
+@query(ORACLES["tx1_lexicon"])
 def tx1_lexicon_all(s, d):
-    return documents(s, d).select("doc_id", F.array_join(T.matched_terms(c("text"), ["secret", "password", "token", "the"]), " ").alias("terms"))
+    return tx1_lexicon(s, d)
 
 
 @query(f"""with h as (select user_id, case when user_id % 4 > 0 then (epoch_us(timestamp '{AS_OF}') - epoch_us(max(ts))) / 3.6e9 end hrs,

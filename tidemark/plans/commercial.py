@@ -18,17 +18,17 @@ def _word(t: str) -> str:
 
 
 @query(f"""with h as (select doc_id, {' + '.join(map(_word, CORE))} core, {' + '.join(map(_word, SIGNALS))} signals, 10 * regexp_matches(lower(text), 'tion|vip')::int + 10 * contains(lower(text), 'sch')::int biz,
-4 * contains(text, 'a')::int + 3 * contains(text, 'b')::int + 3 * (lang = 'en')::int trust, case when lang = 'de' then 5 else 0 end bonus from documents where text is not null)
+4 * contains(text, 'a')::int + 3 * contains(text, 'b')::int + 3 * (lang = 'en')::int trust, case when lang = 'de' then 5 else 0 end bonus from (select doc_id, lang, coalesce(text, '') text from documents))
 select doc_id, case when core > 0 and signals > 0 then least(100, least(40, core * 10) + least(30, signals * 5) + biz + trust + bonus) else 0 end score from h""")
 def sc17_intent(s, d):
-    return sc17_intent_all(s, d, "text is not null")
-
-
-@query(ORACLES["sc17_intent"].replace(" where text is not null", ""))
-def sc17_intent_all(s, d, rows="true"):
     t = c("text")
     score = K.intent_score(K.distinct_words(t, CORE), K.distinct_words(t, SIGNALS), [K.has_any(t, VIP), K.has_any(t, MANAGED)], t.contains("a"), t.contains("b"), c("lang") == "en", F.when(c("lang") == "de", 5))
-    return documents(s, d).filter(rows).select("doc_id", score.alias("score"))
+    return documents(s, d).select("doc_id", score.alias("score"))
+
+
+@query(ORACLES["sc17_intent"])
+def sc17_intent_all(s, d):
+    return sc17_intent(s, d)
 
 
 @query(f"with {_USERS} select user_id, case when k % 2 = 0 then 20 else 0 end + case when v % 3 = 0 then 20 else 0 end + trunc(s / m * 40)::int + case when p > 3 or e > 4 or (d > 0 and (k % 2 = 0 or v % 3 = 0)) then 20 else 0 end score from u")
@@ -37,9 +37,9 @@ def sc18_arabic(s, d):
     return users(s, d).select("user_id", K.arabic_score(word(c("k") % 2 == 0), word(c("v") % 3 == 0), c("s"), c("m"), c("p") > 3, c("e") > 4, c("d") > 0).alias("score"))
 
 
-@query("select c_custkey, least(100, 20 * (c_mktsegment in ('BUILDING', 'MACHINERY') or c_nationkey = 1)::int + 20 * (c_mktsegment = 'HOUSEHOLD' or c_nationkey = 2)::int + 40 * (c_nationkey = 1)::int + 40 * (c_nationkey = 2)::int) score from customer where c_mktsegment is not null and c_nationkey is not null")
+@query("with k as (select c_custkey, coalesce(c_mktsegment, '') seg, coalesce(c_nationkey, -1) nat from customer) select c_custkey, least(100, 20 * (seg in ('BUILDING', 'MACHINERY') or nat = 1)::int + 20 * (seg = 'HOUSEHOLD' or nat = 2)::int + 40 * (nat = 1)::int + 40 * (nat = 2)::int) score from k")
 def sc19_region(s, d):
-    rows = customer(s, d).filter("c_mktsegment is not null and c_nationkey is not null")
+    rows = customer(s, d)
     phone = F.concat(F.lit("+"), c("c_nationkey"), F.lit("-555"))
     return rows.select("c_custkey", K.region_score(c("c_mktsegment"), phone, {"one": (["building", "machin"], "+1-"), "two": (["house"], "+2-")}).alias("score"))
 

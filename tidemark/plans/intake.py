@@ -147,3 +147,26 @@ def tk11_claims(s, d):
         c("o_orderkey").alias("id"), c("tier").alias("lead_priority"), F.concat(F.lit("P"), c("o_orderkey") % 7).alias("priority"), F.when(c("lead_score") > 20, c("lead_score")).alias("lead_score"), F.lit(None).cast("int").alias("score"),
         F.when(c("o_orderkey") % 3 > 0, c("o_orderdate")).alias("commercial_last_seen"), F.lit(None).cast("timestamp_ntz").alias("intent_detected_at"), (c("o_orderkey") % 4).alias("attempts"), c("o_totalprice").alias("created_at"))
     return intake.claim_order(rows, 40).select("id")
+
+
+@query(f"""with r as (select c_custkey id, case c_custkey % 9 when 0 then 'invite_' when 1 then 'admin_' else 'x' end || c_custkey "name", case c_custkey % 7 when 0 then 'Blacklisted entity: y' when 1 then null else 'fine' end about, case when c_mktsegment = 'FURNITURE' then 'rejected' else 'new' end status,
+        nullif(c_nationkey % 5, 4) depth, case when c_custkey % 4 > 0 then timestamp '2024-01-30' - (c_custkey % 11) * interval 1 day end last_scan, floor(c_acctbal / 100)::int score, case c_nationkey % 6 when 0 then 'A' when 1 then 'B' when 2 then 'C' when 3 then 'D' end tier,
+        case c_nationkey % 3 when 0 then 'unknown' when 1 then 'gold' end category, nullif(c_custkey % 60, 7)::int intent from customer)
+    select id from r where status <> 'rejected' and "name" not like 'invite@_%' escape '@' and "name" not like 'admin@_%' escape '@' and (about is null or (about not like 'Blacklisted entity%' and about not like 'Entity does not exist%'))
+        and (depth is null or depth < 3) and (last_scan is null or last_scan < timestamp '{AS_OF}' - interval 3 day) and (coalesce(score, 0) >= 40 or tier in ('A', 'B', 'C') or (category is not null and category <> 'unknown') or intent >= 35)
+    order by coalesce(score, 0) desc, case tier when 'A' then 1 when 'B' then 2 when 'C' then 3 else 4 end, last_scan nulls first, id limit 60""")
+def flt12_expansion(s, d):
+    k, n = c("c_custkey"), c("c_nationkey")
+    rows = customer(s, d).select(
+        k.alias("id"), F.concat(F.when(k % 9 == 0, "invite_").when(k % 9 == 1, "admin_").otherwise("x"), k).alias("name"), F.when(k % 7 == 0, "Blacklisted entity: y").when(k % 7 > 1, "fine").alias("about"),
+        F.when(c("c_mktsegment") == "FURNITURE", "rejected").otherwise("new").alias("status"), F.nullif(n % 5, F.lit(4)).alias("depth"),
+        F.when(k % 4 > 0, F.lit(AS_OF).cast("timestamp_ntz") - F.make_dt_interval((k % 11).cast("int"))).alias("last_scan"), F.floor(c("c_acctbal") / 100).cast("int").alias("score"),
+        F.when(n % 6 == 0, "A").when(n % 6 == 1, "B").when(n % 6 == 2, "C").when(n % 6 == 3, "D").alias("tier"), F.when(n % 3 == 0, "unknown").when(n % 3 == 1, "gold").alias("category"), F.nullif((k % 60).cast("int"), F.lit(7)).alias("intent"))
+    return intake.expansion_candidates(rows, AS_OF, 3, 60).select("id")
+
+
+@query("""select user_id, round(sum(value), 4) confidence, array_to_string(list_sort(list(distinct event_type)), ',') reasons, count(distinct event_id % 7) channels, array_to_string(list(event_id order by ts, event_id)[1:3], ',') snippets from events group by 1""")
+def ag22_miner(s, d):
+    rows = events(s, d).withColumn("channel", c("event_id") % 7)
+    found = intake.mined_contacts(rows, "user_id", "value", "event_type", "channel", "event_id", ["ts", "event_id"])
+    return found.select("user_id", F.round("confidence", 4).alias("confidence"), F.array_join("reasons", ",").alias("reasons"), "channels", F.array_join(F.transform("snippets", lambda x: x.cast("string")), ",").alias("snippets"))

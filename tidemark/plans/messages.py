@@ -15,7 +15,7 @@ def tx5_websites(s, d):
     return pages(s, d).select("page_id", M.websites(c("url"))["website"].alias("website"))
 
 
-@query(r"select c_custkey, lower(nullif(regexp_extract('Mail ' || replace(c_name, '#', '.') || '@' || c_mktsegment || '.COM, or a@b', '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b'), '')) email from customer where c_nationkey is not null")
+@query(r"select c_custkey, lower(nullif(regexp_extract('Mail ' || replace(c_name, '#', '.') || '@' || c_mktsegment || '.COM, or a@b', '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b'), '')) email from customer")
 def tx6_email(s, d):
     text = F.concat(F.lit("Mail "), F.replace(c("c_name"), F.lit("#"), F.lit(".")), F.lit("@"), c("c_mktsegment"), F.lit(".COM, or a@b"))
     return customer(s, d).select("c_custkey", M.email(text).alias("email"))
@@ -55,11 +55,11 @@ def tx13_labels(s, d):
 
 @query("""select event_id, case when event_type in ('purchase', 'click', 'signup') or user_id % 10 = 0 then 'critical' when value > 50 or event_type = 'error' then 'high' else 'normal' end queue,
 case when event_type in ('purchase', 'signup') and not (event_type = 'signup' and value > 80) then 'ad_exchange_feedback' when event_type = 'click' or (event_type = 'signup' and value > 80) then 'ad_copywriting_pattern' when user_id % 10 = 0 then 'verified_partner' when event_type = 'error' then 'advertisement' else 'channel_mention' end method,
-case when event_type = 'purchase' then 30 when event_type = 'click' or (event_type = 'signup' and value > 80) then 25 when event_type = 'signup' then 30 end weight from events where value is not null""")
+case when event_type = 'purchase' then 30 when event_type = 'click' or (event_type = 'signup' and value > 80) then 25 when event_type = 'signup' then 30 end weight from events""")
 def tx14_routes(s, d):
     kind, big = c("event_type"), c("value")
     r = M.route((kind == "click") | ((kind == "signup") & (big > 80)), kind == "purchase", kind == "signup", c("user_id") % 10 == 0, big > 50, F.when(kind == "error", "advertisement"))
-    return events(s, d).filter("value is not null").select("event_id", r.alias("r")).select("event_id", "r.*")
+    return events(s, d).select("event_id", r.alias("r")).select("event_id", "r.*")
 
 
 @query("""with k as (select user_id, ts, event_type, row_number() over w i, max(case when event_type = 'purchase' then event_id end) over w last_ok, count(*) filter (event_type = 'purchase') over w runs from events window w as (partition by user_id order by ts, event_id)),
