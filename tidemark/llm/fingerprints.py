@@ -12,6 +12,8 @@ is a row of its own, so a long text is many small rows and never one large task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,21 +101,38 @@ def _summed(parts: DataFrame) -> DataFrame:
     return parts.groupBy("key").agg(F.sum("only_a").alias("only_a"), F.sum("only_b").alias("only_b"), F.max("level").alias("levels"))
 
 
-def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 256) -> DataFrame:
+#: text in one range of ids, about, and ranges at most
+RANGE_BYTES, MOST_RANGES = 16 << 20, 1 << 16
+
+
+def _range_of(column: str, cuts: list[int]) -> str:
+    """SQL for how many of the sorted ``cuts`` are at most ``column``, in two steps of about the root of their number."""
+    if not cuts:
+        return "0"
+    step = math.isqrt(len(cuts)) + 1
+    longs = lambda xs: f"array({', '.join(f'{x}L' for x in xs)})"
+    parts = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    below = lambda array: f"size(filter({array}, c -> c <= {column}))"
+    inner = below(f"element_at(array({', '.join(map(longs, parts))}), j)")
+    return f"transform(array({below(longs(p[0] for p in parts))}), j -> if(j = 0, 0, (j - 1) * {step} + {inner}))[0]"
+
+
+def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """(doc_id, text, next_text): each document beside the next one by ascending id; the last gets the first.
 
     Null texts read as empty; null ids come first; equal ids are ordered by text. Rows are
-    dealt to ``buckets`` ranges of about equal size by percentiles of the id, so that no task
-    holds the whole order. A copy of each range's first row goes to the end of the range
-    before it. An empty table gives an empty result; a lone row is its own successor.
+    dealt to ``buckets`` ranges of about equal size by percentiles of the id (by default one for
+    each ``RANGE_BYTES`` of text), so that no task holds the whole order. A copy of each range's
+    first row goes to the end of the range before it. An empty table gives an empty result; a
+    lone row is its own successor.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    listed = f"array({', '.join(f'{c}L' for c in cuts)})" if cuts else "cast(array() as array<bigint>)"
-    bucket = F.expr(f"if(doc_id is null, 0, size(filter({listed}, c -> c <= doc_id)))")
-    rows = rows.withColumn("bucket", bucket)
+    if buckets is None:
+        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = min(max(-(-size // RANGE_BYTES), 16), MOST_RANGES)
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], max(10000, 10 * buckets))).first()[0] or []
+    rows = rows.withColumn("bucket", F.expr(f"if(doc_id is null, 0, {_range_of('doc_id', sorted(set(cuts)))})"))
     # at most ``buckets`` rows
     firsts = sorted((r["bucket"], r["nil"], r["low"]) for r in rows.groupBy("bucket").agg(F.min("doc_id").alias("low"), (F.count("*") > F.count("doc_id")).alias("nil")).collect())
     if not firsts:
@@ -128,7 +147,7 @@ def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return every.withColumn("next_text", F.lead("text").over(order)).filter("extra = 0").select("doc_id", "text", "next_text")
 
 
-def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = 256) -> DataFrame:
+def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Fingerprint every text, its edited version and their likeness (the contract of the query).
 
     The edited text has its last floor(n/2) code points replaced by the first as many of the
