@@ -34,15 +34,20 @@ INDEX = "page_id long, url string, payload_digest string, record_type string, re
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = LEAST_SHARED) -> DataFrame:
     """(page_id, url, html, record_type, refers_to): which pages are responses and which revisit one.
 
-    Of equal payloads of at least ``least`` bytes the largest page_id is the response. Null
-    payloads are empty, so they are responses, as all smaller ones are. Digests are grouped
-    and joined without their payloads; only payloads that occur again are looked at twice.
+    Of equal payloads of at least ``least`` bytes the largest page_id is the response; if it
+    occurs more than once with that payload, so is each of its rows. Null payloads are empty, so
+    they are responses, as all smaller ones are. A null page_id is less than any other. Rows of
+    one page_id are judged by their own payloads. Extra columns are ignored, whatever their
+    names; an empty table gives an empty result. Digests are grouped and joined without their
+    payloads; only payloads that occur again are looked at twice.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(body_col), F.lit("")).alias("html"))
-    marks = rows.filter(f"octet_length(html) >= {least}").select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").alias("bytes"))
+    mark = {"digest": F.when(F.octet_length("html") >= least, F.sha1(F.encode("html", "UTF-8"))), "bytes": F.octet_length("html")}
+    marks = rows.select("page_id", *[c.alias(k) for k, c in mark.items()]).filter("digest is not null")
     tops = marks.groupBy("digest", "bytes").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    again = marks.join(tops, ["digest", "bytes"]).filter("page_id <> top").select("page_id", F.col("top").alias("refers_to")).dropDuplicates(["page_id"])
-    return rows.join(again, "page_id", "left").select("page_id", "url", "html", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"), "refers_to")
+    again = marks.join(tops, ["digest", "bytes"]).filter("not (page_id <=> top)").select(*[F.col(c).alias(f"m_{c}") for c in ("page_id", "digest", "bytes")], F.col("top").alias("refers_to")).distinct()
+    rows = rows.withColumns(mark).join(again, F.expr("page_id <=> m_page_id and digest = m_digest and bytes = m_bytes"), "left")
+    return rows.select("page_id", "url", "html", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("record_type"), "refers_to")
 
 
 def _record(page: int | None, url: str | None, body: bytes, kind: str, refers: int | None) -> tuple[bytes, str]:
