@@ -18,38 +18,48 @@ from .common import materialize
 K, SCALE = 20, 64.0
 QUERY_TILE, SHARD = 2048, 4096
 FAN_IN = 8
+NO_ID = 2**63 - 1
 
 
 def _packed(batches):
-    """Pack the rows of a task's tile numbers into (tile, dim, ids, matrix) rows, cut where a tile number is full."""
+    """Pack the rows of a task's tile numbers into (tile, dim, kind, rows, ids, matrix) rows; ``kind`` is the narrowest type that holds the matrix."""
     for batch in batches:
         tiles = np.asarray(batch.column(0))
         dims = np.asarray(batch.column(1))
         cuts = np.flatnonzero((np.diff(tiles) != 0) | (np.diff(dims) != 0)) + 1
-        flat = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+        flat = batch.column(4).flatten().to_numpy(zero_copy_only=False)
         at = np.concatenate([[0], np.cumsum(dims)])
-        ids = np.asarray(batch.column(2))
-        rows = [(int(tiles[lo]), int(dims[lo]), ids[lo:hi].tobytes(), flat[at[lo] : at[hi]].tobytes()) for lo, hi in zip([0, *cuts], [*cuts, len(tiles)], strict=True) if hi > lo]
-        yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], names=["tile", "dim", "ids", "matrix"])
+        numbers, ids = np.asarray(batch.column(2)), np.asarray(batch.column(3))
+        out = []
+        for lo, hi in zip([0, *cuts], [*cuts, len(tiles)], strict=True):
+            if hi > lo:
+                matrix = flat[at[lo] : at[hi]]
+                most = np.abs(matrix).max(initial=0)
+                kind = "int16" if most < 2**15 else "int32" if most < 2**31 else "float64"
+                out.append({"tile": int(tiles[lo]), "dim": int(dims[lo]), "kind": kind, "rows": numbers[lo:hi].tobytes(), "ids": ids[lo:hi].tobytes(), "matrix": matrix.astype(kind).tobytes()})
+        yield pa.RecordBatch.from_pylist(out, _TILE)
+
+
+_TILE = pa.schema([("tile", pa.int64()), ("dim", pa.int32()), ("kind", pa.string()), ("rows", pa.binary()), ("ids", pa.binary()), ("matrix", pa.binary())])
 
 
 def tiles(vectors: DataFrame, rows: int, n: int) -> DataFrame:
-    """Deal (vec_id, v) to about n / rows tiles by hash and pack each; a tile may come in several rows."""
+    """Deal (row, vec_id, v) to about n / rows tiles by hash and pack each; a tile may come in several rows."""
     count = max(1, -(-n // rows))
-    dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias("tile"), F.size("v").alias("dim"), "vec_id", "v")
+    dealt = vectors.select(F.pmod(F.xxhash64("row"), F.lit(count)).alias("tile"), F.size("v").alias("dim"), "row", "vec_id", "v")
     dealt = dealt.repartition(count, "tile").sortWithinPartitions("tile", "dim", "vec_id")
-    return dealt.mapInArrow(_packed, "tile long, dim int, ids binary, matrix binary")
+    return dealt.mapInArrow(_packed, "tile long, dim int, kind string, rows binary, ids binary, matrix binary")
 
 
 def _best(k: int):
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                q, c = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["ids"], np.int64)
-                a = np.frombuffer(r["q_matrix"], np.float64).reshape(len(q), r["dim"])
-                b = np.frombuffer(r["matrix"], np.float64).reshape(len(c), r["dim"])
+                q_rows, q, rows, c = (np.frombuffer(r[x], np.int64) for x in ("q_rows", "q_ids", "rows", "ids"))
+                a = np.frombuffer(r["q_matrix"], r["q_kind"]).reshape(len(q), r["dim"]).astype(np.float64)
+                b = np.frombuffer(r["matrix"], r["kind"]).reshape(len(c), r["dim"]).astype(np.float64)
                 order = np.argsort(c, kind="stable")
-                c, b = c[order], b[order]
+                rows, c, b = rows[order], c[order], b[order]
                 bound = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * max(1, r["dim"])
                 if bound < 2**24:
                     s = (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
@@ -60,7 +70,7 @@ def _best(k: int):
                 ids, found = [], []
                 for i in range(len(q)):
                     row = s[i]
-                    able = np.flatnonzero(c != q[i])
+                    able = np.flatnonzero(rows != q_rows[i])
                     row = row[able]
                     if len(row) > k:
                         least = np.partition(row, len(row) - k)[len(row) - k]
@@ -71,7 +81,7 @@ def _best(k: int):
                     pick = pick[np.argsort(-row[pick], kind="stable")][:k]
                     ids.append(int(q[i]))
                     found.append([{"worse": -int(x), "vec_id": int(y)} for x, y in zip(row[pick], c[able[pick]], strict=True)])
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array([r["part"]] * len(ids), pa.int64()), pa.array(found, pa.list_(pa.struct([("worse", pa.int64()), ("vec_id", pa.int64())])))], names=["query_id", "part", "best"])
+                yield pa.record_batch([pa.array(q_rows), pa.array(ids, pa.int64()), pa.array([r["part"]] * len(ids), pa.int64()), pa.array(found, pa.list_(pa.struct([("worse", pa.int64()), ("vec_id", pa.int64())])))], names=["query", "query_id", "part", "best"])
 
     return run
 
@@ -79,27 +89,29 @@ def _best(k: int):
 def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, scale: float = SCALE, query_tile: int = QUERY_TILE, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best inner products of floor(scale * x), ties to the smaller id.
 
-    ``is_query`` is a condition on ``vec_id``. Null ids, null vectors and those with a null or
-    non-finite component take no part; a query meets vectors of its own dimension only, and no
-    row of its own id. A repeated query row is answered once; repeated candidate rows count
-    each. Scores are exact while they stay below 2**63. Extra columns are ignored.
+    ``is_query`` is a condition on ``vec_id``. Null vectors and those with a null or non-finite
+    component take no part; a query meets vectors of its own dimension only, and every row but
+    its own, rows of the same id among them. Query rows of one id and vector are answered once;
+    repeated candidate rows count each. Null ids are candidates, last in ties (2**63 - 1 stands
+    for them, which no id may be). Scores are exact while they stay below 2**63. Extra columns
+    are ignored; an empty table gives an empty result.
     """
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
-    v = v.filter("vec_id is not null and v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
-    v = materialize(v.withColumn("v", F.expr(f"transform(v, x -> cast(floor(x * {scale}D) as double))")), "vectors")
-    queries = v.filter(is_query).dropDuplicates(["vec_id", "v"])
+    v = vectors.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    v = v.filter("v is not null and not exists(v, x -> x is null or isnan(x) or abs(x) = double('infinity'))")
+    v = materialize(v.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.expr(f"transform(v, x -> cast(floor(x * {scale}D) as double))").alias("v")), "vectors")
+    queries = v.filter(F.col("vec_id") != NO_ID).filter(is_query).groupBy("vec_id", "v").agg(F.min("row").alias("row"))
     n, nq = v.count(), queries.count()
     c_tiles = materialize(tiles(v, shard, n).withColumn("part", F.monotonically_increasing_id()), "shards")
-    q_tiles = materialize(tiles(queries, query_tile, nq), "tiles").select(F.monotonically_increasing_id().alias("block"), "dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"))
+    q_tiles = materialize(tiles(queries, query_tile, nq), "tiles").select(F.monotonically_increasing_id().alias("block"), "dim", *[F.col(c).alias(f"q_{c}") for c in ("kind", "rows", "ids", "matrix")])
     q_tiles = materialize(q_tiles, "blocks")
     # the stated queries against all rows, in blocks: one row for each tile and shard
     blocks = q_tiles.select("block", "dim")
     met = c_tiles.join(blocks, "dim").join(q_tiles, ["block", "dim"])
     met = met.repartition(max(1, min(met.sparkSession.sparkContext.defaultParallelism * 4, -(-n // shard) * -(-max(nq, 1) // query_tile))), "block", "part")
-    lists = materialize(met.select("dim", "ids", "matrix", "q_ids", "q_matrix", "part").mapInArrow(_best(k), "query_id long, part long, best array<struct<worse:bigint,vec_id:bigint>>"), "lists")
+    lists = materialize(met.select("dim", "part", *[x + c for x in ("", "q_") for c in ("kind", "rows", "ids", "matrix")]).mapInArrow(_best(k), "query long, query_id long, part long, best array<struct<worse:bigint,vec_id:bigint>>"), "lists")
     lists = lists.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(1 << 30)))
     parts = max(1, c_tiles.count())
     while parts > 1:
         parts = -(-parts // FAN_IN)
-        lists = lists.groupBy("query_id", (F.col("part") % parts).alias("part")).agg(F.expr(f"slice(array_sort(flatten(collect_list(best))), 1, {k})").alias("best"))
-    return lists.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.worse")).alias("score"))
+        lists = lists.groupBy("query", "query_id", (F.col("part") % parts).alias("part")).agg(F.expr(f"slice(array_sort(flatten(collect_list(best))), 1, {k})").alias("best"))
+    return lists.select("query_id", F.posexplode("best").alias("rank", "b")).select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.expr(f"nullif(b.vec_id, {NO_ID}L)").alias("vec_id"), (-F.col("b.worse")).alias("score"))
