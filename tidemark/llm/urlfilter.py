@@ -12,9 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: public suffixes of two labels; every other suffix is the last label
+#: public suffixes of two labels, by default; every other suffix is the last label
 DOUBLE_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br", "co.nz", "co.in")
 WANTED, Z = 0.3, 1.0
 LEAST_WEIGHT, MOST_WEIGHT = 1.0, 1000.0
@@ -52,21 +54,25 @@ def _weight(groups: DataFrame, parent: DataFrame, on: str | None) -> float:
     return MOST_WEIGHT if rho <= 0 else min(max(1 / min(rho, 1.0) - 1, LEAST_WEIGHT), MOST_WEIGHT)
 
 
-def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, wanted: float = WANTED, z: float = Z) -> DataFrame:
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES, wanted: float = WANTED, z: float = Z, double_suffixes: tuple[str, ...] = DOUBLE_SUFFIXES) -> DataFrame:
     """One row a page: id, host, path, rule, verdict, and the host's posterior rate and bound.
 
     A null url, or one without ``://``, has empty host and path and is judged by the rate of
-    all pages. Without any labelled outcome every rate is 1/2. Extra columns are ignored.
-    Hot hosts meet partial aggregations and joins that Spark can split.
+    all pages. Without any labelled outcome every rate is 1/2. For its reputation a host goes
+    without user and port, and an address is its own domain and suffix. Repeated pages count
+    each. Extra columns are ignored; an empty table gives an empty result. Hosts are counted
+    once and written out; hot hosts meet partial aggregations and joins that Spark can split.
     """
     host, path = parts(f"`{url_col}`")
     df = pages.select(F.col(id_col).alias("page_id"), F.expr(host).alias("host"), F.expr(path).alias("path"))
     rule, verdict = _best_rule(rules)
     df = df.withColumns({"rule": rule, "ruled": verdict})
     outcomes = df.groupBy("host").agg(F.count("ruled").cast("double").alias("n"), F.count(F.when(F.col("ruled") == "allow", 1)).cast("double").alias("good"))
-    tail = F.expr("substring_index(host, '.', -2)")
-    outcomes = outcomes.withColumn("suffix", F.when(tail.isin(*DOUBLE_SUFFIXES), tail).otherwise(F.expr("substring_index(host, '.', -1)")))
-    outcomes = outcomes.withColumn("domain", F.expr("substring_index(host, '.', -1 - size(split(suffix, '[.]')))"))
+    outcomes = outcomes.withColumn("name", F.regexp_replace(F.regexp_replace("host", "^.*@", ""), ":[0-9]*$", ""))
+    tail, address = F.expr("substring_index(name, '.', -2)"), F.col("name").rlike(r"^([0-9.]+|\[.*)$")
+    suffix = F.when(address, F.col("name")).when(tail.isin(*double_suffixes), tail).otherwise(F.expr("substring_index(name, '.', -1)"))
+    outcomes = outcomes.withColumn("suffix", suffix).withColumn("domain", F.expr("substring_index(name, '.', -1 - size(split(suffix, '[.]')))"))
+    outcomes = materialize(outcomes, "hosts")
     domains = outcomes.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     root = suffixes.agg(((F.coalesce(F.sum("good"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("parent_mean"))
