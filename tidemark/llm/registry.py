@@ -10,6 +10,9 @@ from . import bpe, chat, fingerprints, ngram_join, packing, quality, secrets, to
 from .common import ship, table
 
 
+OTHER = "I would rather not say."
+
+
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_versions(table(spark, sf_dir, "documents"))
 
@@ -43,7 +46,12 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = chat.preference_format(chat.pair_conversations(table(spark, sf_dir, "conversations")))
+    # each conversation against its own copy with another last answer, so that pairs share prefixes
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), "turn", "role", "text")
+    last = turns.filter("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("last"))
+    copies = turns.join(last, "conv_id", "left").withColumn("text", F.when((F.col("role") == "assistant") & (F.col("turn") == F.col("last")), OTHER).otherwise(F.col("text"))).drop("last")
+    both = turns.withColumn("conv_id", F.col("conv_id") * 2).unionByName(copies.withColumn("conv_id", F.col("conv_id") * 2 + 1))
+    done = chat.preference_format(chat.pair_conversations(both))
     sha = lambda c: F.sha2(F.encode(c, "UTF-8"), 256).alias(f"{c}_sha256")
     mask = lambda c: F.expr(f"array_join(transform({c}, m -> concat_ws(':', m.start, m.end)), ',')").alias(c)
     return done.select("pair_id", "shared_turns", sha("prompt"), sha("chosen"), sha("rejected"), mask("chosen_mask"), mask("rejected_mask"))
@@ -77,10 +85,10 @@ rules(kind, rh, rp) as (values ('allow', 'org', '/'), ('block', 'example.org', '
 best as (select page_id, arg_max(rh || rp, length(rh || rp)) "rule", arg_max(kind, length(rh || rp)) ruled from p join rules
     on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp) group by page_id),
 d as (select p.*, "rule", ruled from p left join best using (page_id)),
-h as (select host, count(ruled)::double n, count(*) filter (ruled = 'allow')::double good,
-    case when array_to_string(string_split(host, '.')[-2:], '.') in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in')
-        then array_to_string(string_split(host, '.')[-2:], '.') else string_split(host, '.')[-1] end suffix from d group by host),
-h2 as (select *, array_to_string(string_split(host, '.')[-1 - len(string_split(suffix, '.')):], '.') "domain" from h),
+h as (select *, case when regexp_full_match(nm, '[0-9.]+|\[.*') then nm when array_to_string(string_split(nm, '.')[-2:], '.') in ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.in')
+        then array_to_string(string_split(nm, '.')[-2:], '.') else string_split(nm, '.')[-1] end suffix
+    from (select host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') nm, count(ruled)::double n, count(*) filter (ruled = 'allow')::double good from d group by host)),
+h2 as (select *, array_to_string(string_split(nm, '.')[-1 - len(string_split(suffix, '.')):], '.') "domain" from h),
 dom as (select suffix, "domain", sum(n) n, sum(good) good from h2 group by all),
 suf as (select suffix, sum(n) n, sum(good) good from dom group by all),
 root as (select (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) m from suf),
@@ -101,8 +109,11 @@ select page_id, host, path, "rule", coalesce(ruled, case when bound >= 0.3 then
 """
 
 _CHAT = r"""
-with t as (select conv_id, conv_id // 2 pair_id, conv_id % 2 side, coalesce(role, '') "role", coalesce(text, '') text,
-    row_number() over (partition by conv_id order by turn, "role", text) pos from conversations where conv_id is not null),
+with l as (select conv_id, max(turn) "last" from conversations where role = 'assistant' group by 1),
+b as (select conv_id * 2 conv_id, turn, "role", text from conversations union all
+    select conv_id * 2 + 1, turn, "role", case when "role" = 'assistant' and turn = "last" then 'I would rather not say.' else text end from conversations left join l using (conv_id)),
+t as (select conv_id, conv_id // 2 pair_id, conv_id % 2 side, coalesce(role, '') "role", coalesce(text, '') text,
+    row_number() over (partition by conv_id order by turn, "role", text) pos from b where conv_id is not null),
 n as (select pair_id, max(pos) filter (side = 0) nc, max(pos) filter (side = 1) nr from t group by 1),
 m as (select a.pair_id, min(a.pos) pos from t a left join t b on b.pair_id = a.pair_id and b.pos = a.pos and b.side <> a.side
     where b.pos is null or a."role" <> b."role" or a.text <> b.text group by 1),
@@ -134,4 +145,16 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 select query_id, "rank"::int "rank", vec_id, score from r where "rank" <= 20
 """
 
-ORACLES = {"op6_urlfilter": _URL, "op8_chat": _CHAT, "op9_warc": _WARC, "op10_topk": _TOPK}
+_JOIN = r"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') w from documents),
+s as (select doc_id, unnest(case when len(w) >= 3 then list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+    when len(w) > 0 then [array_to_string(w, ' ')] else [] end) g from w),
+n as (select doc_id, count(*) n from s group by 1),
+p as (select a.doc_id a, b.doc_id b, count(*) c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= 90 * (x.n + y.n - c)),
+u as (select a, b from e union all select b, a from e),
+r(v, c) as (select doc_id, doc_id from documents union select u.b, r.c from r join u on u.a = r.v)
+select doc_id, coalesce(n, 0) n_shingles, min(c) component_id from documents d left join n using (doc_id) join r on r.v = d.doc_id group by all
+"""
+
+ORACLES = {"op7_ngram_join": _JOIN, "op6_urlfilter": _URL, "op8_chat": _CHAT, "op9_warc": _WARC, "op10_topk": _TOPK}
