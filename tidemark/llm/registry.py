@@ -1,4 +1,4 @@
-"""The ten queries of this package and, where SQL can express them, their oracles."""
+"""The queries of this package and, where SQL can express them, their oracles."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprints, ngram_join, packing, quality, secrets, topk, urlfilter, warc
+from . import bpe, chat, fim, fingerprints, lexical, ngram_join, packing, quality, secrets, sharding, topk, urlfilter, warc
 from .common import ship, table
 
 
@@ -66,6 +66,18 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 def _shipped(f):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -74,7 +86,10 @@ def _shipped(f):
     return run
 
 
-QUERIES = {f.__name__: _shipped(f) for f in (op1_fingerprints, op2_secrets, op3_quality, op4_bpe, op5_packing, op6_urlfilter, op7_ngram_join, op8_chat, op9_warc, op10_topk)}
+QUERIES = {f.__name__: _shipped(f) for f in (
+    op1_fingerprints, op2_secrets, op3_quality, op4_bpe, op5_packing, op6_urlfilter, op7_ngram_join, op8_chat, op9_warc, op10_topk,
+    op11_sharding, op12_lexical, op13_fim,
+)}
 
 _URL = r"""
 with u as (select page_id, coalesce(url, '') u from pages),
@@ -157,4 +172,46 @@ r(v, c) as (select doc_id, doc_id from documents union select u.b, r.c from r jo
 select doc_id, coalesce(n, 0) n_shingles, min(c) component_id from documents d left join n using (doc_id) join r on r.v = d.doc_id group by all
 """
 
-ORACLES = {"op7_ngram_join": _JOIN, "op6_urlfilter": _URL, "op8_chat": _CHAT, "op9_warc": _WARC, "op10_topk": _TOPK}
+#: the shards; crc32 over the UTF-8 bytes of the code points, with its table made by the rule
+_SHARDS = r"""
+with t as (select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) crc),
+b as (select doc_id, source, coalesce(text, '') text, flatten(list_transform(string_split(coalesce(text, ''), ''), lambda ch: case when ch = '' then []
+    when unicode(ch) < 128 then [unicode(ch)] when unicode(ch) < 2048 then [192 + (unicode(ch) >> 6), 128 + (unicode(ch) & 63)]
+    when unicode(ch) < 65536 then [224 + (unicode(ch) >> 12), 128 + ((unicode(ch) >> 6) & 63), 128 + (unicode(ch) & 63)]
+    else [240 + (unicode(ch) >> 18), 128 + ((unicode(ch) >> 12) & 63), 128 + ((unicode(ch) >> 6) & 63), 128 + (unicode(ch) & 63)] end)) bytes from documents),
+d as (select doc_id, source, strlen(text)::bigint + 1 size, xor(list_reduce(list_prepend(4294967295, bytes::bigint[]), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295)::bigint text_crc32 from b, t),
+h as (select *, ('0x' || substr(sha256('42:' || coalesce(doc_id::varchar, '') || ':' || size || ':' || text_crc32), 1, 15))::bigint mixed,
+    ('0x' || substr(sha256('42:' || coalesce(source, '')), 1, 13))::bigint::double / 4503599627370496.0 u from d),
+r as (select *, (row_number() over (partition by source order by mixed, doc_id) - 1 + u) / count(*) over (partition by source) share from h),
+p as (select *, row_number() over (order by share, source nulls first) - 1 pos, count(*) over () n from r),
+s as (select *, ((16 * pos + 15) // n)::int shard from p)
+select doc_id, size, text_crc32, 'rows' law, shard, (pos - (shard * n) // 16)::bigint slot, null::int grown_shard from s
+"""
+
+_LEXICAL = r"""
+with t as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from documents),
+f as (select doc_id, term, count(*)::bigint tf from t group by all),
+l as (select doc_id, count(*)::bigint n from t group by 1),
+s as (select count(*)::bigint nd, sum(n)::bigint nt from l),
+m as (select doc_id, 25 + (75 * n * nd) // nt m from l, s),
+w as (select term, floor(1000 * ln((2 * nd + 2)::double / (2 * count(*) + 1)::double))::bigint w from f, s group by term, nd),
+q as (select item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) term from benchmark),
+g as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint score from q join w using (term) join f using (term) join m using (doc_id) group by all),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int "rank" from g where score > 0)
+select item_id, "rank", doc_id, score from r where "rank" <= 10
+"""
+
+_FIM = r"""
+with t as (select doc_id, coalesce(text, '') text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') u, sha256('42:' || doc_id) h from documents),
+n as (select *, len(u)::bigint n, ('0x' || substr(h, 1, 8))::bigint h1, ('0x' || substr(h, 9, 8))::bigint h2, ('0x' || substr(h, 17, 8))::bigint h3, ('0x' || substr(h, 25, 8))::bigint h4 from t),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) a, greatest(h1 % (n + 1), h2 % (n + 1)) b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end form from n),
+p as (select *, array_to_string(u[1:a], '') p, case when b > a then array_to_string(u[a + 1:b], '') else '' end m, case when n > b then array_to_string(u[b + 1:n], '') else '' end s from c)
+select doc_id, n, form, case when form <> 'plain' then length(p)::bigint end prefix_chars, case when form <> 'plain' then length(m)::bigint end middle_chars,
+    sha256(case form when 'plain' then text when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) output_sha256, sha256(text) restored_sha256 from p
+"""
+
+ORACLES = {
+    "op7_ngram_join": _JOIN, "op6_urlfilter": _URL, "op8_chat": _CHAT, "op9_warc": _WARC, "op10_topk": _TOPK,
+    "op11_sharding": _SHARDS, "op12_lexical": _LEXICAL, "op13_fim": _FIM,
+}
