@@ -57,7 +57,8 @@ def placed(rows: DataFrame, groups: list[str], order: list[str], place: str, tot
 def interleave(rows: DataFrame, by: str = "source", keys: tuple[str, ...] = ("doc_id",), shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``rows`` with ``shard`` (0 to shards - 1) and ``slot`` (gapless from 0): counts of shards differ by one at most.
 
-    Each shard holds of each source its share of rows, but for one or two. ``keys`` are hashed
+    Each shard holds of each source its share of rows, but for one or two; many sources of a row
+    or two each are spread by chance, and move the borders of the others by as much. ``keys`` are hashed
     with the seed to shuffle a source's rows; rows with equal keys come in any order. All columns
     ride along, but for those named shard and slot: where texts are large, pass ids and join.
     Null sources are one source, null keys count as empty. With fewer rows than shards, some
