@@ -1,23 +1,37 @@
-"""Ordered folds and state machines in batch.
+"""Ordered folds and state machines: the folds themselves, and their batch form.
 
-Events are dealt by key and sorted within their partition; a task then reads them in order, batch
-by batch, and keeps one key's small state only. So no key's history is ever held as one value, and
-a heavy key costs the time of one task and the sort's spill, not its memory.
+In batch, events are dealt by key and sorted within their partition; a task then reads them in
+order, batch by batch, and keeps one key's small state only. So no key's history is ever held as
+one value, and a heavy key costs the time of one task and the sort's spill, not its memory.
+``tidemark.streaming.folds`` runs the same folds over streams.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _folded(df: DataFrame, key: str, fields: list[str], start: Callable, step: Callable, result: Callable, columns: dict[str, str]) -> DataFrame:
-    """(key, *columns): ``result`` of each key's state after ``step(state, *fields)`` over its rows, in order of the fields.
+class Fold(NamedTuple):
+    """A fold over a key's events in order of time: ``result`` of the state after ``step(state, t, *fields)`` of each.
 
-    The functions must be nested ones that use no module global: they travel by value.
+    ``t`` is in microseconds. A state is made of numbers, strings, nulls and lists of them, small
+    whatever the history. The functions must be nested ones that use no module global: they
+    travel by value.
     """
+
+    start: Callable
+    step: Callable
+    result: Callable
+    columns: dict[str, str]
+
+
+def _folded(df: DataFrame, key: str, fields: list[str], fold: Fold) -> DataFrame:
+    """(key, *columns) of each key, over its rows in order of the fields."""
+    start, step, result, columns = fold
     types = list(columns.values())
 
     def run(batches):
@@ -48,28 +62,28 @@ def _folded(df: DataFrame, key: str, fields: list[str], start: Callable, step: C
     return rows.repartition(key).sortWithinPartitions(key, *fields).mapInArrow(run, schema)
 
 
-def _timed(df: DataFrame, key: str, ts: str, *others: str) -> DataFrame:
+def timed(df: DataFrame, key: str, ts: str, *others: str) -> DataFrame:
+    """(key, t, *others) with the time in microseconds."""
     return df.select(key, F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), *others)
 
 
-def rate_limiter(df: DataFrame, key: str, ts: str, order: str, window_s: int, most: int) -> DataFrame:
-    """ST6: sliding-window log: an event is admitted if fewer than ``most`` admitted ones lie in the window before it."""
+def rate_limit(window_s: int, most: int) -> Fold:
+    """ST6: an event is admitted if fewer than ``most`` admitted ones lie in the window before it."""
 
-    def step(s, t, _):
+    def step(s, t, *_):
         log, yes, no = s
         log = [x for x in log if x is not None and t is not None and x > t - window_s * 1_000_000]
         return ([*log, t], yes + 1, no) if len(log) < most else (log, yes, no + 1)
 
-    return _folded(_timed(df, key, ts, order), key, ["t", order], lambda: ([], 0, 0), step, lambda s: s[1:], {"admitted": "bigint", "rejected": "bigint"})
+    return Fold(lambda: ([], 0, 0), step, lambda s: s[1:], {"admitted": "bigint", "rejected": "bigint"})
 
 
-def fixed_window_trips(df: DataFrame, key: str, ts: str, order: str, window_s: int, most: int, open_s: int) -> DataFrame:
-    """ST7: (key, trips, open_until): a window opens at its first hit and lasts ``window_s``; each hit from
-    the ``most``-th on opens the circuit for ``open_s`` from then. ``trips`` counts openings of a closed
-    circuit. Events without a time are left out.
+def breaker(window_s: int, most: int, open_s: int) -> Fold:
+    """ST7: a window opens at its first hit and lasts ``window_s``; each hit from the ``most``-th on
+    opens the circuit for ``open_s`` from then. ``trips`` counts openings of a closed circuit.
     """
 
-    def step(s, t, _):
+    def step(s, t, *_):
         since, n, trips, until = s
         if t is None:
             return s
@@ -78,15 +92,14 @@ def fixed_window_trips(df: DataFrame, key: str, ts: str, order: str, window_s: i
             return since, n, trips, until
         return since, n, trips + (until is None or t >= until), t + open_s * 1_000_000
 
-    done = _folded(_timed(df, key, ts, order), key, ["t", order], lambda: (None, 0, 0, None), step, lambda s: s[2:], {"trips": "int", "until": "bigint"})
-    return done.select(key, "trips", F.timestamp_micros("until").cast("timestamp_ntz").alias("open_until"))
+    return Fold(lambda: (None, 0, 0, None), step, lambda s: s[2:], {"trips": "int", "until": "bigint"})
 
 
-def health_machine(df: DataFrame, key: str, ts: str, order: str, kind: str, wait: str) -> DataFrame:
-    """SM6: health points and state over an account's events (success, flood, error, auth).
+def health() -> Fold:
+    """SM6: points and state over an account's events (success, flood, error, auth), with a flood's seconds.
 
-    ``wait`` is the column with a flood's seconds (null: 0). A flood of more than a minute costs
-    more and degrades a healthy account, as the third one within half an hour does.
+    A flood of more than a minute costs more and degrades a healthy account, as the third one
+    within half an hour does.
     """
 
     # fixed values: points and transitions of each kind of event
@@ -107,21 +120,11 @@ def health_machine(df: DataFrame, key: str, ts: str, order: str, kind: str, wait
             return h, "COOLDOWN", floods
         return h, "HEALTHY" if event == "success" and st == "DEGRADED" and h >= 90 else st, floods
 
-    return _folded(_timed(df, key, ts, order, kind, wait), key, ["t", order, kind, wait], lambda: (100, "HEALTHY", []), step, lambda s: s[:2], {"health": "int", "state": "string"})
+    return Fold(lambda: (100, "HEALTHY", []), step, lambda s: s[:2], {"health": "int", "state": "string"})
 
 
-def count_windows(df: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
-    """ST3: tumbling windows of ``size`` events of a key, as a bucket number."""
-    from pyspark.sql import Window
-
-    return df.withColumn("bucket", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / size))
-
-
-def connector_health(df: DataFrame, key: str, ts: str, order: str, kind: str, least: int = 3, cool_down_s: int = 300) -> DataFrame:
-    """SM9: (key, status, failures, cool_until) after a connector's events (success, rate_limit, else a failure).
-
-    A success heals; a rate limit cools down for ``cool_down_s``; ``least`` failures in a row degrade.
-    """
+def connector(least: int = 3, cool_down_s: int = 300) -> Fold:
+    """SM9: a success heals; a rate limit cools down for ``cool_down_s``; ``least`` failures in a row degrade."""
 
     def step(s, t, _, event):
         st, n, cool = s
@@ -131,8 +134,39 @@ def connector_health(df: DataFrame, key: str, ts: str, order: str, kind: str, le
             return "RATE_LIMITED", n + 1, None if t is None else t + cool_down_s * 1_000_000
         return "DEGRADED" if n + 1 >= least else st, n + 1, cool
 
-    done = _folded(_timed(df, key, ts, order, kind), key, ["t", order, kind], lambda: ("HEALTHY", 0, None), step, lambda s: s, {"status": "string", "failures": "int", "cool": "bigint"})
-    return done.select(key, "status", "failures", F.timestamp_micros("cool").cast("timestamp_ntz").alias("cool_until"))
+    return Fold(lambda: ("HEALTHY", 0, None), step, lambda s: s, {"status": "string", "failures": "int", "cool": "bigint"})
+
+
+def moment(column: str, name: str) -> Column:
+    """Microseconds as a time without a zone."""
+    return F.timestamp_micros(column).cast("timestamp_ntz").alias(name)
+
+
+def rate_limiter(df: DataFrame, key: str, ts: str, order: str, window_s: int, most: int) -> DataFrame:
+    """ST6: (key, admitted, rejected) of a sliding-window log."""
+    return _folded(timed(df, key, ts, order), key, ["t", order], rate_limit(window_s, most))
+
+
+def fixed_window_trips(df: DataFrame, key: str, ts: str, order: str, window_s: int, most: int, open_s: int) -> DataFrame:
+    """ST7: (key, trips, open_until) of fixed windows with a threshold. Events without a time are left out."""
+    return _folded(timed(df, key, ts, order), key, ["t", order], breaker(window_s, most, open_s)).select(key, "trips", moment("until", "open_until"))
+
+
+def health_machine(df: DataFrame, key: str, ts: str, order: str, kind: str, wait: str) -> DataFrame:
+    """SM6: (key, health, state). ``wait`` is the column with a flood's seconds (null: 0)."""
+    return _folded(timed(df, key, ts, order, kind, wait), key, ["t", order, kind, wait], health())
+
+
+def count_windows(df: DataFrame, key: str, order: list[str], size: int) -> DataFrame:
+    """ST3: tumbling windows of ``size`` events of a key, as a bucket number."""
+    from pyspark.sql import Window
+
+    return df.withColumn("bucket", F.floor((F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1) / size))
+
+
+def connector_health(df: DataFrame, key: str, ts: str, order: str, kind: str, least: int = 3, cool_down_s: int = 300) -> DataFrame:
+    """SM9: (key, status, failures, cool_until) after a connector's events (success, rate_limit, else a failure)."""
+    return _folded(timed(df, key, ts, order, kind), key, ["t", order, kind], connector(least, cool_down_s)).select(key, "status", "failures", moment("cool", "cool_until"))
 
 
 def safety_gate(stopped: Column, enabled: Column, session_ok: Column, status: Column, dry_run: Column, target: Column, aliases: tuple[str, ...] = ()) -> Column:

@@ -1,6 +1,6 @@
 """All registered queries and oracles of the core library."""
 
-from tidemark.plans import commercial, intake, messages, relevance, scored, workflow  # noqa: F401  register their queries
+from tidemark.plans import commercial, intake, messages, ordered, relevance, scored, streamed, workflow  # noqa: F401  register their queries
 from tidemark.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

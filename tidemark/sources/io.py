@@ -29,18 +29,19 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
     return j.select(F.col("o_custkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_returnflag").alias("relation"), F.col("l_shipdate").alias("ts"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_quantity").cast("int").alias("confidence"), F.col("l_linestatus").alias("evidence"))
 
 
-def settle(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the folder of ``spark.checkpoint.dir`` and read it back: cuts lineage, survives lost executors.
-
-    A local folder stands in only for a local master without that setting.
-    """
-    spark = df.sparkSession
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder's name under ``spark.checkpoint.dir``. A local one stands in only for a local master without that setting."""
     folder, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
     if not folder and (not master.startswith("local") or master.startswith("local-cluster")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{(folder or '/tmp/checkpoints').rstrip('/')}/tidemark-{tag}-{uuid.uuid4().hex}"
+    return f"{(folder or '/tmp/checkpoints').rstrip('/')}/tidemark-{tag}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, tag: str) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back: cuts lineage, survives lost executors."""
+    path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def append(df: DataFrame, path: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def events(spark: SparkSession, folder: str, glob: str = "events.parquet", files_per_trigger: int = 1) -> DataFrame:
@@ -37,10 +38,13 @@ def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "complete"
 
 
 def to_parquet(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Drain the available input into a Parquet table and read it: rows as they are final in ``append``, the whole result anew in ``complete``.
+    """Drain the available input into a Parquet table and read it.
+
+    In ``append`` rows come as they are final, in ``complete`` the whole result anew, in
+    ``update`` the rows of each batch, with its number in the column ``batch``.
 
     Nothing passes the driver. A batch that is run again after a failure writes to the same
-    place: ``append`` by the sink's own log, ``complete`` by a folder named after the batch.
+    place: ``append`` by the sink's own log, the others by a folder named after the batch.
     """
     spark, sink = df.sparkSession, df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode(mode)
     if mode == "append":
@@ -53,4 +57,6 @@ def to_parquet(df: DataFrame, path: str, checkpoint: str, mode: str = "append")
         last.append(number)
 
     sink.foreachBatch(write).start().awaitTermination()
+    if mode == "update":
+        return spark.read.schema(StructType(df.schema.fields + [StructField("batch", LongType())])).parquet(path)
     return spark.read.parquet(f"{path}/batch={last[-1]}") if last else spark.createDataFrame([], df.schema)
