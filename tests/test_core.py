@@ -342,12 +342,14 @@ def test_relevance_in_arabic(spark):
     assert one(relevance.syntax_names(F.lit("شراء ذهب، وقف خسارة: 2300، هدف 2: 2310 ربح 50 نقطة رافعة مالية"))) == ["buy_entry", "take_profit", "stop_loss", "pips_gain", "leverage"]
     assert one(relevance.first_term(F.lit("أفلام ومسلسلات"), ["كازينو", "افلام"])) == "افلام" and one(relevance.first_term(F.lit(None).cast("string"), ["a"])) is None
     names = ("pairs", "syntax", "forex", "gold", "signals", "methods", "styles", "commercial", "props", "brokers")
-    def card(text, bad=None, penalty=0, referred=False, **k):
+    def card(text, bad=None, penalty=0, referred=False, recommended=False, degree=0, **k):
         counts = {n: F.lit(k.get(n, 0)) for n in names}
-        return one(relevance.relevance(F.lit(text), counts, F.lit(referred), F.lit(0), F.lit(0), F.lit(penalty), F.lit(0), F.lit(bad).cast("string")))[:5]
+        return one(relevance.relevance(F.lit(text), counts, F.lit(referred), F.lit(recommended), F.lit(degree), F.lit(0), F.lit(penalty), F.lit(0), F.lit(bad).cast("string")))[:5]
     assert card("توصيات الذهب مع تحليل", gold=1, signals=1) == (45, "LIKELY_FOREX", "Tier_B", "queue:high", True)
     assert card("x", pairs=3, syntax=2, commercial=1) == (75, "HIGH_CONFIDENCE_FOREX", "Tier_A", "queue:high", True)
     assert card("x", pairs=3, syntax=2, commercial=1, penalty=30) == (45, "LOW_CONFIDENCE", "Tier_D", "queue:normal", False)
+    assert card("hello", recommended=True, degree=2) == (30, "LOW_CONFIDENCE", "Tier_D", "queue:normal", False)
+    assert card("hello", referred=True, recommended=True) == (20, "LOW_CONFIDENCE", "Tier_D", "queue:normal", False) and card("hello", referred=True, degree=2)[1] == "POSSIBLE_FOREX"
     assert card("chart", referred=True) == (30, "POSSIBLE_FOREX", "Tier_C", "queue:normal", True) and card("gold", bad="casino")[:2] == (0, "REJECTED")
     assert one(relevance.script_triple(F.lit("سلام abc 12"), F.array(F.lit("سلام"), F.lit("x"), F.lit(None)))) == (44, 33, 33, 37)
     assert one(relevance.niche_gate(F.lit("gold: صفقة, صفقة! صفقات"), F.lit(False), ["casino"], ["gold"], ["صفقة", "صفقات"])) is True
@@ -389,10 +391,16 @@ def test_queues(spark):
 
 
 def test_mining_model(spark):
-    known = spark.createDataFrame([("x", 0.5, 1.0, 2), ("z", 0.1, 0.0, 0)], "value string, confidence double, contrast double, negatives long")
-    found = spark.createDataFrame([("x",), ("y",), ("y",), ("y",), (None,)], "value string")
-    got = {r.value: (round(r.confidence, 6), round(r.contrast, 6), r.negatives) for r in mining.rejected(known, found, "phrase").collect()}
-    assert got == {"x": (0.3, -0.5, 3), "z": (0.1, 0.0, 0), "y": (0.0, -6.0, 3)}
+    known = spark.createDataFrame([("xxxxx", "gold", "candidate", 0.5, 1.0, 2), ("zzzzz", "gold", "active", 0.1, 0.0, 0)], "value string, category string, status string, confidence double, contrast double, negatives long")
+    found = spark.createDataFrame([(1, "xxxxx"), (1, "xxxxx"), (1, "yyyyy"), (2, "yyyyy"), (3, "yyyyy"), (3, None), (3, "abcd")], "channel int, value string")
+    got = {r.value: (r.category, r.status, round(r.confidence, 6), round(r.contrast, 6), r.negatives) for r in mining.rejected(known, found, "phrase", "channel").collect()}
+    assert got == {"xxxxx": ("gold", "candidate", 0.3, -0.5, 3), "zzzzz": ("gold", "active", 0.1, 0.0, 0), "yyyyy": ("negative_spam", "active", 0.0, -6.0, 3)}
+    many = spark.createDataFrame([(1, f"w{i:02}") for i in range(40)] + [(1, "ab")], "channel int, value string")
+    assert sorted(r.value for r in mining.rejected(known.limit(0), many, "keyword", "channel").collect()) == [f"w{i:02}" for i in range(14)]  # "ab" is among the first 15, but too short
+    signals = [("a", "negative_spam", "deprecated", -2.0, "keyword"), ("b", "gold", "observed", -2.0, "keyword"), ("c", "negative_spam", "active", 1.0, "phrase"), ("d", "gold", "validated", -1.5, "symbol"), ("e", None, "candidate", None, "keyword"),
+        ("f", "gold", "candidate", 1.0, "domain"), ("g", "gold", "validated", -1.0, "domain"), ("h", "gold", None, 2.0, "keyword")]
+    df = spark.createDataFrame(signals, "value string, category string, status string, contrast double, kind string")
+    assert {r.value: r.part for r in mining.model_part(df, "category", "status", "contrast", "kind").collect()} == {"c": "negative", "e": "candidate", "g": "active"}
     e = spark.createDataFrame([(1, 3, "c"), (1, 1, "a"), (1, 2, "b"), (2, 1, None)], "k int, t int, v string")
     assert {r.k: r["first"] for r in mining.first_rows(e, "k", ["t"], "v", 2).collect()} == {1: ["a", "b"], 2: [None]}
 

@@ -75,14 +75,15 @@ def candidate_relevance(hits: Column) -> Column:
     return F.when(_n(hits) > 0, F.least(F.lit(100), 20 + 10 * _n(hits))).otherwise(0)
 
 
-def relevance(text: Column, counts: dict[str, Column], referred: Column, in_degree: Column, boost: Column, penalty: Column, learned: Column, disqualified: Column) -> Column:
+def relevance(text: Column, counts: dict[str, Column], strong: Column, recommended: Column, in_degree: Column, boost: Column, penalty: Column, learned: Column, disqualified: Column) -> Column:
     """SC16: struct (score, class, tier, queue, qualified) from all signals of a candidate.
 
     ``counts`` has the hits of pairs, syntax, forex, gold, signals, methods, styles, commercial,
-    props and brokers. ``referred`` says that a strong channel or the platform recommends it.
+    props and brokers. ``strong`` says that a channel of the first tier refers to it, ``recommended``
+    that the platform recommends it; either gives the same points.
     ``boost`` and ``penalty`` are the learned model's points, ``learned`` its hits. The candidate
     is rejected where ``disqualified`` is a term. A score of 65, 45 or 25 counts only with some
-    trading evidence (for 25 a referral will do) and a penalty below 30.
+    trading evidence (for 25 a strong referral will do, a recommendation not) and a penalty below 30.
     """
     lower = F.lower(_text(text))
     norm = normalize_arabic(lower)
@@ -93,7 +94,7 @@ def relevance(text: Column, counts: dict[str, Column], referred: Column, in_degr
         + ladder(k["signals"], [(2, 15), (1, 10)])
         + _points(
             (k["syntax"] > 0, 25), (k["methods"] >= 1, 15), (k["styles"] >= 1, 10), (_any(lower, ANALYSIS_WORDS) | _any(norm, ANALYSIS_NORMAL), 10),
-            ((k["commercial"] >= 1) | lower.contains("vip"), 15), ((k["props"] >= 1) | (k["brokers"] >= 1), 10), (yes(referred), 20), (_n(in_degree) >= 2, 10),
+            ((k["commercial"] >= 1) | lower.contains("vip"), 15), ((k["props"] >= 1) | (k["brokers"] >= 1), 10), (yes(strong) | yes(recommended), 20), (_n(in_degree) >= 2, 10),
         )
         + F.bround(_n(boost)).cast("int")
     )
@@ -102,7 +103,7 @@ def relevance(text: Column, counts: dict[str, Column], referred: Column, in_degr
     out = lambda s, name, tier, queue, ok: F.struct(s.cast("int").alias("score"), F.lit(name).alias("class"), F.lit(tier).alias("tier"), F.lit(queue).alias("queue"), F.lit(ok).alias("qualified"))
     verdict = F.when(disqualified.isNotNull(), out(F.lit(0), "REJECTED", "Tier_D", "queue:normal", False))
     for least, name, tier, queue in RELEVANCE:
-        shown = evidence | yes(referred) if least == 25 else evidence
+        shown = evidence | yes(strong) if least == 25 else evidence
         verdict = verdict.when((score >= least) & shown & (_n(penalty) < 30), out(score, name, tier, queue, True))
     return verdict.otherwise(out(score, "LOW_CONFIDENCE", "Tier_D", "queue:normal", False))
 

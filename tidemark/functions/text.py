@@ -109,7 +109,8 @@ def invalid_handle(c: Column) -> Column:
 
 
 def json_merge(a: Column, b: Column) -> Column:
-    """JS3: two JSON objects' fields, the second's first; values as text. What is no object counts as empty."""
-    fields = lambda j: F.coalesce(F.from_json(j, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    """JS3: two JSON objects' fields, the second's first; values keep their types, nested ones are not merged. What is no object counts as empty."""
+    none = F.create_map().cast("map<string,variant>")
+    fields = lambda j: F.coalesce(F.try_variant_get(F.try_parse_json(j), "$", "map<string,variant>"), none)
     x, y = fields(a), fields(b)
     return F.to_json(F.map_concat(F.map_filter(x, lambda k, _: ~F.map_contains_key(y, k)), y))

@@ -43,27 +43,86 @@ def first_rows(df: DataFrame, key: str, order: list[str], value: str, k: int) ->
     return ranked.groupBy(key).agg(F.transform(pairs, lambda x: x[value]).alias("first"))
 
 
-def model_part(signals: DataFrame, category: str, status: str, contrast: str) -> DataFrame:
-    """LM8: ``signals`` in use, with ``part``: negative by category or contrast, else active or candidate by status."""
-    bad = (F.col(category) == "negative_spam") | (F.col(contrast) < -1)
-    part = F.when(bad, "negative").when(F.col(status).isin("active", "validated"), "active").when(F.col(status) == "candidate", "candidate")
-    return signals.withColumn("part", part).filter(F.col("part").isNotNull())
+#: features that may be broadcast
+BROADCAST_FEATURES = 200_000
 
 
-#: fixed values: contrast of a new signal, and what each further rejection takes from contrast and confidence
-REJECTION = {"keyword": (-2.5, 1.0, 0.15), "phrase": (-3.0, 1.5, 0.2)}
+def _within(df: DataFrame, features: DataFrame) -> DataFrame:
+    """The rows whose feature is one of ``features``, which are broadcast only if a count proves them few."""
+    return df.join(F.broadcast(features) if features.count() <= BROADCAST_FEATURES else features, "feature", "left_semi")
 
 
-def rejected(known: DataFrame, found: DataFrame, kind: str) -> DataFrame:
-    """LM11: (value, confidence, contrast, negatives) of ``known`` after each row of ``found`` was rejected once.
+def frequent_positions(corpus: DataFrame, doc: str, tokens: Column, n: int, least_df: int = 2, blocked: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, positive, at, feature): the n-grams by place that occur in ``least_df`` positives or more, found level by level.
 
-    A value that was not known enters with a confidence of 0.1 and the contrast of its kind; its
-    further rejections count against it. Null values are left out.
+    An n-gram is only built where both its parts of one token less are frequent: rows that are
+    exploded at a level are those that the level before left. A ``blocked`` term holds back
+    every n-gram that has it, as it does the shorter ones. ``doc`` must be unique.
     """
-    start, step, loss = REJECTION[kind]
-    n = found.filter(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("n"))
+    from pyspark.sql import Window
+
+    from tidemark.sources.io import settle
+
+    held = F.lit(False)
+    for term in blocked:
+        held = held | F.col("feature").contains(term)
+    at = corpus.select(F.col(doc).alias("doc"), "positive", F.posexplode(tokens).alias("at", "feature"))
+    for level in range(1, n + 1):
+        # one row a document and feature is counted; map-side sums come before the shuffle
+        often = at.filter(F.col("positive") & ~held).select("doc", "feature").distinct().groupBy("feature").agg(F.count("*").alias("df")).filter(F.col("df") >= least_df)
+        at = settle(_within(at, settle(often.select("feature"), "frequent")), f"level{level}")
+        if level < n:
+            order = Window.partitionBy("doc").orderBy("at")
+            follows = at.withColumns({"next_": F.lead("feature").over(order), "place_": F.lead("at").over(order)}).filter(F.col("place_") == F.col("at") + 1)
+            at = follows.select("doc", "positive", "at", F.concat_ws(" ", "feature", F.substring_index("next_", " ", -1)).alias("feature"))
+    return at
+
+
+def contrast_levels(corpus: DataFrame, doc: str, tokens: Column, n: int, least_df: int = 2, least_contrast: float = 0.2, blocked: tuple[str, ...] = ()) -> DataFrame:
+    """LM1 to LM4 for n of 2 and more, with the rows of ``contrast``; n-grams are pruned level by level."""
+    sizes = corpus.agg(F.count_if("positive").alias("n_pos"), F.count_if(~F.col("positive")).alias("n_neg"))
+    found = frequent_positions(corpus, doc, tokens, n, least_df, blocked).select("doc", "positive", "feature").distinct()
+    counts = found.groupBy("feature").agg(F.count_if("positive").alias("df_pos"), F.count_if(~F.col("positive")).alias("df_neg"))
+    scored = counts.crossJoin(F.broadcast(sizes))
+    scored = scored.withColumn("contrast", smoothed_log_odds(F.col("df_pos"), F.col("n_pos"), F.col("df_neg"), F.col("n_neg")))
+    return scored.filter(F.col("contrast") >= least_contrast).select("feature", "df_pos", "df_neg", "contrast")
+
+
+def model_part(signals: DataFrame, category: str, status: str, contrast: str, kind: str) -> DataFrame:
+    """LM8: ``signals`` in use, with ``part``: negative by category or contrast, else active or candidate by status.
+
+    Only active, validated and candidate signals are read, whatever else they are. Of the
+    negative and the candidate ones, keywords and phrases alone serve. A null contrast is 0.
+    """
+    used = signals.filter(F.col(status).isin("active", "validated", "candidate"))
+    bad = F.coalesce(F.col(category) == "negative_spam", F.lit(False)) | F.coalesce(F.col(contrast) < -1, F.lit(False))
+    part = F.when(bad, "negative").when(F.col(status) == "candidate", "candidate").otherwise("active")
+    return used.withColumn("part", part).filter((F.col("part") == "active") | F.col(kind).isin("keyword", "phrase"))
+
+
+#: fixed values: contrast of a new signal, what each further rejection takes from contrast and confidence, features of a channel, and their least length
+REJECTION = {"keyword": (-2.5, 1.0, 0.15, 15, 3), "phrase": (-3.0, 1.5, 0.2, 10, 5)}
+
+
+def rejected(known: DataFrame, found: DataFrame, kind: str, channel: str, least_length: int | None = None) -> DataFrame:
+    """LM11: ``known`` (value, category, status, confidence, contrast, negatives) after the rejected channels of ``found`` (channel, value).
+
+    Of a channel's distinct features the first few in their order count, and of these the long
+    enough. Each counts once a channel. A value that was not known enters as an active negative
+    with a confidence of 0.1 and the contrast of its kind; further rejections count against it,
+    as against known ones, which keep category and status. Null values are left out.
+    """
+    from pyspark.sql import Window
+
+    start, step, loss, most, least = REJECTION[kind]
+    first = F.row_number().over(Window.partitionBy(channel).orderBy("value"))
+    shown = found.select(channel, "value").filter("value is not null").distinct().withColumn("n_", first).filter(F.col("n_") <= most)
+    n = shown.filter(F.length("value") >= (least if least_length is None else least_length)).groupBy("value").agg(F.count("*").alias("n"))
     j = known.join(n, "value", "full")
     new, hits = F.col("negatives").isNull(), F.coalesce("n", F.lit(0))
     confidence = F.greatest(F.lit(0.0), F.when(new, F.lit(0.1) - (hits - 1) * loss).otherwise(F.col("confidence") - hits * loss))
     contrast_ = F.when(new, F.lit(start) - (hits - 1) * step).otherwise(F.col("contrast") - hits * step)
-    return j.select("value", confidence.alias("confidence"), contrast_.alias("contrast"), F.when(new, hits).otherwise(F.col("negatives") + hits).alias("negatives"))
+    return j.select(
+        "value", F.when(new, "negative_spam").otherwise(F.col("category")).alias("category"), F.when(new, "active").otherwise(F.col("status")).alias("status"),
+        confidence.alias("confidence"), contrast_.alias("contrast"), F.when(new, hits).otherwise(F.col("negatives") + hits).alias("negatives"),
+    )

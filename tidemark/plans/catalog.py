@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ladders as L
 from tidemark.functions import text as T
-from tidemark.operators import graph, merge, mining, state, views
+from tidemark.operators import graph, lexicon, merge, mining, state, views
 from tidemark.sources.io import edges, exposition, leads, table
 
 AS_OF = "2024-01-30 00:00:00"
@@ -327,7 +328,38 @@ def tx1_lexicon(s, d):
 
 @query(ORACLES["tx1_lexicon"])
 def tx1_lexicon_all(s, d):
-    return tx1_lexicon(s, d)
+    """The same terms by one automaton, as for a lexicon of any size."""
+    terms = s.createDataFrame([(i, "all", t, 1) for i, t in enumerate(("secret", "password", "token", "the"))], "position int, category string, term string, weight int")
+    hits = lexicon.term_hits(documents(s, d).filter("text is not null"), "text", terms, T.normalize_arabic, ("doc_id",))
+    none = documents(s, d).filter("text is null").select("doc_id", F.lit(None).cast("string").alias("terms"))
+    return hits.select("doc_id", F.array_join(F.transform("hits", lambda x: x["term"]), " ").alias("terms")).unionAll(none)
+
+
+_TERMS = r"""with w as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) term from benchmark),
+    l as (select term, row_number() over (order by term) - 1 "position", 'c' || ascii(term) % 4 category, ascii(term) % 4 * 10 + 5 weight from w)"""
+
+
+def _taxonomy(s, d):
+    """The words of the benchmark as a lexicon of four categories."""
+    words = table(s, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("term")).distinct()
+    rows = words.select(F.row_number().over(Window.orderBy("term")).alias("n"), "term")  # a lexicon's size
+    return rows.select((c("n") - 1).alias("position"), F.concat(F.lit("c"), F.ascii("term") % 4).alias("category"), "term", (F.ascii("term") % 4 * 10 + 5).alias("weight"))
+
+
+@query(f"""{_TERMS}, h as (select doc_id, category, term, "position", weight from documents join l on contains(lower(text), term)),
+    g as (select doc_id, category, max(weight) weight, string_agg(term, ' ' order by "position") terms from h group by all)
+    select d.doc_id, coalesce(string_agg(category || ': ' || terms, '; ' order by category), '') found, coalesce(sum(weight), 0)::int points from documents d left join g using (doc_id) group by 1""")
+def tx2_taxonomy(s, d):
+    hits = lexicon.term_hits(documents(s, d), "text", _taxonomy(s, d), T.normalize_arabic, ("doc_id",))
+    entries = F.transform(F.map_entries(lexicon.categories(c("hits"))), lambda e: F.concat(e["key"], F.lit(": "), F.array_join(e["value"], " ")))
+    return hits.select("doc_id", F.array_join(entries, "; ").alias("found"), lexicon.weighted(c("hits")).alias("points"))
+
+
+@query(f"""{_TERMS}, f as (select * from l where "position" < 60), g as (select source, term, sum((length(lower(text)) - length(replace(lower(text), term, ''))) // length(term))::bigint n from documents, f group by all)
+    select source, term, n, n / sum(n) over (partition by source) share from g where n > 0""")
+def tx3_shares(s, d):
+    hits = lexicon.term_hits(documents(s, d), "text", _taxonomy(s, d).filter("position < 60"), T.normalize_arabic, ("source",))
+    return lexicon.shares(hits, "source")
 
 
 @query(f"""with h as (select user_id, case when user_id % 4 > 0 then (epoch_us(timestamp '{AS_OF}') - epoch_us(max(ts))) / 3.6e9 end hrs,

@@ -58,23 +58,23 @@ def tx22_candidate(s, d):
     return _said(s, d).select("doc_id", R.candidate_relevance(n).alias("score"))
 
 
-@query(f"""{DOCS}, k as (select doc_id, low, {', '.join(f'{_hits(v)} {name}' for name, v in LEXICA.items())}, len(regexp_extract_all(regexp_replace(low, '[^ -~]', 'x', 'g'), '{_SYNTAX}')) syntax, doc_id % 11 = 0 referred, doc_id % 4 degree,
+@query(f"""{DOCS}, k as (select doc_id, low, {', '.join(f'{_hits(v)} {name}' for name, v in LEXICA.items())}, len(regexp_extract_all(regexp_replace(low, '[^ -~]', 'x', 'g'), '{_SYNTAX}')) syntax, doc_id % 11 = 0 strong, doc_id % 7 = 0 recommended, doc_id % 4 degree,
         (doc_id % 5) * 4.5 boost, case when doc_id % 13 = 0 then 32 else 0 end penalty, doc_id % 5 learned, contains(low, 'casino') bad from t),
     p as (select *, (case when pairs >= 3 then 35 when pairs >= 1 or regexp_matches(low, 'gold|xau|forex|ذهب|فوركس') then 25 else 0 end
         + case when signals >= 2 then 15 when signals >= 1 then 10 else 0 end + case when syntax > 0 then 25 else 0 end + case when methods >= 1 then 15 else 0 end + case when styles >= 1 then 10 else 0 end
         + case when regexp_matches(low, 'chart|تحليل|شارت') then 10 else 0 end + case when commercial >= 1 or contains(low, 'vip') then 15 else 0 end + case when props >= 1 or brokers >= 1 then 10 else 0 end
-        + case when referred then 20 else 0 end + case when degree >= 2 then 10 else 0 end + round_even(boost, 0)::int) raw,
+        + case when strong or recommended then 20 else 0 end + case when degree >= 2 then 10 else 0 end + round_even(boost, 0)::int) raw,
         pairs > 0 or syntax > 0 or forex > 0 or gold > 0 or methods > 0 or (signals > 0 and commercial > 0) or learned > 0 shown from k),
     q as (select *, least(100, greatest(0, raw - penalty)) sc from p)
     select doc_id, case when bad then 0 else sc end score,
-        case when bad then 'REJECTED' when penalty < 30 and sc >= 65 and shown then 'HIGH_CONFIDENCE_FOREX' when penalty < 30 and sc >= 45 and shown then 'LIKELY_FOREX' when penalty < 30 and sc >= 25 and (shown or referred) then 'POSSIBLE_FOREX' else 'LOW_CONFIDENCE' end class,
-        case when bad then 'Tier_D' when penalty < 30 and sc >= 65 and shown then 'Tier_A' when penalty < 30 and sc >= 45 and shown then 'Tier_B' when penalty < 30 and sc >= 25 and (shown or referred) then 'Tier_C' else 'Tier_D' end tier,
-        not bad and penalty < 30 and ((sc >= 45 and shown) or (sc >= 25 and (shown or referred))) qualified from q""")
+        case when bad then 'REJECTED' when penalty < 30 and sc >= 65 and shown then 'HIGH_CONFIDENCE_FOREX' when penalty < 30 and sc >= 45 and shown then 'LIKELY_FOREX' when penalty < 30 and sc >= 25 and (shown or strong) then 'POSSIBLE_FOREX' else 'LOW_CONFIDENCE' end class,
+        case when bad then 'Tier_D' when penalty < 30 and sc >= 65 and shown then 'Tier_A' when penalty < 30 and sc >= 45 and shown then 'Tier_B' when penalty < 30 and sc >= 25 and (shown or strong) then 'Tier_C' else 'Tier_D' end tier,
+        not bad and penalty < 30 and ((sc >= 45 and shown) or (sc >= 25 and (shown or strong))) qualified from q""")
 def sc16_relevance(s, d):
     low = F.lower("text")
     counts = {k: sum(low.contains(t).cast("int") for t in v) for k, v in LEXICA.items()} | {"syntax": R.signal_syntax(c("text"))}
     i = c("doc_id")
-    card = R.relevance(c("text"), counts, i % 11 == 0, i % 4, (i % 5) * 4.5, F.when(i % 13 == 0, 32), i % 5, R.first_term(c("text"), ["casino"]))
+    card = R.relevance(c("text"), counts, i % 11 == 0, i % 7 == 0, i % 4, (i % 5) * 4.5, F.when(i % 13 == 0, 32), i % 5, R.first_term(c("text"), ["casino"]))
     return _said(s, d).select("doc_id", card.alias("r")).select("doc_id", "r.score", "r.class", "r.tier", "r.qualified")
 
 

@@ -147,10 +147,12 @@ def wn4_evidence(s, d):
     return mining.first_rows(edges(s, d), "target", ["ts", "seq"], "source", 3).select("target", F.array_join(F.transform("first", lambda x: x.cast("string")), ",").alias("evidence"))
 
 
-@query("select event_id, json_extract_string(j, '$.k') k, json_extract_string(j, '$.n') n, json_extract_string(j, '$.z') z from (select event_id, json_merge_patch(props, case when event_id % 2 = 0 then '{\"k\": 7, \"n\": 1}' else '{\"z\": \"q\"}' end) j from events)")
+@query("""select event_id, json_extract(j, '$.k')::varchar k, json_extract(j, '$.n')::varchar n, json_extract(j, '$.z')::varchar z, json_extract(j, '$.o')::varchar o
+    from (select event_id, json_merge_patch(props, case event_id % 3 when 0 then '{"k": 7, "n": 1.5, "z": true}' when 1 then '{"z": "q", "o": {"a": [1, "2"]}}' else '{}' end) j from events)""")
 def js3_merge(s, d):
-    return events(s, d).select("event_id", T.json_merge(c("props"), F.when(c("event_id") % 2 == 0, '{"k": 7, "n": 1}').otherwise('{"z": "q"}')).alias("j")).select(
-        "event_id", *[F.get_json_object("j", f"$.{k}").alias(k) for k in "knz"])
+    other = F.when(c("event_id") % 3 == 0, '{"k": 7, "n": 1.5, "z": true}').when(c("event_id") % 3 == 1, '{"z": "q", "o": {"a": [1, "2"]}}').otherwise("no object")
+    rows = events(s, d).select("event_id", F.parse_json(T.json_merge(c("props"), other)).alias("j"))
+    return rows.select("event_id", *[F.to_json(F.try_variant_get("j", f"$.{k}", "variant")).alias(k) for k in "knzo"])
 
 
 @query("with m as (select 'event_' || event_type || '_' || k.name \"name\", ts::date \"day\", k.name kind, value, k.ok from events, (values ('all', true), ('high', false)) k(name, ok)) select \"name\", \"day\", count(*) filter (ok or value > 50)::double \"value\" from m group by all")
@@ -164,14 +166,14 @@ _LM4 = ORACLES["lm4_contrast_all"]
 
 @query(_LM4.replace("unnest(list_distinct(list_filter(w, lambda x: length(x) >= 3)))", "unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))"))
 def lm1_bigrams(s, d):
-    docs = documents(s, d).join(table(s, d, "labels"), "doc_id").select("text", (c("quality") == 1).alias("positive"))
-    return mining.contrast(docs, T.tokens(c("text")), 2)
+    docs = documents(s, d).join(table(s, d, "labels"), "doc_id").select("doc_id", "text", (c("quality") == 1).alias("positive"))
+    return mining.contrast_levels(docs, "doc_id", T.tokens(c("text")), 2)
 
 
 @query(_LM4.replace("unnest(list_distinct(list_filter(w, lambda x: length(x) >= 3)))", "unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))"))
 def lm1_trigrams(s, d):
-    docs = documents(s, d).join(table(s, d, "labels"), "doc_id").select("text", (c("quality") == 1).alias("positive"))
-    return mining.contrast(docs, T.tokens(c("text")), 3)
+    docs = documents(s, d).join(table(s, d, "labels"), "doc_id").select("doc_id", "text", (c("quality") == 1).alias("positive"))
+    return mining.contrast_levels(docs, "doc_id", T.tokens(c("text")), 3)
 
 
 @query(_LM4.replace("count(*) filter (p) df_pos", "count(*) filter (p and not regexp_matches(feature, 'tion|sch')) df_pos").replace("having count(*) filter (p) >= 2", "having count(*) filter (p and not regexp_matches(feature, 'tion|sch')) >= 2"))
@@ -180,21 +182,35 @@ def lm3_blocked(s, d):
     return mining.contrast(docs, T.tokens(c("text")), 1, blocked=("tion", "sch"))
 
 
-_SIGNALS = "with s as (select p_partkey, p_brand, p_size, p_retailprice, case when p_size > 40 then 'negative_spam' when p_size > 30 then 'gold' else 'forex' end category, case p_size % 4 when 0 then 'active' when 1 then 'validated' when 2 then 'candidate' else 'deprecated' end status, p_size / 10.0 - 2 contrast from part)"
+_SIGNALS = """with s as (select p_partkey, case when p_size % 7 = 0 then 'negative_spam' when p_size > 30 then 'gold' when p_size > 10 then 'forex' end category,
+        case p_size % 5 when 0 then 'active' when 1 then 'validated' when 2 then 'candidate' when 3 then 'deprecated' else 'observed' end status, case when p_size <> 8 then p_size / 10.0 - 2 end contrast,
+        case p_partkey % 4 when 0 then 'keyword' when 1 then 'phrase' when 2 then 'symbol' else 'domain' end kind from part)"""
 
 
-@query(f"{_SIGNALS} select p_partkey, case when category = 'negative_spam' or contrast < -1 then 'negative' when status in ('active', 'validated') then 'active' when status = 'candidate' then 'candidate' end part from s where status in ('active', 'validated', 'candidate') or category = 'negative_spam' or contrast < -1")
+# only signals in use are read, whatever their category; of the negative and the candidate ones only keywords and phrases serve
+@query(f"""{_SIGNALS}, u as (select * from s where status in ('active', 'validated', 'candidate'))
+    select p_partkey, 'negative' part from u where (category = 'negative_spam' or contrast < -1) and kind in ('keyword', 'phrase')
+    union all select p_partkey, 'active' from u where not coalesce(category = 'negative_spam', false) and coalesce(contrast, 0) >= -1 and status <> 'candidate'
+    union all select p_partkey, 'candidate' from u where not coalesce(category = 'negative_spam', false) and coalesce(contrast, 0) >= -1 and status = 'candidate' and kind in ('keyword', 'phrase')""")
 def lm8_model(s, d):
-    size = c("p_size")
-    status = F.when(size % 4 == 0, "active").when(size % 4 == 1, "validated").when(size % 4 == 2, "candidate").otherwise("deprecated")
-    rows = table(s, d, "part").select("p_partkey", F.when(size > 40, "negative_spam").when(size > 30, "gold").otherwise("forex").alias("category"), status.alias("status"), (size / 10.0 - 2).alias("contrast"))
-    return mining.model_part(rows, "category", "status", "contrast").select("p_partkey", "part")
-
-
-@query("""with g as (select p_brand v, count(*) n from part where p_size % 3 = 0 group by 1), b as (select distinct p_brand v, 0.5 confidence, 1.0 contrast, 2::bigint negatives from part where p_size > 25)
-    select coalesce(g.v, b.v) "value", case when b.v is null then greatest(0.0, 0.1 - 0.15 * (n - 1)) else greatest(0.0, b.confidence - 0.15 * coalesce(n, 0)) end confidence,
-        case when b.v is null then -2.5 - 1.0 * (n - 1) else b.contrast - 1.0 * coalesce(n, 0) end contrast, case when b.v is null then n else b.negatives + coalesce(n, 0) end negatives from g full join b on g.v = b.v""")
+    size, key = c("p_size"), c("p_partkey") % 4
+    status = F.when(size % 5 == 0, "active").when(size % 5 == 1, "validated").when(size % 5 == 2, "candidate").when(size % 5 == 3, "deprecated").otherwise("observed")
+    rows = table(s, d, "part").select(
+        "p_partkey", F.when(size % 7 == 0, "negative_spam").when(size > 30, "gold").when(size > 10, "forex").alias("category"), status.alias("status"),
+        F.when(size != 8, size / 10.0 - 2).alias("contrast"), F.when(key == 0, "keyword").when(key == 1, "phrase").when(key == 2, "symbol").otherwise("domain").alias("kind"),
+    )
+    return mining.model_part(rows, "category", "status", "contrast", "kind").select("p_partkey", "part")
+
+
+# a channel (nation) shows the names of its customers; features are found without case, the known ones are those of the first customers
+@query("""with f as (select distinct c_nationkey channel, lower(c_mktsegment) || c_custkey % 30 "value" from customer), r as (select *, row_number() over (partition by channel order by "value") k from f),
+    n as (select "value", count(*) n from r where k <= 15 and length("value") >= 10 group by 1),
+    b as (select distinct lower(c_mktsegment) || c_custkey % 30 "value" from customer where c_custkey <= 40)
+    select coalesce(n."value", b."value") "value", case when b."value" is null then 'negative_spam' else 'gold' end category, case when b."value" is null then 'active' else 'candidate' end status,
+        case when b."value" is null then greatest(0.0, 0.1 - 0.15 * (n - 1)) else greatest(0.0, 0.5 - 0.15 * coalesce(n, 0)) end::double confidence,
+        case when b."value" is null then -2.5 - 1.0 * (n - 1) else 1.0 - 1.0 * coalesce(n, 0) end::double contrast, case when b."value" is null then n else 2 + coalesce(n, 0) end negatives from n full join b on n."value" = b."value" """)
 def lm11_rejections(s, d):
-    part = table(s, d, "part")
-    known = part.filter("p_size > 25").select(c("p_brand").alias("value")).distinct().select("value", F.lit(0.5).alias("confidence"), F.lit(1.0).alias("contrast"), F.lit(2).cast("long").alias("negatives"))
-    return mining.rejected(known, part.filter("p_size % 3 = 0").select(c("p_brand").alias("value")), "keyword")
+    value = F.concat(F.lower("c_mktsegment"), c("c_custkey") % 30).alias("value")
+    known = customer(s, d).filter("c_custkey <= 40").select(value).distinct()
+    known = known.select("value", F.lit("gold").alias("category"), F.lit("candidate").alias("status"), F.lit(0.5).alias("confidence"), F.lit(1.0).alias("contrast"), F.lit(2).cast("long").alias("negatives"))
+    return mining.rejected(known, customer(s, d).select(c("c_nationkey").alias("channel"), value), "keyword", "channel", least_length=10)
