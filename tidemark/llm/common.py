@@ -78,8 +78,14 @@ def text_slices(column: pa.Array, max_bytes: int) -> Iterator[tuple[int, int, np
         lo = hi
 
 
+#: bytes of a batch that Python workers get; the operators work on slices of a few MB, so larger ones only cost memory on both sides
+BATCH_CONF, DEFAULT_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Make this package importable by Python workers that don't have it on their path."""
+    """Make this package importable by Python workers that don't have it on their path, and bound their batches where the session has Spark's default."""
+    if spark.conf.get(BATCH_CONF) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
     root = str(Path(__file__).resolve().parents[2])
     on_path = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
     sc = spark.sparkContext

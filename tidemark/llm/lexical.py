@@ -27,7 +27,7 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 K = 10
 #: bytes of text of a shard; a longer text is a shard by itself
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: terms of the queries of a block (a longer query is a block by itself), and of the blocks that are broadcast at once (some 40 bytes each)
 BLOCK_TERMS, ROUND_TERMS = 100_000, 1_000_000
 #: parts into which the tasks' lists of a query are merged first
