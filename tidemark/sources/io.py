@@ -61,6 +61,22 @@ def dead_letters(df: DataFrame, payload: str, schema: str) -> tuple[DataFrame, D
     return parsed.filter(~bad).select(*df.columns, "_p.*"), df.filter(bad)
 
 
+def envelopes(df: DataFrame, payload: str, schema: str, source: str, at: str) -> DataFrame:
+    """SNK7: the rows of ``df`` whose payload does not parse, each as an audit envelope: source, reason, payload, its length and digest, and when it was seen.
+
+    A payload that is null, no JSON, or JSON but no object is dead; a field that does not fit
+    the schema makes it dead too, a field that is absent does not.
+    """
+    text = F.col(payload)
+    parsed = F.try_parse_json(payload)
+    fields = F.from_json(payload, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    reason = (
+        F.when(text.isNull(), "missing").when(parsed.isNull(), "no JSON").when(~F.schema_of_variant(parsed).startswith("OBJECT"), "no object").when(fields["_bad"].isNotNull(), "does not fit the schema")
+    )
+    rows = df.withColumn("reason", reason).filter("reason is not null")
+    return rows.select(F.lit(source).alias("source"), "reason", text.alias("payload"), F.length(payload).alias("length"), F.sha2(payload, 256).alias("digest"), F.col(at).alias("seen_at"))
+
+
 def exposition(name: str, label: str, key: Column, value: Column) -> Column:
     """SNK6: one gauge in text form."""
     return F.format_string(f'{name}{{{label}="%s"}} %d', key, value)

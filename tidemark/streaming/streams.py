@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tidemark.sources.io import envelopes
+
 
 def events(spark: SparkSession, folder: str, glob: str = "events.parquet", files_per_trigger: int = 1) -> DataFrame:
     """SRC6: the event table as a stream, with an event time in the session's zone."""
@@ -60,3 +62,27 @@ def to_parquet(df: DataFrame, path: str, checkpoint: str, mode: str = "append")
     if mode == "update":
         return spark.read.schema(StructType(df.schema.fields + [StructField("batch", LongType())])).parquet(path)
     return spark.read.parquet(f"{path}/batch={last[-1]}") if last else spark.createDataFrame([], df.schema)
+
+
+def split_dead_letters(df: DataFrame, payload: str, schema: str, source: str, at: str, folder: str) -> dict[str, int]:
+    """SNK7 as a stream: each batch goes to two Parquet sinks under ``folder``, ``good`` (parsed) and ``dead`` (envelopes).
+
+    A batch is written to folders of its number, so a batch that is run again adds nothing. Returns
+    the counts of all batches of this run, observed while they were written: good, dead and all.
+    """
+    counts = {"good": 0, "dead": 0, "all": 0}
+
+    def write(batch: DataFrame, number: int) -> None:
+        dead = envelopes(batch, payload, schema, source, at)
+        good = batch.filter(F.coalesce(F.schema_of_variant(F.try_parse_json(payload)).startswith("OBJECT"), F.lit(False)))
+        good = good.withColumn("fields_", F.from_json(payload, f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})).filter("fields_._bad is null")
+        good = good.select(*df.columns, F.struct(*[F.col(f"fields_.{f.name}").alias(f.name) for f in good.schema["fields_"].dataType if f.name != "_bad"]).alias("fields"))
+        seen = {}
+        for name, rows in (("good", good), ("dead", dead)):
+            seen[name] = Observation()
+            rows.observe(seen[name], F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+            counts[name] += seen[name].get["n"]
+        counts["all"] += batch.count()
+
+    df.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    return counts
