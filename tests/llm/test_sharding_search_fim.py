@@ -177,3 +177,17 @@ def test_lexical_ties_at_the_border(spark):
     docs = [(i, "tie word") for i in range(500, 0, -1)] + [(1000 + i, "other text here") for i in range(700)]
     got = lexical.search(lexical.build(spark.createDataFrame(docs, "doc_id long, text string").repartition(7), shard_bytes=100), spark.createDataFrame([(1, "tie")], "item_id long, text string"))
     assert [(r["rank"], r.doc_id) for r in got.orderBy("rank").collect()] == [(k, k) for k in range(1, 11)]
+
+
+def test_top_k_in_rounds(spark, monkeypatch):
+    """Query tiles that need a round each give the rows of one round."""
+    from tidemark.llm import topk
+
+    rng = random.Random(12)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4 if i % 9 else 3)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    read = lambda x: sorted(tuple(r) for r in x.collect())
+    want = read(topk.top_k(df, "vec_id % 3 = 0", k=5))
+    monkeypatch.setattr(topk, "ROUND_BYTES", 1)
+    assert read(topk.top_k(df, "vec_id % 3 = 0", k=5, query_tile=16, shard=40)) == want and len(want) == 500
+    assert topk.top_k(df, "vec_id < 0").count() == 0

@@ -1,9 +1,10 @@
 """Exact top-k inner products: tiled matrix products, selection per tile, tree merging of the lists.
 
 Vectors are packed into tiles of rows (ids and one matrix each). Every tile of queries meets
-every shard of candidates in one row of a join on block numbers; a task multiplies the two
-matrices and keeps each query's k best. These lists are merged ``FAN_IN`` at a time until one
-is left. Nothing is broadcast or collected, and no task holds more than two tiles.
+every shard of candidates where the shard lies: a bounded number of query tiles is broadcast at
+once, in as many rounds as they need, and no candidate is shuffled again. A task multiplies the
+two matrices and keeps each query's k best. These lists are merged ``FAN_IN`` at a time until
+one is left. No task holds more than two tiles beside the broadcast ones.
 """
 
 from __future__ import annotations
@@ -12,12 +13,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import broadcast
 
 from .common import materialize
 
 K, SCALE = 20, 64.0
 QUERY_TILE, SHARD = 2048, 4096
 FAN_IN = 8
+#: bytes of query tiles that are broadcast at once
+ROUND_BYTES = 64 << 20
 NO_ID = 2**63 - 1
 
 
@@ -86,6 +90,19 @@ def _best(k: int):
     return run
 
 
+def _rounds(tiles: DataFrame):
+    """(first, last) block of each round: in order of their numbers, ``ROUND_BYTES`` at most or one tile."""
+    first = last = None
+    room = 0
+    for r in tiles.select("block", F.expr("octet_length(q_matrix) + octet_length(q_ids) + octet_length(q_rows)").alias("n")).orderBy("block").toLocalIterator():
+        if first is not None and room + r.n > ROUND_BYTES:
+            yield first, last
+            first, room = None, 0
+        first, last, room = r.block if first is None else first, r.block, room + r.n
+    # without a query there is an empty round
+    yield (first, last) if first is not None else (0, -1)
+
+
 def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, scale: float = SCALE, query_tile: int = QUERY_TILE, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best inner products of floor(scale * x), ties to the smaller id.
 
@@ -105,10 +122,12 @@ def top_k(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "
     q_tiles = materialize(tiles(queries, query_tile, nq), "tiles").select(F.monotonically_increasing_id().alias("block"), "dim", *[F.col(c).alias(f"q_{c}") for c in ("kind", "rows", "ids", "matrix")])
     q_tiles = materialize(q_tiles, "blocks")
     # the stated queries against all rows, in blocks: one row for each tile and shard
-    blocks = q_tiles.select("block", "dim")
-    met = c_tiles.join(blocks, "dim").join(q_tiles, ["block", "dim"])
-    met = met.repartition(max(1, min(met.sparkSession.sparkContext.defaultParallelism * 4, -(-n // shard) * -(-max(nq, 1) // query_tile))), "block", "part")
-    lists = materialize(met.select("dim", "part", *[x + c for x in ("", "q_") for c in ("kind", "rows", "ids", "matrix")]).mapInArrow(_best(k), "query long, query_id long, part long, best array<struct<worse:bigint,vec_id:bigint>>"), "lists")
+    lists = None
+    for first, last in _rounds(q_tiles):
+        some = broadcast(q_tiles.filter(F.col("block").between(first, last)))
+        met = c_tiles.join(some, "dim").select("dim", "part", *[x + c for x in ("", "q_") for c in ("kind", "rows", "ids", "matrix")])
+        found = materialize(met.mapInArrow(_best(k), "query long, query_id long, part long, best array<struct<worse:bigint,vec_id:bigint>>"), "lists")
+        lists = found if lists is None else lists.unionAll(found)
     lists = lists.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(1 << 30)))
     parts = max(1, c_tiles.count())
     while parts > 1:
