@@ -137,12 +137,23 @@ def test_fingerprint_cells(spark):
         assert r.fingerprint == ";".join(f"{n}:{k:x}:{h:x}" if n else "" for n, k, h in cells)
 
 
-def test_fingerprint_ranges(spark):
-    rng = random.Random(4)
-    for n in (0, 1, 2, 7, 50, 300):
-        cuts = sorted(rng.sample(range(-500, 500), n))
-        df = spark.range(-510, 510).select("id", F.expr(fingerprints._range_of("id", cuts)).alias("r"))
-        assert all(r.r == sum(x <= r.id for x in cuts) for r in df.collect())
+@pytest.mark.parametrize(("buckets", "coarse"), [(1, 1024), (16, 1024), (60, 1024), (60, 8)])
+def test_fingerprint_ranges(spark, monkeypatch, buckets, coarse):
+    """Next texts over hot ids, null ids, extremes and equal rows; ranges keep the order, and a hot id is cut."""
+    monkeypatch.setattr(fingerprints, "COARSE", coarse)
+    rng = random.Random(buckets)
+    rows = [(rng.choice([rng.randrange(-50, 50), rng.randrange(10**12), 7, 7, 7, None, None]), rng.choice([None, "", "same"] + [f"t{k}"] * 9)) for k in range(700)] + [(2**63 - 1, "z"), (-(2**63), "a"), (2**63 - 1, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    h = {t or "": xxhash.xxh64_intdigest((t or "").encode(), seed=42) for _, t in rows}
+    key = lambda r: (r[0] is not None, r[0] or 0, h[r[1] or ""] - (h[r[1] or ""] >> 63 << 64), r[1] or "")
+    order = sorted(rows, key=key)
+    want = sorted(((i is not None, i or 0, t or "", order[(k + 1) % len(order)][1] or "") for k, (i, t) in enumerate(order)))
+    got = fingerprints.with_next_text(df, buckets=buckets).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.text, r.next_text) for r in got) == want
+    if buckets > 1:
+        keys = df.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+        counts = [r["count"] for r in fingerprints._ranges(keys, buckets, len(rows))(keys).groupBy("range").count().collect()]
+        assert max(counts) < 150 and len(counts) > buckets / 2
 
 
 def test_fingerprint_differences_recover_all(spark):

@@ -12,8 +12,6 @@ is a row of its own, so a long text is many small rows and never one large task.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,50 +99,83 @@ def _summed(parts: DataFrame) -> DataFrame:
     return parts.groupBy("key").agg(F.sum("only_a").alias("only_a"), F.sum("only_b").alias("only_b"), F.max("level").alias("levels"))
 
 
-#: text in one range of ids, about, and ranges at most
-RANGE_BYTES, MOST_RANGES = 16 << 20, 1 << 16
+#: text in one range of ids, about, and ranges that the first step tells apart
+RANGE_BYTES, COARSE = 16 << 20, 1024
+
+
+def _below(array: str, column: str) -> str:
+    return f"size(filter({array}, c_ -> c_ <= {column}))"
+
+
+def _cuts(quantiles: str) -> str:
+    """Sorted distinct cuts of some quantiles; an id that fills a range or more is cut off behind as well, so that it is a range by itself."""
+    again = f"filter({quantiles}, (x, i) -> i > 0 and x = {quantiles}[i - 1] and x < {(1 << 63) - 1}L)"
+    return f"array_sort(array_distinct(concat({quantiles}, transform({again}, x -> x + 1L))))"
+
+
+#: ranges whose cuts or heads may be broadcast (some 50 bytes each)
+BROADCAST_RANGES = 500_000
+
+
+def _ranges(keys: DataFrame, buckets: int, n: int):
+    """A function that gives rows with (doc_id, h) their ``range``, a struct that orders ranges of about equal counts; null ids first.
+
+    Quantiles of all ids give coarse ranges, quantiles within each of them fine ones, which are
+    looked up in a small table, and a range that one id (or null) overfills is cut by the hash of
+    its texts. Neither the plan nor a task's state grows with the number of ranges.
+    """
+    coarse = min(buckets, COARSE)
+    fine, least = -(-buckets // coarse), max(1, -(-n // buckets))
+    small = F.broadcast if buckets <= BROADCAST_RANGES else lambda df: df
+    quantiles = lambda k: F.percentile_approx("doc_id", [i / k for i in range(1, k)], max(10000, 10 * k)) if k > 1 else F.lit(None).cast("array<bigint>")
+    cuts = materialize(keys.agg(F.count("*"), quantiles(coarse).alias("q")).select(F.expr(f"coalesce({_cuts('q')}, cast(array() as array<bigint>))").alias("coarse_cuts")), "cuts")
+    first = lambda rows: rows.crossJoin(F.broadcast(cuts)).withColumn("a", F.expr(f"if(doc_id is null, -1, {_below('coarse_cuts', 'doc_id')})")).drop("coarse_cuts")
+    inner = None if fine == 1 else materialize(first(keys).groupBy("a").agg(quantiles(fine).alias("q")).select("a", F.expr(_cuts("q")).alias("fine_cuts")), "cuts")
+
+    def second(rows: DataFrame) -> DataFrame:
+        if inner is None:
+            return first(rows).withColumn("b", F.lit(0))
+        return first(rows).join(small(inner), "a").withColumn("b", F.expr(f"coalesce({_below('fine_cuts', 'doc_id')}, 0)")).drop("fine_cuts")
+
+    many = second(keys).groupBy("a", "b").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    many = many.filter((F.col("n") > 4 * least) & F.col("low").eqNullSafe(F.col("high"))).select("a", "b", F.ceil(F.col("n") / least).cast("double").alias("k"))
+    many = materialize(many, "cuts")
 
+    def third(rows: DataFrame) -> DataFrame:
+        columns = rows.columns
+        part = F.when(F.col("k").isNull(), 0).otherwise(F.floor((F.col("h").cast("double") / float(1 << 64) + 0.5) * F.col("k"))).cast("long")
+        return second(rows).join(small(many), ["a", "b"], "left").select(*columns, F.struct("a", "b", part.alias("c")).alias("range"))
 
-def _range_of(column: str, cuts: list[int]) -> str:
-    """SQL for how many of the sorted ``cuts`` are at most ``column``, in two steps of about the root of their number."""
-    if not cuts:
-        return "0"
-    step = math.isqrt(len(cuts)) + 1
-    longs = lambda xs: f"array({', '.join(f'{x}L' for x in xs)})"
-    parts = [cuts[i : i + step] for i in range(0, len(cuts), step)]
-    below = lambda array: f"size(filter({array}, c -> c <= {column}))"
-    inner = below(f"element_at(array({', '.join(map(longs, parts))}), j)")
-    return f"transform(array({below(longs(p[0] for p in parts))}), j -> if(j = 0, 0, (j - 1) * {step} + {inner}))[0]"
+    return third
 
 
 def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """(doc_id, text, next_text): each document beside the next one by ascending id; the last gets the first.
 
-    Null texts read as empty; null ids come first; equal ids are ordered by text. Rows are
-    dealt to ``buckets`` ranges of about equal size by percentiles of the id (by default one for
-    each ``RANGE_BYTES`` of text), so that no task holds the whole order. A copy of each range's
-    first row goes to the end of the range before it. An empty table gives an empty result; a
-    lone row is its own successor.
+    Null texts read as empty; null ids come first; equal ids are ordered by a hash of the text,
+    then by the text. Rows are dealt to about ``buckets`` ranges of equal counts (by default one
+    for each ``RANGE_BYTES`` of text), so that no task holds the whole order, nor all rows of one
+    id, but for equal rows. A copy of each range's first row goes to the end of the range before
+    it. An empty table gives an empty result; a lone row is its own successor.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if buckets is None:
-        size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        buckets = min(max(-(-size // RANGE_BYTES), 16), MOST_RANGES)
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], max(10000, 10 * buckets))).first()[0] or []
-    rows = rows.withColumn("bucket", F.expr(f"if(doc_id is null, 0, {_range_of('doc_id', sorted(set(cuts)))})"))
-    # at most ``buckets`` rows
-    firsts = sorted((r["bucket"], r["nil"], r["low"]) for r in rows.groupBy("bucket").agg(F.min("doc_id").alias("low"), (F.count("*") > F.count("doc_id")).alias("nil")).collect())
-    if not firsts:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    keys = materialize(rows.select("doc_id", "h", F.octet_length("text").alias("size")), "ids")
+    size = keys.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("n")).first()
+    if not size.n:
         return rows.select("doc_id", "text", F.lit("").alias("next_text")).limit(0)
-    heads = [(firsts[i - 1][0], None if firsts[i][1] else firsts[i][2]) for i in range(len(firsts))]
-    heads_df = spark.createDataFrame(heads, "bucket int, head long")
-    known = [h for _, h in heads if h is not None]
-    first_texts = rows.filter(F.col("doc_id").isin(known) | F.col("doc_id").isNull()).groupBy("doc_id").agg(F.min("text").alias("text"))
-    extra = first_texts.join(F.broadcast(heads_df), F.col("doc_id").eqNullSafe(F.col("head"))).select("bucket", "text", F.lit(1).alias("extra"))
-    every = rows.withColumn("extra", F.lit(0)).unionByName(extra, allowMissingColumns=True)
-    order = Window.partitionBy("bucket").orderBy("extra", F.col("doc_id").asc_nulls_first(), "text")
-    return every.withColumn("next_text", F.lead("text").over(order)).filter("extra = 0").select("doc_id", "text", "next_text")
+    buckets = max(-(-size.bytes // RANGE_BYTES), 16) if buckets is None else buckets
+    ranged = _ranges(keys.select("doc_id", "h"), buckets, size.n)
+    # the first row of each range goes behind the range before, that of the first range behind the last
+    heads = ranged(keys.select("doc_id", "h")).groupBy("range").agg(F.min(F.struct("doc_id", "h")).alias("head"))
+    before = F.coalesce(F.lag("range").over(Window.orderBy("range")), F.max("range").over(Window.partitionBy()))  # a row for each range
+    heads = materialize(heads.select(before.alias("range"), F.col("head.doc_id").alias("low"), F.col("head.h").alias("low_h")), "heads")
+    few = F.broadcast(heads) if buckets <= BROADCAST_RANGES else heads
+    firsts = rows.join(few, F.col("doc_id").eqNullSafe(F.col("low")) & (F.col("h") == F.col("low_h"))).groupBy("range").agg(F.min("text").alias("text"))
+    extra = firsts.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(None).cast("long").alias("h"), "range", F.lit(1).alias("extra"))
+    every = ranged(rows).withColumn("extra", F.lit(0)).unionByName(extra)
+    own = Window.partitionBy("range").orderBy("extra", F.col("doc_id").asc_nulls_first(), "h", "text")
+    return every.withColumn("next_text", F.lead("text").over(own)).filter("extra = 0").select("doc_id", "text", "next_text")
 
 
 def edited_versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:

@@ -10,17 +10,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, text_slices
+from .common import free_name, materialize, text_slices
 from .shingles import words
 
 SLICE_BYTES = 1 << 20
 PASSAGE_WORDS = 64
 HASHED = 32
-#: at most so many labelled documents are fitted, with all their passages
+#: at most so many labelled documents are fitted, with all their passages, and about so many bytes of text
 FIT_DOCUMENTS = 2048
+FIT_BYTES = 256 << 20
 HIDDEN, ATTENTION = 16, 8
 
 _CLASS = np.zeros(256, np.int64)
@@ -118,17 +119,23 @@ def _bags(batches):
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], names=["doc_id", "y", "bag"])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_documents: int = FIT_DOCUMENTS) -> dict:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_documents: int = FIT_DOCUMENTS, fit_bytes: int = FIT_BYTES) -> dict:
     """Fit on at most ``fit_documents`` labelled documents, those with the least hash of their id.
 
-    A document labelled more than once counts with its largest label; null ids and labels are
-    left out. Without a labelled document, or with one label only, the model scores that
+    In that order documents are taken until their texts reach ``fit_bytes``; the one that does is
+    the last. A document labelled more than once counts with its largest label, of rows of one id
+    the least text counts; null ids and labels are left out. Without a labelled document, or with one label only, the model scores that
     label's share (0.5 without any).
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).dropna()
     known = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_documents)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "doc_id").select("doc_id", "y", "text")
-    rows = sorted(texts.mapInArrow(_bags, "doc_id long, y double, bag binary").collect())[:fit_documents]
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
+    # one row an id, so that neither repeated ids nor long texts swell what the driver gets
+    texts = materialize(texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")), "fit")
+    before = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = texts.select("doc_id", F.coalesce(before, F.lit(0)).alias("before"))  # at most ``fit_documents`` rows
+    texts = texts.join(F.broadcast(sizes.filter(F.col("before") < fit_bytes).select("doc_id")), "doc_id").select("doc_id", "y", "text")
+    rows = sorted(texts.mapInArrow(_bags, "doc_id long, y double, bag binary").collect())
     x = [np.frombuffer(r.bag, np.float32).reshape(-1, DIM) for r in rows]
     y = np.array([r.y for r in rows])
     if not rows or y.min() == y.max():
