@@ -44,11 +44,15 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_dir(spark)}/tidemark-{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+#: for rows of megabytes: the writer looks at its buffers after each row, not each hundredth, and cuts row groups that a reader holds whole
+LARGE_ROWS = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
+
+
+def materialize(df: DataFrame, tag: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

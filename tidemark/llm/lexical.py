@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import broadcast
 
-from .common import materialize, text_slices
+from .common import LARGE_ROWS, materialize, text_slices
 
 #: a term: ASCII letters and digits and all beyond ASCII
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -115,10 +115,10 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     them, which no id may be). An empty table gives an empty index. Extra columns are ignored.
     """
     rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)), F.col(f"`{text_col}`"))
-    postings = materialize(rows.mapInArrow(_postings(shard_bytes), _SHARD), "postings")
+    postings = materialize(rows.mapInArrow(_postings(shard_bytes), _SHARD), "postings", LARGE_ROWS)
     counts = postings.agg(F.coalesce(F.sum("n_docs"), F.lit(0)).alias("d"), F.coalesce(F.sum("n_terms"), F.lit(0)).alias("t")).first()
     shards = postings.mapInArrow(_with_impacts(counts.d, counts.t), _SHARD.replace("tf binary", "impacts binary"))
-    return Index(materialize(shards, "impacts"), counts.d, counts.t)
+    return Index(materialize(shards, "impacts", LARGE_ROWS), counts.d, counts.t)
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
