@@ -330,9 +330,8 @@ def tx1_lexicon(s, d):
 def tx1_lexicon_all(s, d):
     """The same terms by one automaton, as for a lexicon of any size."""
     terms = s.createDataFrame([(i, "all", t, 1) for i, t in enumerate(("secret", "password", "token", "the"))], "position int, category string, term string, weight int")
-    hits = lexicon.term_hits(documents(s, d).filter("text is not null"), "text", terms, T.normalize_arabic, ("doc_id",))
-    none = documents(s, d).filter("text is null").select("doc_id", F.lit(None).cast("string").alias("terms"))
-    return hits.select("doc_id", F.array_join(F.transform("hits", lambda x: x["term"]), " ").alias("terms")).unionAll(none)
+    hits = lexicon.term_hits(documents(s, d), "text", terms, T.normalize_arabic, ("doc_id",))
+    return hits.select("doc_id", F.array_join(F.transform("hits", lambda x: x["term"]), " ").alias("terms"))
 
 
 _TERMS = r"""with w as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) term from benchmark),
