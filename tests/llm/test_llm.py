@@ -452,7 +452,7 @@ def test_top_k_of_one_id_with_two_vectors(spark):
     assert got == [(20, 1, 3, 4096), (20, 1, 3, 4096), (20, 2, 20, 0), (20, 2, 20, 0)]
 
 
-EMPTY = {"documents": DOC, "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string", "conversations": "conv_id long, turn long, role string, text string", "embeddings": "vec_id long, embedding array<float>, label int"}
+EMPTY = {"documents": DOC, "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string", "conversations": "conv_id long, turn long, role string, text string", "embeddings": "vec_id long, embedding array<float>, label int", "benchmark": "item_id long, text string"}
 
 
 @pytest.mark.parametrize("name", registry.QUERIES)
@@ -464,7 +464,7 @@ def test_empty_tables(spark, tmp_path, name):
 
 @pytest.mark.parametrize("name", registry.QUERIES)
 def test_null_columns(spark, tmp_path, name):
-    rows = {"documents": (None,) * 5, "labels": (None,) * 3, "pages": (None,) * 3, "conversations": (None,) * 4, "embeddings": (None,) * 3}
+    rows = {"documents": (None,) * 5, "labels": (None,) * 3, "pages": (None,) * 3, "conversations": (None,) * 4, "embeddings": (None,) * 3, "benchmark": (None,) * 2}
     for t, schema in EMPTY.items():
         spark.createDataFrame([rows[t], rows[t]], schema).write.parquet(str(tmp_path / f"{t}.parquet"))
     registry.QUERIES[name](spark, str(tmp_path)).collect()
