@@ -18,6 +18,40 @@ def since(ts: str, as_of: str, interval: str) -> Column:
     return F.col(ts) >= F.expr(f"timestamp_ntz'{as_of}' - interval {interval}")
 
 
+def lead_window(as_of: str, status: str | None = None, tier: str | None = None, search: str | None = None, window: str = "24 hours") -> Column:
+    """FLT2, FLT3, FLT6: the window view's condition over the leads' columns.
+
+    Four clauses always hold: discovered within ``window``, no user account by reason or type, a
+    plain name. ``status`` adds one more (none, ``verified`` and ``scanned``: something is known of
+    the lead; an unknown one adds nothing), ``tier`` (but ``all``) and ``search`` theirs; the search is
+    for a part of name, description or contact, without regard to case, ``%`` and ``_`` being
+    wildcards. The two halves of ``with_contact`` are joined by an OR without brackets: what comes
+    before belongs to the contact, what follows to the phone.
+    """
+    filled = lambda name: F.coalesce(F.col(name) != "", F.lit(False))
+    other = lambda name, value: F.col(name).isNull() | (F.col(name) != value)
+    score, new = F.col("lead_score"), F.col("status") == "new"
+    base = [since("discovered_at", as_of, window), other("outreach_priority_reason", "user_account"), other("entity_type", "user"), F.col("channel_username").rlike(r"^[a-zA-Z0-9_]{4,32}\z")]
+    mode = (status or "verified").lower()
+    if mode in ("verified", "scanned"):
+        base.append((F.col("member_count") > 0) | (score >= 10) | filled("description"))
+    elif mode in ("new", "qualified"):
+        base.append(new & ((score >= 10) | F.col("tier").isNotNull()))
+    elif mode == "rejected":
+        base.append(F.col("status") == "rejected")
+    elif mode == "pending_scan":
+        base.append(new & score.isNull() & F.col("tier").isNull())
+    after = []
+    if tier and tier.lower() != "all":
+        after.append(F.col("tier") == tier)
+    if search and search.strip():
+        term = F.lit(f"%{search.strip()}%")
+        after.append(F.ilike("channel_username", term) | F.ilike("description", term) | F.ilike("contact_username", term))
+    if mode == "with_contact":
+        return conjunction([*base, filled("contact_username")]) | conjunction([filled("whatsapp"), *after])
+    return conjunction([*base, *after])
+
+
 def kpis(df: DataFrame, counts: dict[str, Column], means: dict[str, Column]) -> DataFrame:
     """AG1: filtered counts and means in one pass."""
     return df.agg(F.count("*").alias("total"), *[F.count_if(c).alias(k) for k, c in counts.items()], *[F.round(F.avg(c), 1).alias(k) for k, c in means.items()])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import commercial as K
 from tidemark.operators.eligibility import eligibility
 from tidemark.plans.catalog import LEADS, ORACLES, c, customer, documents, orders, query
-from tidemark.plans.scored import _USERS, users
+from tidemark.plans.scored import _DAYS, _USERS, user_days, users
 from tidemark.sources.io import leads
 
 CORE, SIGNALS, VIP, MANAGED = ["the", "and", "que", "der"], ["to", "of", "les", "und", "en"], ["tion", "vip"], ["sch"]
@@ -51,7 +51,7 @@ def sc23_legacy(s, d):
     return leads(s, d).select("id", card.alias("x")).select("id", "x.*")
 
 
-_MODELS = f"""{_USERS}, f as (select *, k >= 2 a, e >= 2 b, p >= 2 g, s >= 2 i, v >= 2 j from u),
+_MODELS = f"""{_DAYS}, f as (select *, k >= 2 a, e >= 2 b, p >= 2 g, s >= 2 i, v >= 2 j from u),
 x as (select *, a::int + b::int + g::int + i::int + j::int models, least(20, 12 * a::int + 10 * b::int + 10 * g::int + 8 * i::int + 8 * j::int) model_score from f),
 y as (select *, least(35, case when p >= 3 or (models >= 1 and p >= 1) then 15 when p >= 1 then 10 else 0 end + case when k >= 2 or (s = 1 and models >= 1) then 10 when k >= 1 then 6 else 0 end + case when e > 0 then 8 else 0 end + case when v > 4 then 4 else 0 end) commercial,
 least(15, case when d >= 6 or w >= 30 then 5 when d >= 2 or w >= 10 then 3 when m >= 15 then 2 else 0 end + case when e >= 3 then 4 when e >= 1 then 2 else 0 end + case when v >= 1 and e >= 1 then 3 when v >= 1 then 2 else 0 end + case when s >= 2 then 3 else 0 end) complexity from x)"""
@@ -59,7 +59,7 @@ least(15, case when d >= 6 or w >= 30 then 5 when d >= 2 or w >= 10 then 3 when
 
 def _models(s, d):
     card = K.business_models(dict(zip(K.MODEL_POINTS, (c("k") >= 2, c("e") >= 2, c("p") >= 2, c("s") >= 2, c("v") >= 2), strict=True)))
-    rows = users(s, d).withColumn("b", card).withColumn("models", F.size("b.models"))
+    rows = user_days(s, d).withColumn("b", card).withColumn("models", F.size("b.models"))
     rows = rows.withColumn("commercial", K.commercial_activity(c("p"), c("k"), c("e"), c("models"), c("s") == 1, c("v") > 4))
     return rows.withColumn("complexity", K.complexity(c("d"), c("w"), c("m"), c("e"), c("v") >= 1, c("s")))
 

@@ -112,11 +112,12 @@ def st2_marks(s, d):
     return intake.marks(old, events(s, d).filter("ts >= timestamp_ntz'2024-01-25' and user_id % 2 = 0"), "user_id", "event_id", "ts", AS_OF, 21)
 
 
-@query("with k as (select distinct p_brand v, 0.9::double confidence, 3::bigint n from part where p_size > 10), f as (select p_brand v, count(*) n from part where p_size % 7 = 0 group by 1) select k.v \"value\", least(1.0::double, confidence + coalesce(f.n, 0) * 0.02::double) confidence, k.n + coalesce(f.n, 0) discoveries from k left join f using (v)")
+@query("""with t as (select *, p_brand || ' ' || p_type v from part), k as (select distinct v, 0.9::double confidence, length(v)::bigint n from t where p_size > 10), f as (select v, count(*) n from t where p_size % 3 = 0 group by 1)
+    select k.v "value", round(least(1.0::double, confidence + coalesce(f.n, 0) * 0.02::double), 9) confidence, k.n + coalesce(f.n, 0) discoveries from k left join f using (v)""")
 def lm12_yields(s, d):
-    part = table(s, d, "part")
-    known = part.filter("p_size > 10").select(c("p_brand").alias("value")).distinct().select("value", F.lit(0.9).alias("confidence"), F.lit(3).cast("long").alias("discoveries"))
-    return intake.yields(known, part.filter("p_size % 7 = 0").select(c("p_brand").alias("value")))
+    part = table(s, d, "part").withColumn("value", F.concat("p_brand", F.lit(" "), "p_type"))
+    known = part.filter("p_size > 10").select("value").distinct().select("value", F.lit(0.9).alias("confidence"), F.length("value").cast("long").alias("discoveries"))
+    return intake.yields(known, part.filter("p_size % 3 = 0").select("value")).withColumn("confidence", F.round("confidence", 9))
 
 
 @query("""with v as (select 'c' || c_custkey id, c_name "name", c_mktsegment platform, case when c_custkey % 2 = 0 then 'u' || c_custkey end url from customer),

@@ -28,6 +28,21 @@ def users(s, d):
     )
 
 
+_DAYS = f"""u as (select user_id * 100 + day(ts) user_id, count(*) m, count(*) filter (hour(ts) < 12) d, count(*) filter (value > 30) w,
+    count(*) filter (event_type = 'click') k, count(*) filter (event_type = 'error') e, count(*) filter (event_type = 'purchase') p, count(*) filter (event_type = 'signup') s, count(*) filter (event_type = 'view') v,
+    (epoch_us(timestamp '{AS_OF}') - epoch_us(max(ts))) / 3.6e9 h from events group by 1)"""
+
+
+def user_days(s, d):
+    """The same counts for each user and day of the month, which lie around the scorecards' bounds."""
+    n = lambda t: F.count_if(c("event_type") == t)
+    hours = (F.unix_micros(F.lit(AS_OF).cast("timestamp")) - F.unix_micros(F.max("ts").cast("timestamp"))) / 3.6e9
+    return events(s, d).groupBy((c("user_id") * 100 + F.day("ts")).alias("user_id")).agg(
+        F.count("*").alias("m"), F.count_if(F.hour("ts") < 12).alias("d"), F.count_if(c("value") > 30).alias("w"),
+        n("click").alias("k"), n("error").alias("e"), n("purchase").alias("p"), n("signup").alias("s"), n("view").alias("v"), hours.alias("h"),
+    )
+
+
 @query("select c_custkey, n_name, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey")
 def jn1_inner(s, d):
     n, r = table(s, d, "nation"), table(s, d, "region")
@@ -69,6 +84,31 @@ def flt2_window(s, d):
     return orders(s, d).filter(keep).select("o_orderkey")
 
 
+_WINDOW = f"""with l as (select o_orderkey id, case when o_orderkey % 17 = 0 then 'a-b' || o_orderkey when o_orderkey % 13 = 0 then 'abc' else 'chan_' || o_orderkey end "name", o_orderdate seen, case o_orderkey % 19 when 0 then 'user_account' when 1 then 'other' end reason,
+    case o_orderkey % 23 when 0 then 'user' when 1 then 'channel' end entity, (o_orderkey % 3)::int members, case when o_orderkey % 5 > 0 then (o_orderkey % 21)::int end score, case o_orderkey % 4 when 0 then '' when 1 then o_orderpriority end about, case o_orderstatus when 'P' then 'rejected' else 'new' end status,
+    case when o_custkey % 3 = 0 then 'A' when o_custkey % 3 = 1 then 'B' end tier, case o_custkey % 7 when 0 then '' when 1 then 'HighRoller' when 2 then 'bob' end contact, case when o_custkey % 11 = 0 then '+1' end phone from orders),
+    b as (select *, seen >= timestamp '2001-08-01' - interval 400 day and (reason is null or reason <> 'user_account') and (entity is null or entity <> 'user') and regexp_full_match("name", '[a-zA-Z0-9_]{{4,32}}') base,
+        "name" ilike '%igh%' or about ilike '%igh%' or contact ilike '%igh%' found from l)
+    select 'verified' mode, id from b where base and (members > 0 or score >= 10 or (about is not null and about <> '')) union all select 'new', id from b where base and status = 'new' and (score >= 10 or tier is not null) and found
+    union all select 'rejected', id from b where base and status = 'rejected' and tier = 'A' union all select 'with_contact', id from b where (base and contact is not null and contact <> '') or (phone is not null and phone <> '' and tier = 'B' and found)
+    union all select 'pending_scan', id from b where base and status = 'new' and score is null and tier is null union all select 'all', id from b where base and tier = 'B' and found"""
+
+
+@query(_WINDOW)
+def flt2_modes(s, d):
+    """All modes of the window view, with tier and search where the view allows them."""
+    k, n = c("o_orderkey"), c("o_custkey")
+    rows = orders(s, d).select(
+        k.alias("id"), F.when(k % 17 == 0, F.concat(F.lit("a-b"), k)).when(k % 13 == 0, F.lit("abc")).otherwise(F.concat(F.lit("chan_"), k)).alias("channel_username"), c("o_orderdate").alias("discovered_at"),
+        F.when(k % 19 == 0, "user_account").when(k % 19 == 1, "other").alias("outreach_priority_reason"), F.when(k % 23 == 0, "user").when(k % 23 == 1, "channel").alias("entity_type"), (k % 3).cast("int").alias("member_count"),
+        F.when(k % 5 > 0, (k % 21).cast("int")).alias("lead_score"), F.when(k % 4 == 0, "").when(k % 4 == 1, c("o_orderpriority")).alias("description"), F.when(c("o_orderstatus") == "P", "rejected").otherwise("new").alias("status"),
+        F.when(n % 3 == 0, "A").when(n % 3 == 1, "B").alias("tier"), F.when(n % 7 == 0, "").when(n % 7 == 1, "HighRoller").when(n % 7 == 2, "bob").alias("contact_username"), F.when(n % 11 == 0, "+1").alias("whatsapp"),
+    )
+    asked = {"verified": (None, None), "new": (None, " igh "), "rejected": ("A", ""), "with_contact": ("B", "igh"), "pending_scan": ("all", None), "all": ("B", "IGH")}
+    modes = F.array_compact(F.array(*[F.when(views.lead_window("2001-08-01 00:00:00", m, tier, search, "400 days"), F.lit(m)) for m, (tier, search) in asked.items()]))
+    return rows.select(F.explode(modes).alias("mode"), "id")
+
+
 @query(f"{LEADS} select id from leads where segment = 'BUILDING' and lead_score >= 50 or tier = 'P0'")
 def flt3_precedence(s, d):
     return leads(s, d).filter("segment = 'BUILDING' and lead_score >= 50 or tier = 'P0'").select("id")
@@ -117,15 +157,17 @@ def dt2_ages(s, d):
     return orders(s, d).select("o_orderkey", F.date_trunc("hour", "o_orderdate").alias("hour"), F.floor(age("2002-01-01", 8.64e10)).alias("age_days"), F.greatest(F.lit(0.0), age("1999-01-01", 3.6e9)).alias("age_hours"))
 
 
-@query(f"with {_USERS} select user_id, case when k + v = 1 and e <= 1 and m >= 5 then 15 else least(100, least(60, k * 12 + v * 10) + least(40, trunc(e / m * 60)::int)) end topic, least(100, p * 18 + trunc(e / m * 50)::int) gold, least(100, s * 15 + k * 18) method_points, least(100, p * 15 + 25 + trunc(s / m * 50)::int) signal from u")
+@query(f"""with {_DAYS}, x as (select *, user_id % 3 = 0 bio, user_id % 5 = 0 core, user_id % 2 = 0 targets from u)
+    select user_id, case when k + v = 1 and e <= 1 and not bio and m >= 5 then 15 else least(100, case when bio then least(60, least(60, k * 12 + v * 10) + 15) else least(60, k * 12 + v * 10) end + least(40, trunc(e / m * 60)::int)) end topic,
+    least(100, case when core then greatest(30, p * 18) else p * 18 end + trunc(e / m * 50)::int) gold, least(100, s * 15 + k * 18) method_points, least(100, p * 15 + case when targets then 25 else 0 end + trunc(s / m * 50)::int) signal from x""")
 def sc1_topic(s, d):
-    no, yes = F.lit(False), F.lit(True)
-    return users(s, d).select("user_id", S.topic_score(c("k"), c("v"), c("e"), c("m"), no).alias("topic"), S.gold_score(c("p"), c("e"), c("m"), no).alias("gold"), S.method_score(c("s"), c("k")).alias("method_points"), S.signal_score(c("p"), c("s"), c("m"), yes).alias("signal"))
+    bio, core, targets = (c("user_id") % n == 0 for n in (3, 5, 2))
+    return user_days(s, d).select("user_id", S.topic_score(c("k"), c("v"), c("e"), c("m"), bio).alias("topic"), S.gold_score(c("p"), c("e"), c("m"), core).alias("gold"), S.method_score(c("s"), c("k")).alias("method_points"), S.signal_score(c("p"), c("s"), c("m"), targets).alias("signal"))
 
 
-@query(f"with {_USERS} select user_id, least(100, 20 + case when m >= 10 then 25 when m >= 3 then 15 else 0 end + case when e >= 3 then 25 when e >= 1 then 15 else 0 end + case when k >= 2 then 15 else 0 end) confidence, greatest(0, 100 - 35 * s) legitimacy from u")
+@query(f"with {_DAYS} select user_id, least(100, 20 + case when m * 2 >= 10 then 25 when m * 2 >= 3 then 15 else 0 end + case when e >= 3 then 25 when e >= 1 then 15 else 0 end + case when user_id % 3 = 0 then 15 else 0 end + case when k >= 2 then 15 else 0 end) confidence, greatest(0, 100 - 35 * s) legitimacy from u")
 def sc11_confidence(s, d):
-    return users(s, d).select("user_id", S.confidence_score(c("m"), c("e"), F.lit(False), c("k")).alias("confidence"), S.legitimacy_score(c("s")).alias("legitimacy"))
+    return user_days(s, d).select("user_id", S.confidence_score(c("m") * 2, c("e"), c("user_id") % 3 == 0, c("k")).alias("confidence"), S.legitimacy_score(c("s")).alias("legitimacy"))
 
 
 @query(f"with {_USERS}, x as (select *, trunc((least(100, k * 9) * 0.28 + least(100, e * 8) * 0.14 + least(100, p * 7) * 0.14 + least(100, s * 6) * 0.10 + 0.0 + 0.0 + 0.0 + 0.0 + 0.0 + 0.0 + 0.0 + least(100, v * 5) * 0.08) * (greatest(0, 100 - 35 * (d % 3)) / 100.0))::int f from u) select user_id, case when k > 2 then f else least(15, f) end final from x")
@@ -158,23 +200,26 @@ def sc31_risk(s, d):
     return users(s, d).select("user_id", S.risk(100 - 8 * c("e"), c("d"), c("e"), c("m"), c("k") * 7, c("s")).alias("x")).select("user_id", "x.*")
 
 
-@query(f"""with {_USERS}, a as (select *, least(100, k * 9) final, least(100, e * 8) topic, least(100, v * 7) central from u),
-    b as (select *, case when h / 24 > 30 and w = 0 and d = 0 then 'DORMANT' when ((final >= 65 and topic >= 40) or central >= 60) and (d >= 6 or w >= 30 or p * 10 >= 80 or h <= 24) then 'HOT'
-        when (final >= 45 and topic >= 25) or d >= 6 or w >= 30 or p * 10 >= 80 or central >= 35 then 'WARM' when final >= 30 or w >= 3 or p * 10 >= 40 then 'NORMAL' when m >= 1 then 'COLD' else 'DORMANT' end tier from a),
-    z as (select *, case tier when 'HOT' then 240 when 'WARM' then 1080 when 'NORMAL' then 4320 when 'COLD' then 14400 else 43200 end
-        * case when final >= 75 or central >= 60 then 0.75 when final <= 25 and central <= 15 then 1.35 else 1.0 end::double * case when s * 12 >= 70 then 0.8 else 1.0 end::double * case when e % 4 > 0 then least(4.0, 1.5::double ** (e % 4)) else 1.0 end::double x from b)
-    select user_id, tier, least(43200, greatest(120, trunc(x)::int)) \"minutes\", case when user_id % 2 = 0 then 'incremental' when tier = 'HOT' and final >= 70 then 'deep' when tier in ('WARM', 'NORMAL') then 'standard' else 'light' end depth,
-        case when user_id % 2 = 0 then 100 when tier = 'HOT' and final >= 70 then 150 when tier in ('WARM', 'NORMAL') then 40 else 15 end budget from z""")
+@query(f"""with a as (select event_id, event_id * 37 % 101 final, event_id * 53 % 101 topic, user_id % 97 activity, event_id * 29 % 101 fresh, event_id * 41 % 97 growth, event_id * 13 % 53 fledgling, event_id * 17 % 89 central, event_id % 5 failures, event_id % 8 d, event_id % 37 w, event_id % 3 m,
+        case when event_id % 11 > 0 then (epoch_us(timestamp '{AS_OF}') - epoch_us(ts)) / 1.8e9 end h, event_id % 4 = 0 marked from events),
+    b as (select *, coalesce(h / 24, 0) old, d >= 6 or w >= 30 or activity >= 80 busy from a),
+    t as (select *, case when old > 30 and w = 0 and d = 0 then 'DORMANT' when ((final >= 65 and topic >= 40) or central >= 60) and (busy or fresh >= 80 or coalesce(h <= 24, false) or fledgling >= 30) then 'HOT'
+        when (final >= 45 and topic >= 25) or busy or central >= 35 then 'WARM' when final >= 30 or w >= 3 or activity >= 40 then 'NORMAL' when m >= 1 or old <= 30 then 'COLD' else 'DORMANT' end tier from b),
+    z as (select *, case tier when 'HOT' then 240 when 'WARM' then 1080 when 'NORMAL' then 4320 when 'COLD' then 14400 else 43200 end * (case when final >= 75 or central >= 60 then 0.75 when final <= 25 and central <= 15 then 1.35 else 1.0 end::double
+        * case when growth >= 70 then 0.8 else 1.0 end::double * case when fledgling >= 30 then 0.7 else 1.0 end::double) * case when failures > 0 then least(4.0::double, 1.5::double ** failures) else 1.0 end::double x,
+        case when marked then 'incremental' when fledgling >= 30 or (tier = 'HOT' and final >= 70) then 'deep' when tier in ('WARM', 'NORMAL') then 'standard' else 'light' end depth from t)
+    select event_id, tier, least(43200, greatest(120, trunc(x)::int)) \"minutes\", depth, case depth when 'incremental' then 100 when 'deep' then 150 when 'standard' then 40 else 15 end budget from z""")
 def sm2_crawl_plan(s, d):
-    cap = lambda name, by: F.least(F.lit(100), c(name) * by)
-    zero = F.lit(0)
-    plan = S.crawl_plan(cap("k", 9), cap("e", 8), c("p") * 10, zero, c("s") * 12, zero, cap("v", 7), c("e") % 4, c("d"), c("w"), c("m"), c("h"), c("user_id") % 2 == 0)
-    return users(s, d).select("user_id", plan.alias("x")).select("user_id", "x.*")
+    mix = lambda by, n: c("event_id") * by % n
+    hours = (F.unix_micros(F.lit(AS_OF).cast("timestamp")) - F.unix_micros(c("ts").cast("timestamp"))) / 1.8e9
+    hours = F.when(c("event_id") % 11 > 0, hours)
+    plan = S.crawl_plan(mix(37, 101), mix(53, 101), c("user_id") % 97, mix(29, 101), mix(41, 97), mix(13, 53), mix(17, 89), mix(1, 5), mix(1, 8), mix(1, 37), mix(1, 3), hours, mix(1, 4) == 0)
+    return events(s, d).select("event_id", plan.alias("x")).select("event_id", "x.*")
 
 
-@query(f"with {_USERS} select user_id, least(20, k * 4 + v * 5 + p * 2) boost, case when e = 0 then 15 * least(s, 3) else least(50, 15 * least(s, 3) + 8 * least(e, greatest(1, ceil((45 - 15 * least(s, 3)) / 8)::int))) end penalty from u")
+@query(f"with {_DAYS} select user_id, least(20, k * 4 + v * 5 + p * 2) boost, case when e = 0 then 15 * least(s, 3) else least(50, 15 * least(s, 3) + 8 * least(e, greatest(1, ceil((45 - 15 * least(s, 3)) / 8)::int))) end penalty from u")
 def lm9_learned(s, d):
-    return users(s, d).select("user_id", S.learned_boost(c("k"), c("v"), c("p")).alias("boost"), S.learned_penalty(c("s"), c("e")).alias("penalty"))
+    return user_days(s, d).select("user_id", S.learned_boost(c("k"), c("v"), c("p")).alias("boost"), S.learned_penalty(c("s"), c("e")).alias("penalty"))
 
 
 @query("select event_type keyword, sum(case when value > 50 then 5 else -1 end)::bigint weight from events group by 1")
@@ -213,10 +258,13 @@ def gr4_vertices(s, d):
     return part("source", "channel").unionAll(part("target", "source"))
 
 
-@query(f"{EDGES}, k as (select source, target, row_number() over (partition by source order by target) r from (select distinct source, -target target from edges)), h1 as (select distinct target v from k where source = 7 and r <= 3) select 7::bigint vertex, 0 hop union all select v, 1 from h1")
+@query(f"""{EDGES.replace('with edges', 'with recursive edges')}, a as (select distinct source, -target target from edges union select distinct -target, source from edges), k as (select source, target from a qualify row_number() over (partition by source order by target) <= 3),
+    r(vertex, hop) as (select c_custkey, 0 from customer where c_custkey % 97 = 7 union select k.target, hop + 1 from r join k on k.source = r.vertex where hop < 4) select vertex, min(hop)::int hop from r group by 1""")
 def gr6_spider(s, d):
+    """Customers reach suppliers and these their customers: four hops, three children a vertex."""
     e = edges(s, d).select("source", (-c("target")).alias("target"))
-    return graph.bounded_bfs(e, s.createDataFrame([(7,)], "vertex long"), 1, per_vertex=3)
+    both = e.unionAll(e.select(c("target").alias("source"), c("source").alias("target")))
+    return graph.bounded_bfs(both, customer(s, d).filter("c_custkey % 97 = 7").select(c("c_custkey").alias("vertex")), 4, per_vertex=3)
 
 
 @query("with t as (select ts::date as \"day\", count(*) n from events group by 1), q as (select ts::date as \"day\", count(*) hq from events where value > 90 group by 1) select \"day\", n, coalesce(hq, 0) hq from t left join q using (\"day\")")
