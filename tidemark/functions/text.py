@@ -108,6 +108,11 @@ def invalid_handle(c: Column) -> Column:
     return (F.length(c) < 4) | c.rlike("[^A-Za-z0-9_]")
 
 
+def clip(c: Column, most: int) -> Column:
+    """STR15: the first ``most`` characters of a text whose runs of white space are one space each; a null is empty."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "), "^ | $", ""), 1, most)
+
+
 def json_merge(a: Column, b: Column) -> Column:
     """JS3: two JSON objects' fields, the second's first; values keep their types, nested ones are not merged. What is no object counts as empty."""
     none = F.create_map().cast("map<string,variant>")

@@ -72,6 +72,41 @@ def query_mix(active: DataFrame, candidates: DataFrame, fallback: DataFrame, cou
     return out.drop("_p")
 
 
+def search_queries(seeds: DataFrame, seed: str, order: list[str], templates: dict[str, list[str]], otherwise: list[str], platform: str, limit: int | None = 50) -> DataFrame:
+    """STR19: (platform, seed, query) of the first ``limit`` queries of a platform, by the seeds' order and then the templates'.
+
+    Seeds count once without regard to case, in their first spelling; nulls do not count. ``{seed}`` in a template
+    is the seed, ``{joined}`` the seed without spaces. ``otherwise`` serves platforms without templates.
+    No limit gives all.
+    """
+    forms = templates.get(platform.lower().strip(), otherwise)
+    made = F.array(*[F.replace(F.replace(F.lit(t), F.lit("{joined}"), F.replace(F.col(seed), F.lit(" "), F.lit(""))), F.lit("{seed}"), F.col(seed)) for t in forms])
+    rows = first_spellings(seeds, seed, order).select(*order, F.col(seed).alias("seed"), F.posexplode(made).alias("_i", "query"))
+    rows = rows.select(F.lit(platform).alias("platform"), "seed", "query", *order, "_i")
+    rows = rows.orderBy(*order, "_i").limit(limit) if limit is not None else rows
+    return rows.select("platform", "seed", "query")
+
+
+def checkpoints(log: DataFrame, keys: list[str], kind: str, fields: list[str], order: list[str]) -> DataFrame:
+    """ST12: (keys, fields, status, number of the last change) of each search: its last saved state, ``reset`` if a reset came after.
+
+    ``log`` has rows of ``kind`` ``save`` (fields and status) and ``reset``; the last by ``order``, which must be
+    unique in a key, counts. A reset of a search that was never saved does nothing; after a reset the next save goes on.
+    Partial maxima are taken before the shuffle, so a hot key sends a row from each task.
+    """
+    at = F.struct(*order)
+    saved = F.max(F.when(F.col(kind) == "save", F.struct(at.alias("at"), F.struct(*fields, "status").alias("state"))))
+    last = log.groupBy(*keys).agg(saved.alias("_s"), F.max(F.when(F.col(kind) == "reset", at)).alias("_r")).filter("_s is not null")
+    reset = F.coalesce(F.col("_r") > F.col("_s.at"), F.lit(False))
+    return last.select(*keys, *[F.col(f"_s.state.{f}").alias(f) for f in fields], F.when(reset, "reset").otherwise(F.col("_s.state.status")).alias("status"), F.when(reset, F.col("_r")).otherwise(F.col("_s.at")).alias("changed"))
+
+
+def resume_point(saved: DataFrame, fresh: dict[str, Column]) -> DataFrame:
+    """ST12: where a search goes on: its saved fields while it is in progress, else those of a new search."""
+    live = F.col("status") == "in_progress"
+    return saved.withColumns({f: F.when(live, F.col(f)).otherwise(v) for f, v in fresh.items()})
+
+
 def ensure_vertices(vertices: DataFrame, found: DataFrame) -> DataFrame:
     """GR8: vertices (canonical_id, name, platform, url) with the found ones merged in.
 
