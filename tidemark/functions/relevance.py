@@ -36,9 +36,10 @@ ANALYSIS_WORDS, ANALYSIS_NORMAL = ("chart",), ("تحليل", "شارت")
 RELEVANCE = [(65, "HIGH_CONFIDENCE_FOREX", "Tier_A", "queue:high"), (45, "LIKELY_FOREX", "Tier_B", "queue:high"), (25, "POSSIBLE_FOREX", "Tier_C", "queue:normal")]
 #: fixed values: names that are no channel, and the pages' own hosts
 NO_CHANNELS = (
-    "joinchat share addstickers addlist gmail hotmail yahoo outlook icloud mail yandex protonmail proton telegram spambot sticker "
-    "gif bot username ads advertise channel group chat support help admin contact info service feedback terms privacy"
-).split()
+    "joinchat", "share", "addstickers", "addlist", "gmail", "hotmail", "yahoo", "outlook", "icloud", "mail", "yandex", "protonmail", "proton",
+    "telegram", "spambot", "sticker", "gif", "bot", "username", "ads", "advertise", "channel", "group", "chat", "support", "help", "admin", "contact",
+    "info", "service", "feedback", "terms", "privacy",
+)
 HOSTS = r"(?:t\.me|telegram\.me)"
 
 

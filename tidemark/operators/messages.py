@@ -18,6 +18,7 @@ PLATFORMS = (
     ("facebook", r"(?i)(?:https?://)?(?:www\.|m\.)?facebook\.com/(?:pages/|groups/)?([a-zA-Z0-9_.-]{3,64})", 3, 95, "social_link"),
     ("web", r"(?i)https?://(?:www\.)?([a-zA-Z0-9-]+\.[a-zA-Z0-9.-]+/[a-zA-Z0-9_.~!*'();:@&=+$,/?%#-]*|[a-zA-Z0-9-]+\.[a-zA-Z]{2,})", 4, 90, "external_site"),
 )
+# fixed values: hosts, sites and patterns of contacts
 SOCIAL_HOSTS = ("t.me", "telegram.me", "tiktok.com", "facebook.com", "wa.me", "whatsapp.com")
 SOCIAL_SITES = ("instagram.com", "youtube.com", "twitter.com", "x.com", "tiktok.com", "facebook.com")
 WEBSITE = r"(?i)https?://(?:www\.)?(?!t\.me|telegram\.(?:me|dog|org|space)|wa\.me|api\.whatsapp\.com|whatsapp\.com)([a-zA-Z0-9-]+\.[a-zA-Z]{2,6}[^\s]*)"
