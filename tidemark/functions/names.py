@@ -45,6 +45,33 @@ def query_variants(c: Column, most: int = 5) -> Column:
     return F.when(word != "", F.slice(F.array_distinct(F.array_compact(every)), 1, most)).otherwise(F.array().cast("array<string>"))
 
 
+def canonical_identity(platform: Column, identifier: Column) -> Column:
+    """STR13: ``platform:name`` in lower case from a handle or link, without scheme, query and edge slashes; empty where no name stays.
+
+    A messenger's name keeps its path; a video site's ends at the first slash; of a page site it is the group, the last part
+    under ``pages``, else the first part; a web page is its host without ``www.`` and its path, whose case stays. Other
+    platforms' identifiers are only trimmed. A null platform or identifier gives an empty text.
+    """
+    kind, raw = F.lower(F.trim(F.coalesce(platform, F.lit("")))), F.trim(F.coalesce(identifier, F.lit("")))
+
+    def bare(hosts: str) -> Column:
+        return F.regexp_replace(F.regexp_replace(raw, rf"(?i)^https?://{hosts}/", ""), r"(?s)\?.*$", "")
+
+    unsigned = lambda x: F.regexp_replace(x, "^@+", "")
+    unslashed = lambda x: F.regexp_replace(x, "^/+|/+$", "")
+    page = unslashed(bare(r"(?:www\.|m\.)?facebook\.com"))
+    parts = F.split(page, "/")
+    page = F.when(page.startswith("groups/"), F.get(parts, F.lit(1))).when(page.startswith("pages/"), F.element_at(parts, -1)).otherwise(F.get(parts, F.lit(0)))
+    site = F.regexp_replace(raw, "^https?://", "")
+    host, path = F.lower(F.regexp_extract(site, "^[^/?#]*", 0)), F.regexp_extract(site, "^[^/?#]*([^?#;]*)", 1)
+    name = (
+        F.when(kind == "telegram", F.lower(F.trim(unslashed(unsigned(bare(r"(?:www\.)?(?:t\.me|telegram\.me)"))))))
+        .when(kind == "tiktok", F.lower(F.trim(F.split(unsigned(bare(r"(?:www\.)?tiktok\.com")), "/")[0]))).when(kind == "facebook", F.lower(page))
+        .when(kind == "web", F.concat(F.regexp_replace(host, r"^www\.", ""), F.regexp_replace(path, "/+$", ""))).otherwise(F.lower(raw))
+    )
+    return F.when(name != "", F.concat(kind, F.lit(":"), name)).otherwise("")
+
+
 def redirect_target(c: Column, host: str, parameter: str = "u", prefix: str = "a1") -> Column:
     """STR21: the url that a redirect page of ``host`` carries in base64; any other url, and one that does not decode, stays."""
     raw = F.regexp_extract(c, rf"[?&]{parameter}={prefix}([A-Za-z0-9+/_-]+)", 1)

@@ -113,6 +113,18 @@ def clip(c: Column, most: int) -> Column:
     return F.substring(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "), "^ | $", ""), 1, most)
 
 
+def json_list(c: Column) -> Column:
+    """JS2: the elements of a JSON array, or of a JSON string that holds one, as texts; nested values stay JSON, nulls stay null.
+
+    Anything else, a null and broken JSON among them, is an empty list.
+    """
+    outer = F.try_parse_json(c)
+    held = F.try_parse_json(F.try_variant_get(outer, "$", "string"))
+    is_list = lambda v: F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+    items = F.when(is_list(outer), F.try_variant_get(outer, "$", "array<variant>")).when(is_list(held), F.try_variant_get(held, "$", "array<variant>"))
+    return F.coalesce(F.transform(items, lambda x: F.try_variant_get(x, "$", "string")), F.array().cast("array<string>"))
+
+
 def json_merge(a: Column, b: Column) -> Column:
     """JS3: two JSON objects' fields, the second's first; values keep their types, nested ones are not merged. What is no object counts as empty."""
     none = F.create_map().cast("map<string,variant>")

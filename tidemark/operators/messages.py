@@ -49,6 +49,17 @@ def websites(c: Column) -> Column:
     return F.struct(F.get(site, F.lit(0)).alias("website"), F.get(hub, F.lit(0)).alias("link_hub"), F.array_distinct(social).alias("social"))
 
 
+def contact_links(c: Column) -> Column:
+    """TX5: array of (type, value, confidence) in order: every link hub (95), each social link once (90), the first website (90)."""
+    urls = F.transform(F.regexp_extract_all(_text(c), F.lit(WEBSITE), F.lit(1)), lambda u: F.regexp_replace(F.concat(F.lit("https://"), u), r"""[.,;)!}"']+$""", ""))
+    social = "|".join(n.replace(".", r"\.") for n in SOCIAL_SITES)
+    kind = lambda u: F.when(F.lower(u).contains("linktr.ee"), "linktree").when(F.lower(u).rlike(social), "social").otherwise("website")
+    found = F.transform(urls, lambda u: F.struct(kind(u).alias("type"), u.alias("value"), F.when(kind(u) == "linktree", 95).otherwise(90).alias("confidence")))
+    site = F.array_position(F.transform(found, lambda x: x["type"]), F.lit("website"))
+    first = lambda x, i: F.when(x["type"] == "website", site == i + 1).when(x["type"] == "social", F.array_position(urls, x["value"]) == i + 1).otherwise(F.lit(True))
+    return F.filter(found, first)
+
+
 def email(c: Column) -> Column:
     """TX6: the first address, in lower case; null without one."""
     return F.lower(_first(c, EMAIL, 0))
@@ -106,7 +117,7 @@ def contact_mention(text: Column, handle: Column, trigger: str) -> Column:
     name = F.concat(F.lit(r"\Q"), F.regexp_replace(handle, "^@", ""), F.lit(r"\E\b"))
     at = F.concat(F.lit("(?:@"), name, F.lit("|(?<!@)"), name, F.lit(")"))
     line = F.exists(F.split(_text(text), "\n"), lambda x: F.rlike(x, F.concat(F.lit("(?i)"), name)) & x.rlike(f"(?i){trigger}"))
-    before = F.rlike(_text(text), F.concat(F.lit("(?is)(?=.{0,80}"), at, F.lit(f")(?:{trigger})")))
+    before = F.rlike(_text(text), F.concat(F.lit(f"(?is)(?=(?:{trigger}))(?=.{{0,80}}"), at, F.lit(")")))  # the rare trigger first
     after = F.exists(F.regexp_extract_all(_text(text), F.concat(F.lit("(?is)(?=("), at, F.lit(".{0,40}))."))), lambda x: x.rlike(f"(?i){trigger}"))
     return F.coalesce(line | before | after, F.lit(False))
 
@@ -144,6 +155,35 @@ def message_edges(df: DataFrame, source: str, text: str, forward: Column, promo:
     return df.select(source, F.explode(F.array_distinct(F.concat(forwards, links, mentions))).alias("_x")).select(source, "_x.*")
 
 
+def recommendation_edges(df: DataFrame, source: str, target: str, unwanted: Column) -> DataFrame:
+    """TX12: (source, target, relation, confidence) of a platform's recommendations, at 90; repeats come once.
+
+    A recommendation without a name, of the channel itself, or ``unwanted`` gives no edge; where ``unwanted`` is null it holds not.
+    """
+    name, own = F.lower(F.trim(_text(F.col(target)))), F.lower(F.trim(_text(F.col(source))))
+    kept = df.filter((name != "") & (name != own) & ~F.coalesce(unwanted, F.lit(False)))
+    return kept.select(source, name.alias("target"), F.lit("recommendation").alias("relation"), F.lit(90).alias("confidence")).distinct()
+
+
+def forward_summary(df: DataFrame, key: str, origin: Column, order: str, k: int = 5) -> DataFrame:
+    """AG18: (key, messages, forwarded, ratio, origins) of each channel; ``origin`` as of ``forward_origin``, null for own messages.
+
+    An origin goes by its name, else channel id, else peer id, else ``unknown``. ``origins`` holds the ``k`` most frequent
+    as (origin, n), ties by the least ``order``. The ratio has three places. Messages are counted by channel and origin
+    before the shuffle, and only ``k`` origins a task are ranked, so a hot channel sends counts.
+    """
+    from tidemark.operators.views import top_per_group
+
+    some = lambda f: F.nullif(origin[f], F.lit(""))
+    name = F.when(origin.isNotNull(), F.coalesce(some("name"), some("channel_id"), some("peer_id"), F.lit("unknown")))
+    n = df.select(key, name.alias("_o"), F.col(order).alias("_at")).groupBy(key, "_o").agg(F.count("*").alias("_n"), F.min("_at").alias("_at"))
+    total = n.groupBy(key).agg(F.sum("_n").alias("messages"), F.coalesce(F.sum(F.when(F.col("_o").isNotNull(), F.col("_n"))), F.lit(0)).alias("forwarded"))
+    top = top_per_group(n.filter("_o is not null"), [key], [F.desc("_n"), F.col("_at")], k)
+    top = top.groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("_m"), "_at", F.col("_o").alias("origin"), F.col("_n").alias("n")))).alias("_t"))
+    origins = F.coalesce(F.transform("_t", lambda x: F.struct(x["origin"].alias("origin"), x["n"].alias("n"))), F.array().cast("array<struct<origin:string,n:bigint>>"))
+    return total.join(top, total[key].eqNullSafe(top["_k"]), "left").select(total[key], "messages", "forwarded", F.bround(F.col("forwarded") / F.col("messages"), 3).alias("ratio"), origins.alias("origins"))
+
+
 #: what is known of a forwarded message; ids are strings
 FORWARD = """struct<from_id:struct<channel_id:string,user_id:string,chat_id:string>,saved_from_peer:struct<channel_id:string>,
     channel_post:bigint,saved_from_msg_id:bigint,from_name:string,from_username:string,chat_username:string,date:timestamp_ntz>"""

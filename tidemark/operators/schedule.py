@@ -66,6 +66,16 @@ def queue_of(score: Column) -> Column:
     return F.when(score > 80, "critical").when(score > 60, "high").when(score > 40, "normal").otherwise("low")
 
 
+def queue_of_risk(risk: Column) -> Column:
+    """SM10: queue by a job's risk; what is neither low nor medium, and a null, waits longest."""
+    return F.when(risk == "LOW", "high").when(risk == "MEDIUM", "normal").otherwise("low")
+
+
+def queue_of_seed(source: Column, trusted: tuple[str, ...]) -> Column:
+    """SM10: queue of a seed: high for sources of ``trusted`` (in lower case), else normal."""
+    return F.when(F.lower(source).isin(*trusted), "high").otherwise("normal")
+
+
 def delay_band(health: Column) -> Column:
     """XT15: band of delays by health."""
     return F.when(health >= 80, "short").when(health >= 50, "medium").when(health >= 30, "long").otherwise("longest")
