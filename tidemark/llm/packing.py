@@ -40,9 +40,9 @@ GAP = 0.002
 STALLED = 4
 #: pieces of one length are ranked within buckets of about so many pieces, then by the buckets' sums
 BUCKET_PIECES = 100_000
-#: bytes of text whose new words are encoded together; chunks that a worker remembers, and their longest
+#: bytes of text whose new words are encoded together; chunks of a worker's memory that make a generation, of which it keeps two, and their longest
 LEARN_BYTES = 2 << 20
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 250_000
 LONGEST_CACHED = 64
 _LOG = logging.getLogger(__name__)
 
@@ -54,7 +54,7 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
-_KNOWN: dict[str, dict[str, bytes]] = {}
+_KNOWN: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -103,13 +103,20 @@ def _word_ids(path: str, texts: list[str]) -> Iterator[bytes]:
 
     The vocabulary drops white space and no token, normalisation or special token reaches
     across a space or line feed, so chunks between these are encoded on their own and remembered.
+    A full memory becomes the older one, from which chunks that are met again are taken over, so
+    frequent chunks are encoded once and rare ones are forgotten.
     """
-    known = _KNOWN.setdefault(path, {})
+    known, older = _KNOWN.get(path, ({}, {}))
     if len(known) > CACHE_CHUNKS:
-        known.clear()
+        known, older = {}, known
+    _KNOWN[path] = known, older
     split = [t.replace("\n", " ").split(" ") for t in texts]
-    new = {p: _stem(p) for p in set().union(*split).difference(known)}
-    ids = _encode_new(path, {x for pair in new.values() for x in pair if x not in known})
+    unmet = set().union(*split).difference(known)
+    known |= {p: older[p] for p in unmet if p in older}
+    new = {p: _stem(p) for p in unmet if p not in known}
+    stems = {x for pair in new.values() for x in pair if x not in known}
+    known |= {x: older[x] for x in stems if x in older}
+    ids = _encode_new(path, {x for x in stems if x not in known})
     long = {}
     for x, b in ids.items():
         (known if len(x) <= LONGEST_CACHED else long)[x] = b
