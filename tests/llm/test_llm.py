@@ -367,6 +367,19 @@ def test_configurations_use_every_length():
         assert bins >= (lengths * counts).sum() / 2048
 
 
+def test_configurations_end_at_the_bound_and_keep_the_fewest():
+    pair = packing.configurations(np.array([1000, 1048]), np.array([50, 50]))
+    assert sum(n for _, n in pair) == 50
+    rng = np.random.default_rng(8)
+    for n in (5, 40, 300):
+        lengths = np.unique(rng.integers(200, 1500, n))
+        counts = rng.integers(1, 30, len(lengths))
+        made = [sum(k for _, k in packing._completed(found, lengths, counts, 2048)) for found, _, _ in packing._sweeps(lengths, counts, 2048, 20, packing.STEP)]
+        got = sum(k for _, k in packing.configurations(lengths, counts, rounds=20))
+        assert got == min(made) and got >= (lengths * counts).sum() / 2048
+    assert packing.configurations(np.array([7]), np.array([0])) == [] and sum(n for _, n in packing.configurations(np.array([2000]), np.array([9]))) == 9
+
+
 def test_linear_program_packs_most_tokens():
     rng = np.random.default_rng(6)
     lengths = np.unique(np.concatenate([rng.integers(1, 2049, 2500), [1, 3, 7]]))

@@ -7,9 +7,9 @@ covered, and a knapsack dynamic program fills the rest of its sequence at the hi
 with no length more often than is left of it; the configuration is used until one of its lengths
 is covered. So every length ends covered exactly once over, by at most one configuration a
 length. Prices bound the optimum from below; while the gap is above ``GAP``, the lengths in
-wasteful configurations become dearer (multiplicative weights) and the sweep is repeated. The
-solution is rounded down, and what is left over is packed by best-fit on the histogram. Only the
-histogram and the configurations, whose number is bounded by the lengths, are on the driver; the
+wasteful configurations become dearer (multiplicative weights) and the sweep is repeated. Each
+solution is rounded down, what is left over is packed by best-fit on the histogram, and the
+packing of fewest sequences counts; one that meets the bound ends the sweeps. Only the histogram and the configurations, whose number is bounded by the lengths, are on the driver; the
 pieces find their places by rank within their length, in parallel.
 """
 
@@ -215,23 +215,19 @@ def _sweep(price: np.ndarray, lengths: np.ndarray, counts: np.ndarray, size: int
     return found
 
 
-def linear_program(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, rounds: int = ROUNDS, step: float = STEP) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
-    """({((index of length, multiplicity), ...): copies}, lower bound of the copies' sum).
-
-    Every length is covered exactly. The bound is the best of: all tokens by ``size``, the
-    pieces longer than half of it, and the worth of the histogram at each sweep's prices.
-    """
-    weight, best, stalled = 1 + GAP / 2 * lengths / size, {}, 0
+def _sweeps(lengths: np.ndarray, counts: np.ndarray, size: int, rounds: int, step: float) -> Iterator[tuple[dict[tuple[tuple[int, int], ...], float], float, float]]:
+    """(solution, its copies' sum, best lower bound so far) of each sweep, until the gap is closed or no sweep betters the best."""
+    weight, stalled = 1 + GAP / 2 * lengths / size, 0
     total, bound = np.inf, max(float(lengths @ counts) / size, float(counts[2 * lengths > size].sum()))
     for turn in range(max(1, rounds)):
         price = lengths * weight
         if turn:
             bound = max(bound, float(price @ counts) / _best_value(price, lengths, size))
         found = _sweep(price, lengths, counts, size)
-        if (now := sum(found.values())) < total - 1e-9:
-            best, total, stalled = found, now, 0
-        else:
-            stalled += 1
+        now = sum(found.values())
+        stalled = 0 if now < total - 1e-9 else stalled + 1
+        total = min(total, now)
+        yield found, now, bound
         if total <= (1 + GAP) * bound or stalled == STALLED:
             break
         waste = np.zeros(len(lengths))
@@ -241,6 +237,18 @@ def linear_program(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, ro
                 waste[k] += m * copies * empty / counts[k]
         weight = weight * (1 + step) ** (waste / max(waste.max(), 1e-12))
         weight /= weight.min()
+
+
+def linear_program(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, rounds: int = ROUNDS, step: float = STEP) -> tuple[dict[tuple[tuple[int, int], ...], float], float]:
+    """({((index of length, multiplicity), ...): copies}, lower bound of the copies' sum).
+
+    Every length is covered exactly. The bound is the best of: all tokens by ``size``, the
+    pieces longer than half of it, and the worth of the histogram at each sweep's prices.
+    """
+    best, total, bound = {}, np.inf, 0.0
+    for found, now, bound in _sweeps(lengths, counts, size, rounds, step):
+        if now < total - 1e-9:
+            best, total = found, now
     _LOG.info("configuration LP: %.2f sequences, lower bound %.2f, gap %.4f", total, bound, total / bound - 1)
     return best, bound
 
@@ -251,22 +259,17 @@ def rounded(found: dict[tuple[tuple[int, int], ...], float]) -> list[tuple[tuple
     return [(config, n) for config, n in whole if n]
 
 
-def configurations(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[list[tuple[int, int]], int]]:
-    """[(lengths with multiplicity, copies)]: sequences that use each length exactly as often as it occurs.
-
-    ``lengths`` ascend; all are at least 1 and at most ``size``.
-    """
-    lengths, left = np.asarray(lengths, np.int64), np.asarray(counts, np.int64).copy()
-    out: list[tuple[list[tuple[int, int]], int]] = []
+def _completed(found: dict[tuple[tuple[int, int], ...], float], lengths: np.ndarray, counts: np.ndarray, size: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """The whole copies of a fractional solution, and what they leave by best fit."""
+    left, out = counts.copy(), []
 
     def use(config: dict[int, int], copies: int) -> None:
         out.append(([(int(lengths[k]), n) for k, n in sorted(config.items(), reverse=True)], copies))
         for k, n in config.items():
             left[k] -= n * copies
 
-    if len(lengths) > 1:
-        for config, copies in rounded(linear_program(lengths, left.copy(), size, rounds, step)[0]):
-            use(dict(config), copies)
+    for config, copies in rounded(found):
+        use(dict(config), copies)
     while left.any():
         config, room = {}, size
         k = int(np.flatnonzero(left)[-1])
@@ -280,6 +283,28 @@ def configurations(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, ro
     return out
 
 
+def configurations(lengths: np.ndarray, counts: np.ndarray, size: int = SIZE, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[list[tuple[int, int]], int]]:
+    """[(lengths with multiplicity, copies)]: sequences that use each length exactly as often as it occurs.
+
+    ``lengths`` ascend; all are at least 1 and at most ``size``. Every sweep's solution is rounded
+    and completed, and the one of fewest sequences is taken. Sweeps end early once that reaches
+    the lower bound, which no packing can beat.
+    """
+    lengths, counts = np.asarray(lengths, np.int64), np.asarray(counts, np.int64)
+    if len(lengths) < 2:
+        return _completed({}, lengths, counts, size)
+    best, fewest, turns = [], np.inf, 0
+    for found, total, bound in _sweeps(lengths, counts, size, rounds, step):
+        made, turns = _completed(found, lengths, counts, size), turns + 1
+        n = sum(copies for _, copies in made)
+        if n < fewest:
+            best, fewest = made, n
+        _LOG.info("sweep %d: %.2f sequences, rounded %d, lower bound %.2f", turns, total, n, bound)
+        if fewest <= np.ceil(bound - 1e-6):
+            break
+    return best
+
+
 def _placed(plan):
     def run(batches):
         keys, a, base, offset = plan.value
