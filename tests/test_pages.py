@@ -127,3 +127,14 @@ def test_profiles(spark):
     assert got[0] == (("n", "", []), ("n", "", []))
     assert got[1] == (("n", "", ["/1", ""]), ("A & B", "", ["/1", ""]))
     assert got[2][0] == ("P", "plain", []) and got[3][0] == ("n", "", [])
+
+
+def test_sites_keep_entities_that_were_cut_off(spark, tmp_path):
+    import __spark_entry__
+
+    html = ["<title>a &amp; b &amp</title><a href='/x'>", "<title>&ltx &#65; &#65 &copy; &nosuch; &ampx;</title>", "<title>&amp;lt; &amp</title>"]
+    spark.createDataFrame([(i, "http://h/", x) for i, x in enumerate(html)], "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = __spark_entry__.queries()["src8_sites"](spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [r.title for r in got] == ["a & b &amp", "&ltx A &#65 © &nosuch; &ampx;", "&lt; &amp"]
+    rows = spark.createDataFrame([(html[0],)], "h string").select(P.elements(F.col("h"), P.PROFILE).alias("f"))
+    assert rows.select("f.text").first()[0][0] == "a & b &"

@@ -65,7 +65,7 @@ def src9_posts(s, d):
     select page_id, case when title = '' then host else title end title, '' description, len(links)::int n_links, array_to_string(links, ' ') links from x""")
 def src8_sites(s, d):
     host = F.regexp_extract(F.coalesce("url", F.lit("")), "^https?://([^/?#]*)", 1)
-    rows = pages(s, d).select("page_id", host.alias("host"), P.elements(c("html"), P.PROFILE).alias("found"))
+    rows = pages(s, d).select("page_id", host.alias("host"), P.elements(c("html"), P.PROFILE, ended=True).alias("found"))
     return rows.select("page_id", P.profile(c("found"), c("host"), by_title=True).alias("x")).select("page_id", "x.title", "x.description", F.size("x.links").alias("n_links"), F.array_join("x.links", " ").alias("links"))
 
 

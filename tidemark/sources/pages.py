@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from html.entities import html5
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -52,7 +53,7 @@ VOID = frozenset("area base basefont bgsound br col command embed frame hr image
 FOUND = "array<struct<field: string, text: string, taken: string, last: int>>"
 
 
-def _scanner(picks: tuple[Pick, ...]):
+def _scanner(picks: tuple[Pick, ...], ended: bool):
     """The worker's code; all of it is inside, so that workers need no module of this package."""
     wanted: dict[str, list[tuple]] = {}
     for p in picks:
@@ -63,9 +64,15 @@ def _scanner(picks: tuple[Pick, ...]):
     attribute = re.compile(r"""([^\s=>"'/][^\s=>/]*+)\s*+(?:=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>"']\S*+)))?""")
     raw_end = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in ("script", "style")}
     found = pa.list_(pa.struct([("field", pa.string()), ("text", pa.string()), ("taken", pa.string()), ("last", pa.int32())]))
+    reference = re.compile(r"&(#[0-9]++|#[xX][0-9A-Fa-f]++|[A-Za-z][A-Za-z0-9]*+);")
+
+    def one(m: re.Match) -> str:
+        return entities.unescape(m[0]) if m[1].startswith("#") or m[1] + ";" in html5 else m[0]
+
+    decoded = (lambda text: reference.sub(one, text)) if ended else entities.unescape
 
     def attributes(source: str) -> dict[str, str]:
-        return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in attribute.finditer(source)}
+        return {m[1].lower(): decoded(m[2] or m[3] or m[4] or "") for m in attribute.finditer(source)}
 
     def scan(page: str) -> list[dict]:
         out, parts, stack, opened, at = [], [], [], Counter(), 0
@@ -78,7 +85,7 @@ def _scanner(picks: tuple[Pick, ...]):
         while at < len(page):
             m = tag.search(page, at)
             if m is None or m.start() > at:
-                parts.append(entities.unescape(page[at : m.start() if m else len(page)]))
+                parts.append(decoded(page[at : m.start() if m else len(page)]))
             if m is None:
                 break
             at = m.end()
@@ -121,7 +128,7 @@ def _scanner(picks: tuple[Pick, ...]):
     return run
 
 
-def elements(page: Column, picks: tuple[Pick, ...]) -> Column:
+def elements(page: Column, picks: tuple[Pick, ...], ended: bool = False) -> Column:
     """SRC8-SRC10: the picked elements of a page in the order of their start tags, one array.
 
     Each has its field, its text with that of all elements inside (entities decoded, comments,
@@ -130,9 +137,10 @@ def elements(page: Column, picks: tuple[Pick, ...]) -> Column:
     one without an open element, and anything after a quote or tag that never ends, is no
     element. Elements that are open at the end close there. Of a repeated attribute the last
     counts. Null and empty pages have none. Time grows with the page; a picked element inside
-    another picked one repeats its text.
+    another picked one repeats its text. Entities are decoded as parsers do, some of them without
+    their semicolon too; with ``ended`` only those that have it, so one that was cut off stays.
     """
-    return F.arrow_udf(_scanner(tuple(picks)), FOUND)(page)
+    return F.arrow_udf(_scanner(tuple(picks), ended), FOUND)(page)
 
 
 def _strip(c: Column) -> Column:
