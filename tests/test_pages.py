@@ -2,8 +2,10 @@
 
 import random
 import time
+import tracemalloc
 from html.parser import HTMLParser
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.sources import pages as P
@@ -138,3 +140,14 @@ def test_sites_keep_entities_that_were_cut_off(spark, tmp_path):
     assert [r.title for r in got] == ["a & b &amp", "&ltx A &#65 © &nosuch; &ampx;", "&lt; &amp"]
     rows = spark.createDataFrame([(html[0],)], "h string").select(P.elements(F.col("h"), P.PROFILE).alias("f"))
     assert rows.select("f.text").first()[0][0] == "a & b &"
+
+
+def test_a_batch_holds_few_pages_as_objects():
+    pages = pa.array(["<span>a</span>" * 100] * 3000)
+    run = P._scanner(PICKS, False)
+    tracemalloc.start()
+    got = run(pages)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(got) == 3000 and len(got[2999]) == 100 and most < 20_000_000
+    assert len(run(pages.slice(0, 0))) == 0

@@ -44,6 +44,16 @@ def settle(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: bytes of a batch that Python workers get
+BATCH_CONF, DEFAULT_BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "16777216b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the batches of Python workers where the session has Spark's default, which holds 10,000 rows of any length up to 64 MB."""
+    if spark.conf.get(BATCH_CONF) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
+
+
 def append(df: DataFrame, path: str) -> None:
     """SNK4: append-only snapshots."""
     df.write.mode("append").parquet(path)

@@ -9,10 +9,11 @@ from html.entities import html5
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import human_number
+from tidemark.sources.io import bound_batches
 
 
 class Pick(NamedTuple):
@@ -50,6 +51,9 @@ PROFILE = (
 # fixed values: tags without an end tag
 VOID = frozenset("area base basefont bgsound br col command embed frame hr image img input isindex keygen link menuitem meta nextid param source spacer track wbr".split())
 
+#: pages whose elements a worker holds as Python objects
+PAGES = 32
+
 FOUND = "array<struct<field: string, text: string, taken: string, last: int>>"
 
 
@@ -58,7 +62,7 @@ def _scanner(picks: tuple[Pick, ...], ended: bool):
     wanted: dict[str, list[tuple]] = {}
     for p in picks:
         wanted.setdefault(p.tag, []).append(tuple(p))
-    void = VOID
+    void, few = VOID, PAGES
     # every branch ends at the end of the page if it is not closed, so nothing is read twice
     tag = re.compile(r"""<(?:!--.*?(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(?:(>)|\Z))""", re.S)
     attribute = re.compile(r"""([^\s=>"'/][^\s=>/]*+)\s*+(?:=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s>"']\S*+)))?""")
@@ -123,7 +127,9 @@ def _scanner(picks: tuple[Pick, ...], ended: bool):
         return out
 
     def run(pages: pa.Array) -> pa.Array:
-        return pa.array([scan(p.as_py() or "") for p in pages], found)
+        # a batch's elements are Python objects for a few pages at a time only
+        done = [pa.array([scan(p.as_py() or "") for p in pages.slice(at, few)], found) for at in range(0, len(pages), few)]
+        return pa.concat_arrays(done) if done else pa.array([], found)
 
     return run
 
@@ -139,7 +145,9 @@ def elements(page: Column, picks: tuple[Pick, ...], ended: bool = False) -> Colu
     counts. Null and empty pages have none. Time grows with the page; a picked element inside
     another picked one repeats its text. Entities are decoded as parsers do, some of them without
     their semicolon too; with ``ended`` only those that have it, so one that was cut off stays.
+    Workers get batches of 16 MB, where the session has Spark's default.
     """
+    bound_batches(SparkSession.active())
     return F.arrow_udf(_scanner(tuple(picks), ended), FOUND)(page)
 
 
