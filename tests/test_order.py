@@ -175,3 +175,26 @@ def test_json_merge_keeps_types(spark):
     cases = [('{"a":1}', '{"c":true}', {"a": 1, "c": True}), ('{"a":{"x":1},"b":null}', '{"a":{"y":[1.5,"2"]}}', {"a": {"y": [1.5, "2"]}, "b": None}), (None, '{"a":"1"}', {"a": "1"}), ("[1]", "nonsense", {})]
     got = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string").select("i", T.json_merge(F.col("a"), F.col("b")).alias("j")).collect()
     assert all(json.loads(r.j) == cases[r.i][2] and not re.search(r'"1"', r.j) or r.i == 2 for r in got)
+
+
+def test_a_batch_holds_few_texts_hits_as_objects():
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from tidemark.operators import lexicon
+
+    terms = [(i, None if i == 3 else f"c{i % 3}", f"t{i:02}", i, f"t{i:02}") for i in range(100)]
+    text = " ".join(x[2] for x in terms) + " t07"
+    batch = pa.record_batch([pa.array(range(3000)), pa.array([text] * 2999 + [None])], names=["id", "hits_copy"])
+    rows, last, most = 0, None, 0
+    tracemalloc.start()
+    for out in lexicon._finder(SimpleNamespace(value=terms))([batch]):
+        rows, last = rows + out.num_rows, out
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 3000 and most < 20_000_000
+    hits = last.column("hits").to_pylist()
+    assert hits[-1] == [] and [h["position"] for h in hits[0]] == list(range(100))
+    assert hits[0][7] == {"position": 7, "category": "c1", "term": "t07", "weight": 7, "n": 2} and hits[0][3]["category"] is None

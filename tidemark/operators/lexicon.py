@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.io import bound_batches
+
 #: terms of one automaton; a larger lexicon takes a pass for each so many
 TERMS = 200_000
+#: texts whose hits a worker holds as Python objects
+TEXTS = 128
 HIT = "array<struct<position:int,category:string,term:string,weight:int,n:bigint>>"
 
 
@@ -16,6 +20,8 @@ def normalised(lexicon: DataFrame, normalize) -> DataFrame:
 
 
 def _finder(terms):
+    few = TEXTS
+
     def run(batches):
         import ahocorasick
         import pyarrow as pa
@@ -26,21 +32,30 @@ def _finder(terms):
             found.add_word(norm, [*found.get(norm, []), i])
         if len(found):
             found.make_automaton()
-        hit = pa.struct([("position", pa.int32()), ("category", pa.string()), ("term", pa.string()), ("weight", pa.int32()), ("n", pa.int64())])
-        for batch in batches:
-            out = []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                counts, ends = {}, {}
-                for end, same in found.iter(text or "") if len(found) else ():
-                    norm = terms.value[same[0]][-1]
-                    # occurrences of one term do not overlap
-                    if end - len(norm) >= ends.get(norm, -1):
-                        ends[norm] = end
-                        for i in same:
-                            counts[i] = counts.get(i, 0) + 1
-                rows = sorted((terms.value[i][:4], n) for i, n in counts.items())
-                out.append([{"position": r[0], "category": r[1], "term": r[2], "weight": r[3], "n": n} for r, n in rows])
-            yield pa.record_batch([*batch.columns[:-1], pa.array(out, pa.list_(hit))], names=[*batch.schema.names[:-1], "hits"])
+        values = terms.value
+        kinds = {"position": pa.int32(), "category": pa.string(), "term": pa.string(), "weight": pa.int32()}
+        lexicon = pa.StructArray.from_arrays([pa.array([x[k] for x in values], kind) for k, kind in enumerate(kinds.values())], list(kinds))
+        for whole in batches:
+            # hits are Python objects for a few texts at a time only, and leave as arrays
+            for at in range(0, whole.num_rows, few):
+                batch = whole.slice(at, few)
+                which, times, upto = [], [], [0]
+                for text in batch.column(batch.num_columns - 1):
+                    counts, ends = {}, {}
+                    for end, same in found.iter(text.as_py() or "") if len(found) else ():
+                        norm = values[same[0]][-1]
+                        # occurrences of one term do not overlap
+                        if end - len(norm) >= ends.get(norm, -1):
+                            ends[norm] = end
+                            for i in same:
+                                counts[i] = counts.get(i, 0) + 1
+                    # the terms come sorted
+                    which += (order := sorted(counts))
+                    times += [counts[i] for i in order]
+                    upto.append(len(which))
+                hits = lexicon.take(pa.array(which, pa.int64())).flatten()
+                rows = pa.StructArray.from_arrays([*hits, pa.array(times, pa.int64())], [*kinds, "n"])
+                yield pa.record_batch([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(upto, pa.int32()), rows)], names=[*batch.schema.names[:-1], "hits"])
 
     return run
 
@@ -55,17 +70,19 @@ def term_hits(df: DataFrame, text: str, lexicon: DataFrame, normalize, keep: tup
     terms = normalised(lexicon, normalize)
     n = terms.count()
     rows = df.select(*keep, normalize(F.lower(F.coalesce(F.col(text), F.lit("")))).alias("hits_text"))
-    for part in range(max(1, -(-n // TERMS))):
+    bound_batches(df.sparkSession)
+    passes = max(1, -(-n // TERMS))
+    for part in range(passes):
         # at most TERMS rows
-        own = terms.filter(F.pmod(F.xxhash64("position"), F.lit(max(1, -(-n // TERMS)))) == part)
+        own = terms.filter(F.pmod(F.xxhash64("position"), F.lit(passes)) == part)
         some = sorted(tuple(r) for r in own.select("position", "category", "term", "weight", "norm").collect())
         shared = df.sparkSession.sparkContext.broadcast(some)
-        before = [f.name for f in rows.schema if f.name != "hits_text"]
-        types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "hits_text")
-        more = rows.withColumn("hits_copy", F.col("hits_text")).select(*before, "hits_text", "hits_copy")
-        rows = more.mapInArrow(_finder(shared), ", ".join(x for x in (types, "hits_text string", f"hits {HIT}") if x)).withColumnRenamed("hits", f"hits_{part}")
-    parts = [c for c in rows.columns if c.startswith("hits_") and c != "hits_text"]
-    return rows.select(*keep, F.array_sort(F.concat(*parts)).alias("hits"))
+        # the text comes back only where another pass reads it
+        back = [f for f in rows.schema if f.name != "hits_text" or part < passes - 1]
+        types = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in back), f"hits {HIT}"])
+        rows = rows.select(*[f.name for f in back], F.col("hits_text").alias("hits_copy")).mapInArrow(_finder(shared), types).withColumnRenamed("hits", f"hits_{part}")
+    parts = [f"hits_{part}" for part in range(passes)]
+    return rows.select(*keep, (F.col("hits_0") if passes == 1 else F.array_sort(F.concat(*parts))).alias("hits"))
 
 
 def categories(hits: Column) -> Column:
