@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.ladders import FORWARDED, IN_DEGREE, RECOMMENDED, RELATIONS, SOURCES, ladder
-from tidemark.sources.io import settle
+from tidemark.sources.io import settle, spread
 
 
 def degrees(edges: DataFrame) -> DataFrame:
-    """GR3, JN8: in- and out-degree of every vertex, by one union and one aggregation."""
-    ends = edges.select(F.col("source").alias("vertex"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionAll(edges.select(F.col("target").alias("vertex"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    """GR3, JN8: in- and out-degree of every vertex, by one pass over the edges and one aggregation."""
+    end = lambda name, i, o: F.struct(F.col(name).alias("vertex"), F.lit(i).alias("i"), F.lit(o).alias("o"))
+    ends = edges.select(F.inline(F.array(end("source", 0, 1), end("target", 1, 0))))
     return ends.groupBy("vertex").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
@@ -40,13 +41,15 @@ def neighbours(edges: DataFrame, vertex: Column | int, k: int) -> DataFrame:
     return edges.filter(F.col("source") == vertex).orderBy(F.desc("occurrences"), F.desc("last_seen"), "target", "relation").limit(k)
 
 
-def bounded_bfs(edges: DataFrame, seeds: DataFrame, depth: int, per_vertex: int | None = None) -> DataFrame:
+def bounded_bfs(edges: DataFrame, seeds: DataFrame, depth: int, per_vertex: int | None = None, rows: int = 0) -> DataFrame:
     """GR5-GR7: (vertex, hop) reachable within ``depth`` hops, at most ``per_vertex`` children of each if given.
 
     One join and one anti-join a hop, each hop written out, so that no hop is computed again;
-    nothing is collected. A vertex keeps its least hop.
+    nothing is collected. A vertex keeps its least hop. ``rows`` says how many edges there are at
+    most, so that they are dealt to enough tasks.
     """
-    steps = edges.select("source", "target").distinct()
+    # dealt by source, equal edges meet and children are ranked without another shuffle
+    steps = spread(edges.select("source", "target"), rows, "source").distinct()
     if per_vertex is not None:
         steps = steps.withColumn("_r", F.row_number().over(Window.partitionBy("source").orderBy("target"))).filter(F.col("_r") <= per_vertex).drop("_r")
     steps = settle(steps, "steps")

@@ -264,7 +264,7 @@ def gr6_spider(s, d):
     """Customers reach suppliers and these their customers: four hops, three children a vertex."""
     e = edges(s, d).select("source", (-c("target")).alias("target"))
     both = e.unionAll(e.select(c("target").alias("source"), c("source").alias("target")))
-    return graph.bounded_bfs(both, customer(s, d).filter("c_custkey % 97 = 7").select(c("c_custkey").alias("vertex")), 4, per_vertex=3)
+    return graph.bounded_bfs(both, customer(s, d).filter("c_custkey % 97 = 7").select(c("c_custkey").alias("vertex")), 4, per_vertex=3, rows=2 * lineitem(s, d).count())
 
 
 @query("with t as (select ts::date as \"day\", count(*) n from events group by 1), q as (select ts::date as \"day\", count(*) hq from events where value > 90 group by 1) select \"day\", n, coalesce(hq, 0) hq from t left join q using (\"day\")")

@@ -14,6 +14,16 @@ def table(spark: SparkSession, folder: str, name: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
+#: rows of a task after a shuffle of a large table
+TASK_ROWS = 500_000
+
+
+def spread(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """``df`` dealt by ``keys`` so that a task gets about ``TASK_ROWS`` of its ``rows``; as it is, where the session's partitions do."""
+    parts = -(-rows // TASK_ROWS)
+    return df.repartition(parts, *keys) if parts > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def leads(spark: SparkSession, folder: str) -> DataFrame:
     """The customer table in the shape of scored channels."""
     c = F.col("c_acctbal")
@@ -25,6 +35,9 @@ def edges(spark: SparkSession, folder: str) -> DataFrame:
     """Orders and their lines as directed events customer -> supplier."""
     o = table(spark, folder, "orders", ["o_orderkey", "o_custkey"])
     item = table(spark, folder, "lineitem", ["l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag", "l_linestatus", "l_quantity", "l_shipdate"])
+    # both sides are dealt alike, so the tasks of the join do not grow with the tables
+    n = item.count()
+    o, item = spread(o, n, "o_orderkey"), spread(item, n, "l_orderkey")
     j = o.join(item, o.o_orderkey == item.l_orderkey)
     return j.select(F.col("o_custkey").alias("source"), F.col("l_suppkey").alias("target"), F.col("l_returnflag").alias("relation"), F.col("l_shipdate").alias("ts"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_quantity").cast("int").alias("confidence"), F.col("l_linestatus").alias("evidence"))
 
