@@ -8,7 +8,7 @@ from tidemark.functions import text as T
 from tidemark.operators import mining, queues, views
 from tidemark.plans.catalog import AS_OF, EDGES, LEADS, ORACLES, c, customer, documents, edges, events, orders, query
 from tidemark.plans.relevance import DOCS, _said
-from tidemark.sources.io import leads, table
+from tidemark.sources.io import leads, spread, table
 
 
 @query("with f as (select user_id, min_by(event_id, (ts, event_id)) event_id from events where user_id % 4 > 0 and ts >= timestamp '2024-01-15' group by 1) select user_id, event_id from f where user_id not in (select user_id from events where ts < timestamp '2024-01-02')")
@@ -164,16 +164,26 @@ def snk5_metrics(s, d):
 _LM4 = ORACLES["lm4_contrast_all"]
 
 
+def _labelled(s, d):
+    """Labelled texts; the labels are broadcast only if a count proves them few, else a text counts as 20 rows when both sides are dealt."""
+    labels, docs = table(s, d, "labels").select("doc_id", "quality"), documents(s, d).select("doc_id", "text")
+    n = labels.count()
+    if n <= 1_000_000:
+        labels = F.broadcast(labels)
+    else:
+        rows = 20 * docs.count()
+        labels, docs = spread(labels, rows, "doc_id"), spread(docs, rows, "doc_id")
+    return docs.join(labels, "doc_id").select("doc_id", "text", (c("quality") == 1).alias("positive"))
+
+
 @query(_LM4.replace("unnest(list_distinct(list_filter(w, lambda x: length(x) >= 3)))", "unnest(list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))"))
 def lm1_bigrams(s, d):
-    docs = documents(s, d).join(table(s, d, "labels"), "doc_id").select("doc_id", "text", (c("quality") == 1).alias("positive"))
-    return mining.contrast_levels(docs, "doc_id", T.tokens(c("text")), 2)
+    return mining.contrast_levels(_labelled(s, d), "doc_id", T.tokens(c("text")), 2)
 
 
 @query(_LM4.replace("unnest(list_distinct(list_filter(w, lambda x: length(x) >= 3)))", "unnest(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))"))
 def lm1_trigrams(s, d):
-    docs = documents(s, d).join(table(s, d, "labels"), "doc_id").select("doc_id", "text", (c("quality") == 1).alias("positive"))
-    return mining.contrast_levels(docs, "doc_id", T.tokens(c("text")), 3)
+    return mining.contrast_levels(_labelled(s, d), "doc_id", T.tokens(c("text")), 3)
 
 
 @query(_LM4.replace("count(*) filter (p) df_pos", "count(*) filter (p and not regexp_matches(feature, 'tion|sch')) df_pos").replace("having count(*) filter (p) >= 2", "having count(*) filter (p and not regexp_matches(feature, 'tion|sch')) >= 2"))
