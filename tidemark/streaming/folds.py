@@ -70,17 +70,18 @@ def _processor(fold: Fold, key: str, ttl_s: int | None):
     class Folded(StatefulProcessor):
         def init(self, handle) -> None:
             self.handle = handle
-            self.folded = handle.getValueState("folded", "state string, last long")
-            self.waiting = handle.getListState("waiting", "event string")
+            # one value a key: every call for state is a round trip to the JVM, and a list costs one an event
+            self.folded = handle.getValueState("folded", "state string, last long, waiting string")
 
-        def _fold(self, name, new, watermark_ms):
+        def _fold(self, known, name, new, watermark_ms):
             import json
 
-            known = self.folded.get() if self.folded.exists() else None
             at, last = (json.loads(known[0]), known[1]) if known else (start(), None)
-            waiting = [json.loads(x[0]) for x in self.waiting.get()] if self.waiting.exists() else []
-            # in the order of the batch fold: nulls come first
-            events = sorted(waiting + new, key=lambda e: [(x is not None, x) for x in e])
+            events = (json.loads(known[2]) if known and known[2] else []) + new
+            try:
+                events.sort()
+            except TypeError:  # in the order of the batch fold: nulls come first
+                events.sort(key=lambda e: [(x is not None, x) for x in e])
             settled = sum(e[0] <= watermark_ms * 1000 for e in events)
             later = events[settled:]
 
@@ -94,12 +95,9 @@ def _processor(fold: Fold, key: str, ttl_s: int | None):
             at, last = forward(at, last, events[:settled])
             if ttl_s is not None and last is not None and not later and last + ttl_s * 1_000_000 <= watermark_ms * 1000:
                 self.folded.clear()
-                self.waiting.clear()
                 return Row(**{key: name}, **dict(zip(columns, result(at), strict=True)), expired=True)
-            if settled or known is None:
-                self.folded.update((json.dumps(at), last))
-            if settled or new:
-                self.waiting.put([(json.dumps(e),) for e in later]) if later else self.waiting.clear()
+            if settled or new or known is None:
+                self.folded.update((json.dumps(at), last, json.dumps(later) if later else None))
             if later:
                 self.handle.registerTimer(-(-later[-1][0] // 1000))
             elif ttl_s is not None and last is not None:
@@ -109,11 +107,12 @@ def _processor(fold: Fold, key: str, ttl_s: int | None):
 
         def handleInputRows(self, key, rows, timerValues):
             new = [list(r[1:-1]) for r in rows]
-            yield self._fold(key[0], new, timerValues.getCurrentWatermarkInMs())
+            yield self._fold(self.folded.get(), key[0], new, timerValues.getCurrentWatermarkInMs())
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-            if self.folded.exists():
-                yield self._fold(key[0], [], timerValues.getCurrentWatermarkInMs())
+            known = self.folded.get()
+            if known:
+                yield self._fold(known, key[0], [], timerValues.getCurrentWatermarkInMs())
 
         def close(self) -> None:
             pass
