@@ -6,13 +6,15 @@ Lexica are the caller's: lists of terms, or patterns. Null texts have no hits, n
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .ladders import clamp, ladder
 from .scores import _n, _points, recurrence
-from .text import script_ratio, word_count_of
+from .text import has_word, script_ratio
 
 ARABIC_TEXT = "[؀-ۿݐ-ݿࢠ-ࣿﭐ-﷿ﹰ-﻿]"
 #: fixed values: points of each business model, tiers of the legacy score
@@ -22,12 +24,13 @@ LEGACY_TIERS = [(75, "Tier 1"), (50, "Tier 2"), (30, "Tier 3")]
 
 def has_any(c: Column, terms: list[str]) -> Column:
     """Whether any term is a substring of the lower-case text."""
-    return F.lower(F.coalesce(c, F.lit(""))).rlike("|".join(re.escape(t.lower()) for t in terms))
+    lower = F.lower(F.coalesce(c, F.lit("")))
+    return reduce(or_, [lower.contains(t.lower()) for t in terms], F.lit(False))
 
 
 def distinct_words(c: Column, terms: list[str]) -> Column:
     """How many of the terms occur as whole words."""
-    return sum((F.coalesce((word_count_of(c, t) > 0).cast("int"), F.lit(0)) for t in terms), F.lit(0))
+    return sum((F.coalesce(has_word(c, t).cast("int"), F.lit(0)) for t in terms), F.lit(0))
 
 
 def first_stage(title: Column, about: Column, name: Column, terms: list[str], community: list[str]) -> Column:

@@ -33,8 +33,19 @@ def script_ratio(c: Column) -> Column:
 
 def word_count_of(c: Column, word: str) -> Column:
     """STR5: whole-word count; a border is anything but Latin letters, digits, underscore, Arabic."""
-    edge = "A-Za-z0-9_؀-ۿ"
-    return F.regexp_count(F.lower(c), F.lit(rf"(?<![{edge}])\Q{word.lower()}\E(?![{edge}])"))
+    return F.regexp_count(F.lower(c), F.lit(_whole_word(word)))
+
+
+def has_word(c: Column, word: str) -> Column:
+    """STR5: whether the whole word occurs; looks no further than its first place, and only where its letters occur at all."""
+    lower = F.lower(c)
+    return lower.contains(word.lower()) & lower.rlike(_whole_word(word))
+
+
+def _whole_word(word: str) -> str:
+    # the word comes first: a border that did would be tried at every character
+    edge, w = "A-Za-z0-9_؀-ۿ", rf"\Q{word.lower()}\E"
+    return rf"{w}(?![{edge}])(?<![{edge}]{w})"
 
 
 def substring_count(c: Column, term: str) -> Column:

@@ -22,8 +22,10 @@ def _word(t: str) -> str:
 select doc_id, case when core > 0 and signals > 0 then least(100, least(40, core * 10) + least(30, signals * 5) + biz + trust + bonus) else 0 end score from h""")
 def sc17_intent(s, d):
     t = c("text")
-    score = K.intent_score(K.distinct_words(t, CORE), K.distinct_words(t, SIGNALS), [K.has_any(t, VIP), K.has_any(t, MANAGED)], t.contains("a"), t.contains("b"), c("lang") == "en", F.when(c("lang") == "de", 5))
-    return documents(s, d).select("doc_id", score.alias("score"))
+    # the words are columns of their own, as the score asks for them more than once
+    rows = documents(s, d).select("doc_id", "lang", K.distinct_words(t, CORE).alias("core"), K.distinct_words(t, SIGNALS).alias("signals"), K.has_any(t, VIP).alias("vip"), K.has_any(t, MANAGED).alias("managed"), t.contains("a").alias("a"), t.contains("b").alias("b"))
+    score = K.intent_score(c("core"), c("signals"), [c("vip"), c("managed")], c("a"), c("b"), c("lang") == "en", F.when(c("lang") == "de", 5))
+    return rows.select("doc_id", score.alias("score"))
 
 
 @query(ORACLES["sc17_intent"])
