@@ -5,13 +5,15 @@ Lexica and rules are the caller's. Null texts count as empty, null counts as 0.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .commercial import ARABIC_TEXT, has_any
 from .ladders import clamp, ladder
 from .scores import _n, _points
-from .text import normalize_arabic
+from .text import ALEFS, MARKS, YAAS, normalize_arabic
 
 #: fixed values: trade set-ups in a text
 SIGNAL_SYNTAX = (
@@ -59,15 +61,25 @@ def signal_syntax(c: Column) -> Column:
     return F.regexp_count(_text(c), F.lit(SIGNAL_SYNTAX))
 
 
+def shows_syntax(c: Column) -> Column:
+    """TX16: whether a text shows any trade set-up."""
+    return _text(c).rlike(SIGNAL_SYNTAX)
+
+
 def syntax_names(c: Column) -> Column:
     """TX19: the named syntax patterns that a text shows, in their fixed order."""
     return F.array_compact(F.array(*[F.when(_text(c).rlike(p), F.lit(k)) for k, p in SYNTAX_NAMES.items()]))
 
 
+def _folded_letters(lower: Column) -> Column:
+    """The normalised text, to look for terms without white space; a text without letters that the normaliser changes is its own."""
+    return F.when(lower.rlike(f"{MARKS[:-1]}{ALEFS}{YAAS}]"), normalize_arabic(lower)).otherwise(lower)
+
+
 def first_term(c: Column, terms: list[str]) -> Column:
     """TX21: the first term, in the lexicon's order, that occurs in the lower-case or in the normalised text; null without one."""
     lower = F.lower(_text(c))
-    norm = normalize_arabic(lower)
+    norm = normalize_arabic(lower) if any(re.search(r"\s", t) for t in terms) else _folded_letters(lower)
     return F.coalesce(*[F.when(lower.contains(t) | norm.contains(t), F.lit(t)) for t in terms], F.lit(None).cast("string"))
 
 
@@ -76,8 +88,21 @@ def candidate_relevance(hits: Column) -> Column:
     return F.when(_n(hits) > 0, F.least(F.lit(100), 20 + 10 * _n(hits))).otherwise(0)
 
 
+def text_signs(text: Column) -> Column:
+    """What SC16 asks of the text itself: struct (core, analysis, vip) of booleans."""
+    lower = F.lower(_text(text))
+    norm = _folded_letters(lower)
+    core, analysis = _any(lower, CORE_WORDS) | _any(norm, CORE_NORMAL), _any(lower, ANALYSIS_WORDS) | _any(norm, ANALYSIS_NORMAL)
+    return F.struct(core.alias("core"), analysis.alias("analysis"), lower.contains("vip").alias("vip"))
+
+
 def relevance(text: Column, counts: dict[str, Column], strong: Column, recommended: Column, in_degree: Column, boost: Column, penalty: Column, learned: Column, disqualified: Column) -> Column:
-    """SC16: struct (score, class, tier, queue, qualified) from all signals of a candidate.
+    """SC16: struct (score, class, tier, queue, qualified) from all signals of a candidate; see ``judged``."""
+    return judged(text_signs(text), counts, strong, recommended, in_degree, boost, penalty, learned, disqualified)
+
+
+def judged(signs: Column, counts: dict[str, Column], strong: Column, recommended: Column, in_degree: Column, boost: Column, penalty: Column, learned: Column, disqualified: Column) -> Column:
+    """SC16 from the ``text_signs``. The score stands in each rule, so over long texts give signs and counts as columns of an earlier select.
 
     ``counts`` has the hits of pairs, syntax, forex, gold, signals, methods, styles, commercial,
     props and brokers. ``strong`` says that a channel of the first tier refers to it, ``recommended``
@@ -86,16 +111,14 @@ def relevance(text: Column, counts: dict[str, Column], strong: Column, recommend
     is rejected where ``disqualified`` is a term. A score of 65, 45 or 25 counts only with some
     trading evidence (for 25 a strong referral will do, a recommendation not) and a penalty below 30.
     """
-    lower = F.lower(_text(text))
-    norm = normalize_arabic(lower)
     k = {name: _n(n) for name, n in counts.items()}
     yes = lambda x: F.coalesce(x, F.lit(False))
     score = (
-        F.when(k["pairs"] >= 3, 35).when((k["pairs"] >= 1) | _any(lower, CORE_WORDS) | _any(norm, CORE_NORMAL), 25).otherwise(0)
+        F.when(k["pairs"] >= 3, 35).when((k["pairs"] >= 1) | signs["core"], 25).otherwise(0)
         + ladder(k["signals"], [(2, 15), (1, 10)])
         + _points(
-            (k["syntax"] > 0, 25), (k["methods"] >= 1, 15), (k["styles"] >= 1, 10), (_any(lower, ANALYSIS_WORDS) | _any(norm, ANALYSIS_NORMAL), 10),
-            ((k["commercial"] >= 1) | lower.contains("vip"), 15), ((k["props"] >= 1) | (k["brokers"] >= 1), 10), (yes(strong) | yes(recommended), 20), (_n(in_degree) >= 2, 10),
+            (k["syntax"] > 0, 25), (k["methods"] >= 1, 15), (k["styles"] >= 1, 10), (signs["analysis"], 10),
+            ((k["commercial"] >= 1) | signs["vip"], 15), ((k["props"] >= 1) | (k["brokers"] >= 1), 10), (yes(strong) | yes(recommended), 20), (_n(in_degree) >= 2, 10),
         )
         + F.bround(_n(boost)).cast("int")
     )

@@ -72,10 +72,11 @@ def tx22_candidate(s, d):
         not bad and penalty < 30 and ((sc >= 45 and shown) or (sc >= 25 and (shown or strong))) qualified from q""")
 def sc16_relevance(s, d):
     low = F.lower("text")
-    counts = {k: sum(low.contains(t).cast("int") for t in v) for k, v in LEXICA.items()} | {"syntax": R.signal_syntax(c("text"))}
+    hits = {k: sum(low.contains(t).cast("int") for t in v) for k, v in LEXICA.items()} | {"syntax": R.shows_syntax(c("text")).cast("int")}
+    rows = _said(s, d).select("doc_id", R.text_signs(c("text")).alias("signs"), R.first_term(c("text"), ["casino"]).alias("bad"), *[n.alias(k) for k, n in hits.items()])
     i = c("doc_id")
-    card = R.relevance(c("text"), counts, i % 11 == 0, i % 7 == 0, i % 4, (i % 5) * 4.5, F.when(i % 13 == 0, 32), i % 5, R.first_term(c("text"), ["casino"]))
-    return _said(s, d).select("doc_id", card.alias("r")).select("doc_id", "r.score", "r.class", "r.tier", "r.qualified")
+    card = R.judged(c("signs"), {k: c(k) for k in hits}, i % 11 == 0, i % 7 == 0, i % 4, (i % 5) * 4.5, F.when(i % 13 == 0, 32), i % 5, c("bad"))
+    return rows.select("doc_id", card.alias("r")).select("doc_id", "r.score", "r.class", "r.tier", "r.qualified")
 
 
 _LINKS = """case c_custkey % 12 when 0 then 'https://t.me/' || replace(c_name, '#', '_') when 1 then 't.me/joinchat/AbC-' || c_custkey when 2 then 'http://telegram.me/+Inv' || c_custkey || '/x' when 3 then '@name_' || c_custkey
