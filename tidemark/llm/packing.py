@@ -74,7 +74,7 @@ def _plain(word: str) -> bool:
 def _stem(chunk: str) -> tuple[str, str]:
     """A plain word in lower case and the punctuation after it; all of any other chunk and nothing."""
     word = chunk.rstrip(_PUNCTUATION)
-    return (word.lower(), chunk[len(word) :]) if _plain(word) else (chunk, "")
+    return (word.lower(), chunk[len(word) :]) if word.isascii() and word.isalpha() or _plain(word) else (chunk, "")
 
 
 def _encode_new(path: str, texts: set[str]) -> dict[str, bytes]:
@@ -83,15 +83,22 @@ def _encode_new(path: str, texts: set[str]) -> dict[str, bytes]:
     Plain lower-case words go straight to its merges, as the bytes' letters; others go through
     its normalisation and splitting too.
     """
-    tk, out, rest = _tokenizer(path), {}, []
+    tk, rest = _tokenizer(path), []
     merge = tk.model.tokenize
+    words, flat, ends = [], [], [0]
     for t in texts:
         if t.isascii() and t.isalpha() and t.islower():
-            out[t] = array("I", [x.id for x in merge(t)]).tobytes()
+            found = merge(t)
         elif t.islower() and _plain(t):
-            out[t] = array("I", [x.id for x in merge("".join([_LETTERS[b] for b in t.encode()]))]).tobytes()
+            found = merge("".join([_LETTERS[b] for b in t.encode()]))
         else:
             rest.append(t)
+            continue
+        words.append(t)
+        flat += [x.id for x in found]
+        ends.append(4 * len(flat))
+    flat = array("I", flat).tobytes()
+    out = {t: flat[lo:hi] for t, lo, hi in zip(words, ends, ends[1:], strict=False)}
     for lo in range(0, len(rest), 1000):
         part = rest[lo : lo + 1000]
         out |= {t: array("I", e.ids).tobytes() for t, e in zip(part, tk.encode_batch_fast(part, add_special_tokens=False), strict=True)}
@@ -112,19 +119,25 @@ def _word_ids(path: str, texts: list[str]) -> Iterator[bytes]:
     _KNOWN[path] = known, older
     split = [t.replace("\n", " ").split(" ") for t in texts]
     unmet = set().union(*split).difference(known)
-    known |= {p: older[p] for p in unmet if p in older}
-    new = {p: _stem(p) for p in unmet if p not in known}
-    stems = {x for pair in new.values() for x in pair if x not in known}
-    known |= {x: older[x] for x in stems if x in older}
-    ids = _encode_new(path, {x for x in stems if x not in known})
-    long = {}
-    for x, b in ids.items():
-        (known if len(x) <= LONGEST_CACHED else long)[x] = b
-    for p, pair in new.items():
-        if p not in known and p not in long:
-            (known if len(p) <= LONGEST_CACHED else long)[p] = b"".join([known[x] if x in known else long[x] for x in pair])
+    again = {p: older[p] for p in unmet if p in older}
+    known |= again
+    unmet.difference_update(again)
+    # most new chunks are a word alone
+    words = {p: p.lower() for p in unmet if p.isascii() and p.isalpha()}
+    pairs = {p: _stem(p) for p in unmet.difference(words)}
+    stems = set(words.values()).union(*pairs.values()).difference(known)
+    again = {x: older[x] for x in stems if x in older}
+    known |= again
+    ids = _encode_new(path, stems.difference(again))
+    long = {x: ids.pop(x) for x in [x for x in ids if len(x) > LONGEST_CACHED]}
+    known |= ids
     every = ChainMap(known, long) if long else known
-    return (b"".join([every[p] for p in s]) for s in split)
+    made = {p: every[x] for p, x in words.items() if p != x}
+    made |= {p: every[word] + every[end] for p, (word, end) in pairs.items() if p not in every}
+    long |= {p: made.pop(p) for p in [p for p in made if len(p) > LONGEST_CACHED]}
+    known |= made
+    every = ChainMap(known, long) if long else known
+    return (b"".join(map(every.__getitem__, s)) for s in split)
 
 
 def _pieces(path: str, size: int):
