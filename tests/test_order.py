@@ -197,6 +197,24 @@ def test_lexicon_of_ten_thousand(spark, monkeypatch, most):
     assert all(abs(x - 1) < 1e-9 for x in totals.values())
 
 
+def test_shares_count_every_term_of_the_lexicon(spark, tmp_path):
+    from tidemark.plans.registry import QUERIES
+
+    words = [f"word{a}{b}" for a in "abcdefghijkl" for b in "abcdefghijklmnop"]
+    docs = [(0, " ".join(words), "a"), (1, f"{words[-1].upper()} {words[-1]}{words[-1]} {words[61]}", "a"), (2, words[100], "b"), (3, None, "b"), (4, "none", "c"), (5, words[150], None)]
+    spark.createDataFrame([(i, " ".join(words[i::3])) for i in range(3)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = Counter({(source, w): 0 for _, _, source in docs for w in words})
+    for _, t, source in docs:
+        for w in words:
+            want[source, w] += (t or "").lower().count(w)
+    totals = Counter()
+    for (source, _), n in want.items():
+        totals[source] += n
+    got = {(r.source, r.term): (r.n, r.share) for r in QUERIES["tx3_shares"](spark, str(tmp_path)).collect()}
+    assert got == {k: (n, n / totals[k[0]]) for k, n in want.items() if n} and len(got) == len(words) + 2
+
+
 @pytest.mark.parametrize("n", [1, 2, 3])
 def test_levels_prune(spark, n):
     """The rows of the plain count, from far fewer n-grams than there are."""

@@ -354,10 +354,10 @@ def tx2_taxonomy(s, d):
     return hits.select("doc_id", F.array_join(entries, "; ").alias("found"), lexicon.weighted(c("hits")).alias("points"))
 
 
-@query(f"""{_TERMS}, f as (select * from l where "position" < 60), g as (select source, term, sum((length(lower(text)) - length(replace(lower(text), term, ''))) // length(term))::bigint n from documents, f group by all)
+@query(f"""{_TERMS}, g as (select source, term, sum((length(lower(text)) - length(replace(lower(text), term, ''))) // length(term))::bigint n from documents, l group by all)
     select source, term, n, n / sum(n) over (partition by source) share from g where n > 0""")
 def tx3_shares(s, d):
-    hits = lexicon.term_hits(documents(s, d), "text", _taxonomy(s, d).filter("position < 60"), T.normalize_arabic, ("source",))
+    hits = lexicon.term_hits(documents(s, d), "text", _taxonomy(s, d), T.normalize_arabic, ("source",))
     return lexicon.shares(hits, "source")
 
 
